@@ -5,16 +5,20 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panel_engine import config
 from panel_engine.functions.scalars import bin_right_closed, clip_where, safe_double
+from panel_engine.operators.clean import complete
 from panel_engine.operators.ordered import grouped_quantiles
+from panel_engine.sources.scratch import materialize
 
 GLOBAL = "GLOBAL"
 LEVEL_PREFIX = "__level_"
+HOT_GROUP_ROWS = 5_000_000
 
 
 def add_age_class(df: DataFrame, replace: bool = True) -> DataFrame:
@@ -37,6 +41,7 @@ class HierarchicalImputer:
     global_fallback: bool = True
     clip_imputed: bool = True
     ranges: dict[str, tuple[float, float]] = field(default_factory=lambda: dict(config.PLAUSIBLE_RANGES))
+    hot_rows: int = HOT_GROUP_ROWS
 
     def levels(self, columns: Sequence[str]) -> list[list[str]]:
         """Key sets in fill order, cut to the present columns, duplicates and empties dropped."""
@@ -56,8 +61,9 @@ class HierarchicalImputer:
         measures = [c for c in self.columns if c in work.columns]
         if not measures:
             raise ValueError("none of the columns to impute is present")
-        stats = group_medians(work, measures, levels, self.min_group_n, self.global_fallback)
-        return HierarchicalImputerModel(stats, self, levels, measures)
+        stats = group_medians(work, measures, levels, self.min_group_n, self.global_fallback, self.hot_rows)
+        # stored once: every level of every transform reads it
+        return HierarchicalImputerModel(materialize(stats, "medians"), self, levels, measures)
 
     def fit_transform(self, df: DataFrame, metadata: bool = False) -> DataFrame:
         return self.fit(df).transform(df, metadata)
@@ -65,38 +71,75 @@ class HierarchicalImputer:
 
 def group_medians(
     df: DataFrame, measures: Sequence[str], levels: Sequence[Sequence[str]], min_n: int, with_global: bool,
+    hot_rows: int = HOT_GROUP_ROWS,
 ) -> DataFrame:
-    """(feature, level, level_keys, key_values, n, median) of all levels in one aggregation.
+    """(feature, level, level_keys, key_values, n, median) of all levels.
 
     Level 0..L-1 are the key sets; level L is the whole table. Groups with a null key or too
-    little support are absent.
+    little support are absent. The built-in median keeps a group's distinct values in one
+    buffer, so groups above ``hot_rows`` rows take the bucketed exact quantile instead.
     """
     keys = list(dict.fromkeys(k for level in levels for k in level))
-    cells = df.select(*keys, F.explode(F.array(*[
-        F.struct(F.lit(c).alias("feature"), safe_double(c).alias("value")) for c in measures])).alias("cell"))
-    cells = cells.select(*keys, "cell.*").where(F.col("value").isNotNull())
-    groups = [
-        F.struct(F.lit(i).alias("level"), _key_values(level).alias("key_values"))
-        for i, level in enumerate(levels)
-    ]
-    if with_global:
-        groups.append(F.struct(F.lit(len(levels)).alias("level"),
-                               F.array().cast("array<string>").alias("key_values")))
-    cells = (
-        cells.select("feature", "value", F.explode(F.array(*groups)).alias("g"))
-        .select("feature", "value", "g.level", "g.key_values")
-        .where(F.forall("key_values", lambda x: x.isNotNull()))
-    )
+    cells = df.select(*keys, *[safe_double(c).alias(c) for c in measures])
+    wanted = [*levels, []] if with_global else list(levels)
+    hot = _hot_levels(cells, wanted, hot_rows)
+    parts = []
+    for i, level in enumerate(wanted):
+        rows = cells.where(complete(level)).select(*level, *measures)
+        cold = rows
+        if hot[i] and level:
+            groups = F.broadcast(  # at most rows / hot_rows keys
+                rows.groupBy(*level).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot_rows).select(*level))
+            cold = rows.join(groups, level, "left_anti")
+            parts.append(_bucketed_medians(rows.join(groups, level, "left_semi"), measures, level, i))
+        elif hot[i]:
+            parts.append(_bucketed_medians(rows, measures, level, i))
+            continue
+        parts.append(_buffered_medians(cold, measures, level, i))
+    stats = reduce(DataFrame.unionByName, parts)
     names = F.element_at(F.array(*[F.lit(" -> ".join(x)) for x in levels], F.lit(GLOBAL)), F.col("level") + 1)
-    stats = grouped_quantiles(cells, "value", [0.5], ["feature", "level", "key_values"])
     return (
-        stats.where((F.col("n") >= min_n) | (F.col("level") == len(levels)))
-        .select("feature", "level", names.alias("level_keys"), "key_values", "n", F.col("q_0").alias("median"))
+        stats.where((F.col("n") >= min_n) | ((F.col("level") == len(levels)) & (F.col("n") > 0)))
+        .select("feature", "level", names.alias("level_keys"), "key_values", "n", "median")
     )
 
 
+def _hot_levels(cells: DataFrame, levels: Sequence[Sequence[str]], hot_rows: int) -> list[bool]:
+    """Which key sets own a group above the limit; finer keys of a cool set are cool too."""
+    cool: list[set[str]] = []
+    if cells.count() <= hot_rows:
+        return [False] * len(levels)
+    hot = {}
+    for level in sorted(levels, key=len):
+        if any(c <= set(level) for c in cool):
+            hot[tuple(level)] = False
+            continue
+        sizes = cells.where(complete(level)).groupBy(*level).agg(F.count(F.lit(1)).alias("__n"))
+        hot[tuple(level)] = not sizes.where(F.col("__n") > hot_rows).isEmpty()
+        if not hot[tuple(level)]:
+            cool.append(set(level))
+    return [hot[tuple(level)] for level in levels]
+
+
+def _buffered_medians(rows: DataFrame, measures: Sequence[str], keys: Sequence[str], level: int) -> DataFrame:
+    wide = rows.groupBy(*keys).agg(*[a for c in measures for a in (
+        F.count(c).alias(f"__n_{c}"), F.median(c).alias(f"__m_{c}"))])
+    return wide.select(
+        F.lit(level).alias("level"), _key_values(keys).alias("key_values"),
+        F.explode(F.array(*[F.struct(
+            F.lit(c).alias("feature"), F.col(f"__n_{c}").alias("n"), F.col(f"__m_{c}").alias("median"))
+            for c in measures])).alias("s")).select("level", "key_values", "s.*")
+
+
+def _bucketed_medians(rows: DataFrame, measures: Sequence[str], keys: Sequence[str], level: int) -> DataFrame:
+    cells = rows.select(*keys, F.explode(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in measures])).alias("c")).select(*keys, "c.*")
+    return grouped_quantiles(cells, "value", [0.5], [*keys, "feature"]).select(
+        F.lit(level).alias("level"), _key_values(keys).alias("key_values"), "feature", "n", F.col("q_0").alias("median"))
+
+
 def _key_values(keys: Sequence[str]) -> Column:
-    return F.array(*[F.col(k).cast("string") for k in keys])
+    return F.array().cast("array<string>") if not keys else F.array(*[F.col(k).cast("string") for k in keys])
 
 
 class HierarchicalImputerModel:
@@ -135,21 +178,24 @@ class HierarchicalImputerModel:
                 if f"__m{i}_{c}" in lack.columns]
             for c in measures
         }
+        found = {f"__f_{c}": F.coalesce(*[m for _, m in candidates[c]]) for c in measures}
+        lack = lack.withColumns(found)
         filled, tags = {}, {}
         for c in measures:
-            value = F.coalesce(F.col(c), *[m for _, m in candidates[c]])
-            missing = F.col(c).isNull()
-            tag = F.coalesce(*[F.when(missing & m.isNotNull(), F.lit(name)) for name, m in candidates[c]])
+            missing, value = F.col(c).isNull(), F.col(f"__f_{c}")
             clipped = F.lit(False)
+            filled[c] = F.coalesce(F.col(c), value)
             if self.params.clip_imputed and c in self.params.ranges:
                 low, high = self.params.ranges[c]
                 clipped = F.coalesce(missing & ~value.between(low, high), F.lit(False))
-                value = clip_where(value, missing, low, high)
-            filled[c] = value
-            tags[f"{LEVEL_PREFIX}{c}"] = tag
+                filled[c] = clip_where(filled[c], missing & value.isNotNull(), low, high)
+            tags[f"{LEVEL_PREFIX}{c}"] = F.coalesce(
+                *[F.when(missing & m.isNotNull(), F.lit(name)) for name, m in candidates[c]])
             tags[f"__clipped_{c}"] = clipped
         extra = list(tags) if metadata else []
-        lack = lack.withColumns(tags).withColumns(filled).select(*columns, *extra)
+        if metadata:
+            lack = lack.withColumns(tags)
+        lack = lack.withColumns(filled).select(*columns, *extra)
         if metadata:
             have = have.withColumns({
                 k: F.lit(None).cast("string") if k.startswith(LEVEL_PREFIX) else F.lit(False) for k in extra})
