@@ -109,7 +109,7 @@ def multi_level_statistics(spark, sf_dir):
 
 @query("a8_global_median", "SELECT round(median(l_extendedprice), 6) AS median, CAST(count(*) AS BIGINT) AS n FROM lineitem")
 def global_median(spark, sf_dir):
-    q = grouped_quantiles(table(spark, sf_dir, "lineitem"), "l_extendedprice", [0.5])
+    q = grouped_quantiles(table(spark, sf_dir, "lineitem"), "l_extendedprice", [0.5], hot_rows=0)
     return q.select(F.round("q_0", 6).alias("median"), "n")
 
 
@@ -215,10 +215,8 @@ def wasserstein(spark, sf_dir):
     pre = features(spark, sf_dir)
     a, b = (quality.to_cells(d, _M, ["season"]) for d in (pre, _post(pre)))
     keys = ["season", "feature"]
-    distance = quality.wasserstein(a, b, keys).withColumn("distance", F.round("distance", 6))
-    scaled = quality.normalized_wasserstein(a, b, keys).withColumn(
-        "normalized_wasserstein", F.round("normalized_wasserstein", 6))
-    return distance.join(scaled, keys)
+    return quality.wasserstein(a, b, keys).withColumns({
+        c: F.round(c, 6) for c in ("distance", "normalized_wasserstein")})
 
 
 @query("a15_duplicate_report", """
@@ -437,7 +435,8 @@ SELECT id, year, month FROM (SELECT *, count(*) OVER (PARTITION BY id ORDER BY i
 WHERE n = 3""")
 def sequence_completeness(spark, sf_dir):
     months = modelling.monthly_panel(panel(spark, sf_dir), ["obs"], min_year=0, order=["obs"])
-    return modelling.sequence_eligible(months, ["obs"], 3, fail_on_null=False)
+    flags = modelling.eligibility(months, [1, 2], ["obs"], [], 3)
+    return flags.where("sequence_ok").select("id", "year", "month")
 
 
 @query("w8_cumulative_distribution", """

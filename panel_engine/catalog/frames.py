@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panel_engine.sources.scratch import spread
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -36,7 +38,7 @@ FROM lineitem"""
 
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem")
+    li = spread(table(spark, sf_dir, "lineitem"))
     c = F.col
     day = c("l_shipdate").cast("date")
     sick = (c("l_linenumber") == 2) & (c("l_linestatus") == "F")

@@ -13,12 +13,11 @@ from pyspark.sql import functions as F
 from panel_engine import config
 from panel_engine.functions.scalars import bin_right_closed, clip_where, safe_double
 from panel_engine.operators.clean import complete
-from panel_engine.operators.ordered import grouped_quantiles
+from panel_engine.operators.ordered import HOT_GROUP_ROWS, grouped_quantiles
 from panel_engine.sources.scratch import materialize
 
 GLOBAL = "GLOBAL"
 LEVEL_PREFIX = "__level_"
-HOT_GROUP_ROWS = 5_000_000
 
 
 def add_age_class(df: DataFrame, replace: bool = True) -> DataFrame:
@@ -134,7 +133,7 @@ def _buffered_medians(rows: DataFrame, measures: Sequence[str], keys: Sequence[s
 def _bucketed_medians(rows: DataFrame, measures: Sequence[str], keys: Sequence[str], level: int) -> DataFrame:
     cells = rows.select(*keys, F.explode(F.array(*[
         F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in measures])).alias("c")).select(*keys, "c.*")
-    return grouped_quantiles(cells, "value", [0.5], [*keys, "feature"]).select(
+    return grouped_quantiles(cells, "value", [0.5], [*keys, "feature"], hot_rows=0).select(
         F.lit(level).alias("level"), _key_values(keys).alias("key_values"), "feature", "n", F.col("q_0").alias("median"))
 
 

@@ -13,6 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panel_engine.functions.scalars import order_bucket, safe_double
+from panel_engine.sources.scratch import materialize
+
+HOT_GROUP_ROWS = 2_000_000
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -26,15 +29,29 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
 
 
 def grouped_quantiles(
-    df: DataFrame, value: str, probs: Sequence[float], groups: Sequence[str] = (),
+    df: DataFrame, value: str, probs: Sequence[float], groups: Sequence[str] = (), hot_rows: int = HOT_GROUP_ROWS,
 ) -> DataFrame:
     """Exact linearly interpolated quantiles: groups, ``n``, ``q_0`` .. ``q_{k-1}``.
 
-    Two passes over ``df``. The first counts per (group, bucket). The second touches only
-    the buckets that hold a wanted rank and more than one candidate value.
+    The built-in percentile keeps a group's distinct values in one buffer. That is the
+    fastest way while the largest group, counted first, stays below ``hot_rows``; beyond it
+    the values are located by bucket.
     """
     groups = list(groups)
     cells = df.select(*groups, safe_double(value).alias("__v")).where(F.col("__v").isNotNull())
+    sizes = cells.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"))
+    largest = sizes.agg(F.max("n")).first()[0] or 0
+    if largest > hot_rows:
+        return _bucketed_quantiles(cells, probs, groups)
+    q = cells.groupBy(*groups).agg(
+        F.count(F.lit(1)).alias("n"), F.percentile("__v", [float(p) for p in probs]).alias("__q"))
+    return q.where(F.col("n") > 0).select(*groups, "n", *[F.col("__q")[i].alias(f"q_{i}") for i in range(len(probs))])
+
+
+def _bucketed_quantiles(cells: DataFrame, probs: Sequence[float], groups: list[str]) -> DataFrame:
+    """Quantiles of ``__v``. One pass counts per (group, bucket); a second one touches only
+    the buckets that hold a wanted rank among several candidate values, if there are any.
+    """
     cells = cells.withColumn("__b", order_bucket("__v"))
     buckets = cells.groupBy(*groups, "__b").agg(
         F.count(F.lit(1)).alias("__c"), F.min("__v").alias("__min"), F.max("__v").alias("__max"))
@@ -61,36 +78,34 @@ def grouped_quantiles(
             .when(F.col("__min") == F.col("__max"), F.col("__min")),
         )
     )
-    known = wanted.where(F.col("__hit").isNotNull()).select(*groups, "n", "__r", "__hit")
-
-    open_buckets = (
-        wanted.where(F.col("__hit").isNull())
-        .groupBy(*groups, "__b", "n", "__before").agg(F.collect_set("__r").alias("__ranks"))
-    )
-    if not groups:
-        open_buckets = F.broadcast(open_buckets)  # at most two buckets per probability
-    by_value = Window.partitionBy(*groups, "__b").orderBy("__v")
-    resolved = (
-        null_safe_join(cells, open_buckets, [*groups, "__b"])
-        .groupBy(*groups, "__b", "n", "__before", "__ranks", "__v").agg(F.count(F.lit(1)).alias("__c"))
-        .withColumn("__before", F.col("__before") - F.col("__c")
-                    + F.sum("__c").over(by_value.rowsBetween(Window.unboundedPreceding, 0)))
-        .select(*groups, "n", F.explode(F.filter("__ranks", inside)).alias("__r"), F.col("__v").alias("__hit"))
-    )
+    # at most two rows per probability and group; stored, so the planner knows its size
+    # and broadcasts it below only when it is small
+    wanted = materialize(wanted, "ranks")
+    hits = wanted.where(F.col("__hit").isNotNull()).select(*groups, "n", "__r", "__hit")
+    pending = wanted.where(F.col("__hit").isNull())
+    if not pending.isEmpty():
+        open_buckets = pending.groupBy(*groups, "__b", "n", "__before").agg(F.collect_set("__r").alias("__ranks"))
+        by_value = Window.partitionBy("__b", *groups).orderBy("__v")  # the bucket first: cheap sort prefix
+        found = (
+            null_safe_join(cells, open_buckets, [*groups, "__b"])
+            .groupBy(*groups, "__b", "n", "__before", "__ranks", "__v").agg(F.count(F.lit(1)).alias("__c"))
+            .withColumn("__before", F.col("__before") - F.col("__c")
+                        + F.sum("__c").over(by_value.rowsBetween(Window.unboundedPreceding, 0)))
+            .select(*groups, "n", F.explode(F.filter("__ranks", inside)).alias("__r"), F.col("__v").alias("__hit"))
+        )
+        hits = hits.unionByName(found)
 
     def at(rank: Column) -> Column:
         return F.max(F.when(F.col("__r") == rank, F.col("__hit")))
 
-    hits = known.unionByName(resolved)
-    low_high = {}
-    for i, pos in enumerate(positions):
-        low_high[f"__lo_{i}"] = at(F.floor(pos))
-        low_high[f"__hi_{i}"] = at(F.ceil(pos))
-    picked = hits.groupBy(*groups, "n").agg(*[c.alias(k) for k, c in low_high.items()])
+    picked = hits.groupBy(*groups, "n").agg(*[a for i, pos in enumerate(positions) for a in (
+        at(F.floor(pos)).alias(f"__lo_{i}"), at(F.ceil(pos)).alias(f"__hi_{i}"))])
     return picked.select(*groups, "n", *[
-        (F.col(f"__lo_{i}") + (F.col(f"__hi_{i}") - F.col(f"__lo_{i}")) * (pos - F.floor(pos))).alias(f"q_{i}")
-        for i, pos in enumerate(positions)
-    ])
+        interpolate(F.col(f"__lo_{i}"), F.col(f"__hi_{i}"), pos).alias(f"q_{i}") for i, pos in enumerate(positions)])
+
+
+def interpolate(low: Column, high: Column, position: Column) -> Column:
+    return low + (high - low) * (position - F.floor(position))
 
 
 def cumulative(
@@ -102,24 +117,27 @@ def cumulative(
     ``next_value``. Bucket totals carry the running sum across buckets.
     """
     groups = list(groups)
-    hist = hist.withColumn("__b", order_bucket(value))
-    totals = hist.groupBy(*groups, "__b").agg(
+    key = F.struct(*[F.col(g) for g in groups])  # one key, equal also where a group column is null
+    hist = hist.select(key.alias("__k"), order_bucket(value).alias("__b"), value, *weights)
+    totals = hist.groupBy("__k", "__b").agg(
         F.min(value).alias("__first"), *[F.sum(w).alias(f"__t_{w}") for w in weights])
-    by_bucket = Window.partitionBy(*groups).orderBy("__b")
+    by_bucket = Window.partitionBy("__k").orderBy("__b")
     running = by_bucket.rowsBetween(Window.unboundedPreceding, 0)
     whole = by_bucket.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     offsets = totals.select(
-        *groups, "__b", F.lead("__first").over(by_bucket).alias("__next"),
+        "__k", "__b", F.lead("__first").over(by_bucket).alias("__next"),
         *[(F.sum(f"__t_{w}").over(running) - F.col(f"__t_{w}")).alias(f"__off_{w}") for w in weights],
         *[F.sum(f"__t_{w}").over(whole).alias(f"all_{w}") for w in weights],
     )
-    by_value = Window.partitionBy(*groups, "__b").orderBy(value)
+    by_value = Window.partitionBy("__b", "__k").orderBy(value)  # the bucket first: cheap sort prefix
     inside = by_value.rowsBetween(Window.unboundedPreceding, 0)
-    out = null_safe_join(hist, offsets, [*groups, "__b"])
-    return out.withColumns({
-        **{f"upto_{w}": F.col(f"__off_{w}") + F.sum(w).over(inside) for w in weights},
-        "next_value": F.coalesce(F.lead(value).over(by_value), F.col("__next")),
-    }).drop("__b", "__next", *[f"__off_{w}" for w in weights])
+    # hashed on (key, bucket), which is also what the window below needs: no shuffle between
+    out = hist.join(offsets.hint("shuffle_hash"), ["__k", "__b"])
+    return out.select(
+        *[F.col("__k")[g].alias(g) for g in groups], value, *weights, *[F.col(f"all_{w}") for w in weights],
+        *[(F.col(f"__off_{w}") + F.sum(w).over(inside)).alias(f"upto_{w}") for w in weights],
+        F.coalesce(F.lead(value).over(by_value), F.col("__next")).alias("next_value"),
+    )
 
 
 def dense_rank_desc(df: DataFrame, score: str, name: str, groups: Sequence[str] = ()) -> DataFrame:

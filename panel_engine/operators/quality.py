@@ -9,21 +9,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panel_engine.functions.scalars import safe_double
-from panel_engine.operators.ordered import cumulative, grouped_quantiles
+from panel_engine.operators.ordered import cumulative, interpolate
 
 ALL = "__all__"
 GROUP = ["stratum", "level"]
 
 
 def pair_correlation(a: Column | str, b: Column | str) -> Column:
-    """Pearson over rows where both are known; null when either is constant.
+    """Pearson of two columns that are null together; null when either is constant.
 
     The built-in ``corr`` divides by zero under ANSI mode on a constant column.
     """
-    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
-    return F.try_divide(
-        F.covar_pop(a, b),
-        F.stddev_pop(F.when(b.isNotNull(), a)) * F.stddev_pop(F.when(a.isNotNull(), b)))
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
 
 
 def by_stratum(df: DataFrame, strata: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -38,12 +35,21 @@ def by_stratum(df: DataFrame, strata: Sequence[str], columns: Sequence[str]) ->
 
 
 def correlation_pairs(df: DataFrame, columns: Sequence[str], groups: Sequence[str] = ()) -> DataFrame:
-    """Long form (groups, feature_a, feature_b, corr), all pairs from one aggregation."""
+    """Long form (groups, feature_a, feature_b, corr), all pairs from one aggregation.
+
+    One narrow row per pair keeps the aggregate at three buffers; a column per pair would
+    need three per pair and outgrow the code generator.
+    """
     pairs = list(combinations(columns, 2))
-    wide = df.groupBy(*groups).agg(*[pair_correlation(a, b).alias(f"__p{i}") for i, (a, b) in enumerate(pairs)])
-    return wide.select(*groups, F.explode(F.array(*[
-        F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.col(f"__p{i}").alias("corr"))
-        for i, (a, b) in enumerate(pairs)])).alias("p")).select(*groups, "p.*")
+    cells = df.select(*groups, F.explode(F.array(*[
+        F.struct(F.lit(i).alias("p"), F.when(F.col(b).isNotNull(), F.col(a)).alias("a"),
+                 F.when(F.col(a).isNotNull(), F.col(b)).alias("b"))
+        for i, (a, b) in enumerate(pairs)])).alias("c")).select(*groups, "c.*")
+    names = F.array(*[F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b")) for a, b in pairs])
+    return (
+        cells.groupBy(*groups, "p").agg(pair_correlation("a", "b").alias("corr"))
+        .select(*groups, names[F.col("p")].alias("n"), "corr").select(*groups, "n.*", "corr")
+    )
 
 
 def correlation_shift(pre: DataFrame, post: DataFrame, columns: Sequence[str], groups: Sequence[str]) -> DataFrame:
@@ -67,7 +73,12 @@ def to_cells(df: DataFrame, columns: Sequence[str], groups: Sequence[str]) -> Da
 
 
 def wasserstein(pre: DataFrame, post: DataFrame, groups: Sequence[str], value: str = "value") -> DataFrame:
-    """Exact 1-D distance per group: integral of the gap between the two step functions."""
+    """Per group: exact 1-D ``distance`` and ``normalized_wasserstein``, its share of the IQR.
+
+    The distance is the integral of the gap between the two step functions. The quartiles of
+    ``pre`` come from the same running counts, so one pass serves both. Without spread the
+    share is 0 for equal samples, else null.
+    """
     groups = list(groups)
     both = (
         pre.select(*groups, value, F.lit(1).alias("__x"), F.lit(0).alias("__y"))
@@ -77,18 +88,21 @@ def wasserstein(pre: DataFrame, post: DataFrame, groups: Sequence[str], value: s
     hist = both.groupBy(*groups, value).agg(F.sum("__x").alias("x"), F.sum("__y").alias("y"))
     cdf = cumulative(hist, value, ["x", "y"], groups)
     gap = F.abs(F.try_divide(F.col("upto_x"), F.col("all_x")) - F.try_divide(F.col("upto_y"), F.col("all_y")))
-    return cdf.groupBy(*groups).agg(
-        F.when((F.max("all_x") > 0) & (F.max("all_y") > 0),
-               F.coalesce(F.sum(gap * (F.col("next_value") - F.col(value))), F.lit(0.0))).alias("distance"))
 
+    def at(rank: Column) -> Column:
+        return F.min(F.when(F.col("upto_x") > rank, F.col(value)))
 
-def normalized_wasserstein(pre: DataFrame, post: DataFrame, groups: Sequence[str]) -> DataFrame:
-    """Distance over the IQR of ``pre``; without spread 0 if equal, else null."""
-    iqr = grouped_quantiles(pre, "value", [0.25, 0.75], groups).select(
-        *groups, (F.col("q_1") - F.col("q_0")).alias("__iqr"))
-    d = wasserstein(pre, post, groups)
-    value = F.when(F.col("__iqr") > 0, F.col("distance") / F.col("__iqr")).when(F.col("distance") == 0, 0.0)
-    return d.join(iqr, list(groups), "left").select(*groups, value.alias("normalized_wasserstein"))
+    q1, q3 = ((F.col("all_x") - 1) * F.lit(p) for p in (0.25, 0.75))
+    sums = cdf.groupBy(*groups).agg(
+        F.max("all_x").alias("all_x"), F.max("all_y").alias("all_y"),
+        F.coalesce(F.sum(gap * (F.col("next_value") - F.col(value))), F.lit(0.0)).alias("__d"),
+        at(F.floor(q1)).alias("__l1"), at(F.ceil(q1)).alias("__h1"), at(F.floor(q3)).alias("__l3"), at(F.ceil(q3)).alias("__h3"))
+    iqr = interpolate(F.col("__l3"), F.col("__h3"), q3) - interpolate(F.col("__l1"), F.col("__h1"), q1)
+    distance = F.when((F.col("all_x") > 0) & (F.col("all_y") > 0), F.col("__d"))
+    return sums.select(*groups, distance.alias("distance"), iqr.alias("__iqr")).select(
+        *groups, "distance",
+        F.when(F.col("__iqr") > 0, F.col("distance") / F.col("__iqr"))
+        .when(F.col("distance") == 0, 0.0).alias("normalized_wasserstein"))
 
 
 def missing_and_imputed(pre: DataFrame, post: DataFrame, columns: Sequence[str], groups: Sequence[str]) -> DataFrame:
@@ -112,7 +126,7 @@ def feature_report(pre: DataFrame, post: DataFrame, columns: Sequence[str], stra
     a, b = by_stratum(pre, strata, columns), by_stratum(post, strata, columns)
     keys = [*GROUP, "feature"]
     shift = shift_by_feature(correlation_shift(a, b, columns, GROUP), GROUP)
-    nwd = normalized_wasserstein(to_cells(a, columns, GROUP), to_cells(b, columns, GROUP), keys)
+    nwd = wasserstein(to_cells(a, columns, GROUP), to_cells(b, columns, GROUP), keys)
     return (
         missing_and_imputed(a, b, columns, GROUP).join(shift, keys, "left").join(nwd, keys, "left")
         .select(*keys, "n_rows", F.round("pct_missing_pre", 2).alias("pct_missing_pre"),
@@ -127,7 +141,7 @@ def level_report(pre: DataFrame, post: DataFrame, columns: Sequence[str], strata
     a, b = by_stratum(pre, strata, columns), by_stratum(post, strata, columns)
     shift = correlation_shift(a, b, columns, GROUP).groupBy(*GROUP).agg(F.avg("delta").alias("__dc"))
     nwd = (
-        normalized_wasserstein(to_cells(a, columns, GROUP), to_cells(b, columns, GROUP), [*GROUP, "feature"])
+        wasserstein(to_cells(a, columns, GROUP), to_cells(b, columns, GROUP), [*GROUP, "feature"])
         .groupBy(*GROUP).agg(F.avg("normalized_wasserstein").alias("__nwd"))
     )
     rows = b.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n_rows"))

@@ -100,7 +100,7 @@ def sample_exact_ratio(
     )
     plan = buckets.withColumn("__take", take).where("__take > 0").select(*cells, "__take")
 
-    inside = Window.partitionBy(*cells).orderBy("__hash", *[F.col(k) for k in keys])
+    inside = Window.partitionBy("__bucket", "__class", *strata).orderBy("__hash", *[F.col(k) for k in keys])
     return (
         rows.join(plan, cells).withColumn("__rn", F.row_number().over(inside))
         .where("__rn <= __take").select(*df.columns)

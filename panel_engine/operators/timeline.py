@@ -136,6 +136,31 @@ def _reachable_rows(df: DataFrame, entity: str, lags: Sequence[int], order: Sequ
     return heads.unionByName(tails)
 
 
+def _month_summaries(
+    df: DataFrame, entity: str, columns: Sequence[str], lags: Sequence[int], order: Sequence[str],
+) -> DataFrame:
+    """Lags 1..K: the first row of each month, with lags read off monthly summaries.
+
+    Lag k of a month's first row is the last row k months back, provided the months between
+    hold one row each; with a second row in between, the lag does not reach that month.
+    """
+    def ranked(names: Sequence[str]) -> Column:
+        return F.struct(*[x for c in names for x in (F.col(f"`{c}`").isNull().alias(f"__n_{c}"), F.col(f"`{c}`"))])
+
+    months = df.groupBy(entity, MONTH_IDX).agg(
+        F.count(F.lit(1)).alias("__rows"), F.min(ranked(order)).alias("__first"), F.max(ranked(order)).alias("__last"))
+    w = Window.partitionBy(entity).orderBy(MONTH_IDX)
+    lagged, reached = {}, F.lit(True)
+    for k in range(1, max(lags) + 1):
+        lagged[lag_name(MONTH_IDX, k)] = F.when(reached, F.lag(MONTH_IDX, k).over(w))
+        for c in columns:
+            lagged[lag_name(c, k)] = F.when(reached, F.lag(F.col("__last")[c], k).over(w))
+        reached = reached & (F.lag("__rows", k).over(w) == 1)
+    rows = months.withColumns(lagged)
+    return rows.select(
+        entity, MONTH_IDX, *[F.col("__first")[c].alias(c) for c in order], *[F.col(f"`{c}`") for c in lagged])
+
+
 def row_history(
     df: DataFrame, entity: str, columns: Sequence[str], lags: Sequence[int], order: Sequence[str] = (),
 ) -> DataFrame:
@@ -145,6 +170,8 @@ def row_history(
     consecutiveness of the months after it.
     """
     rest = [c for c in df.columns if c not in (entity, MONTH_IDX) and c not in order]
+    if sorted(lags) == list(range(1, len(lags) + 1)):
+        return _month_summaries(df, entity, columns, lags, [*order, *rest])
     rows = _reachable_rows(df, entity, lags, [*order, *rest])
     w = Window.partitionBy(entity).orderBy(MONTH_IDX, "__pos")
     return rows.withColumns({
@@ -157,3 +184,9 @@ def sequences(df: DataFrame, entity: str, features: Sequence[str], length: int,
     step = F.array(*[F.col(f"`{f}`").cast("double") for f in features])
     return df.withColumns({
         name: F.collect_list(step).over(frame), "__n_steps": F.count(F.lit(1)).over(frame)})
+
+
+def periods_with(condition: Column, entity: str, length: int) -> Column:
+    """How many of the last ``length`` periods exist and meet the condition."""
+    frame = Window.partitionBy(entity).orderBy(MONTH_IDX).rangeBetween(-(length - 1), 0)
+    return F.sum(F.coalesce(condition, F.lit(False)).cast("int")).over(frame)

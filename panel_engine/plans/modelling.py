@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panel_engine import config
@@ -154,9 +155,10 @@ def monthly_panel(
     df: DataFrame, features: Sequence[str], target: str = "disease", entity: str = "id",
     min_year: int = config.MIN_YEAR, encoded: Sequence[str] = (), order: Sequence[str] = (),
 ) -> DataFrame:
-    """Numeric features, one row per entity-month, month index."""
+    """Numeric features and target, one row per entity-month, month index."""
     clean.require_columns(df, [entity, "year", "month"], "panel")
     df = _panel(df.drop(*config.PANEL_META_COLUMNS), min_year, target, entity)
+    df = clean.ordered_projection(df, [entity, "year", "month", *features, *encoded, target, *order])
     numeric = [c for c in dict.fromkeys(features) if c in df.columns and c not in encoded]
     df = df.withColumns({c: S.safe_double(c) for c in numeric})
     return timeline.with_month_index(timeline.unique_periods(df, [entity, "year", "month"], order))
@@ -176,32 +178,39 @@ def lagged_rows(
     return timeline.add_lags(panel, entity, list(dict.fromkeys([*present, *history])), lags)
 
 
-def lag_eligible(
+def eligibility(
     panel: DataFrame, lags: Sequence[int], lag_variables: Sequence[str], keep_variables: Sequence[str],
-    target: str = "disease", entity: str = "id", encoded: Sequence[str] = (),
+    length: int = config.SEQUENCE_LENGTH, target: str = "disease", entity: str = "id", encoded: Sequence[str] = (),
 ) -> DataFrame:
-    """Entity-months with a complete, strictly consecutive lagged row."""
+    """Per entity-month: ``lag_ok`` (complete, strictly consecutive lagged row) and
+    ``sequence_ok`` (the last ``length`` months all exist with all features).
+
+    Both come from one window over the monthly panel.
+    """
+    features = list(dict.fromkeys([*lag_variables, *keep_variables]))
+    clean.require_columns(panel, features, "panel")
     wide, _ = one_hot(panel, encoded)
     wide = lagged_rows(wide, lags, lag_variables, target, entity)
-    features = wide_feature_columns(wide.columns, lags, lag_variables, keep_variables, encoded)
+    columns = wide_feature_columns(wide.columns, lags, lag_variables, keep_variables, encoded)
     history = [target, *[lag_name(target, k) for k in lags]]
-    if any(h not in wide.columns for h in history):
-        return wide.where(F.lit(False)).select(entity, "year", "month")
-    needed = [*features, *history]
-    return wide.where(timeline.consecutive(lags) & clean.complete(needed)).select(entity, "year", "month")
+    lag_ok = F.lit(False)
+    if all(h in wide.columns for h in history):
+        lag_ok = timeline.consecutive(lags) & clean.complete([*columns, *history])
+    usable = reduce_and([S.safe_double(c).isNotNull() for c in features])
+    return wide.select(
+        entity, "year", "month", lag_ok.alias("lag_ok"),
+        (timeline.periods_with(usable, entity, length) == length).alias("sequence_ok"))
 
 
-def sequence_eligible(
-    panel: DataFrame, features: Sequence[str], length: int = config.SEQUENCE_LENGTH, entity: str = "id",
-    fail_on_null: bool = True,
-) -> DataFrame:
-    """Entity-months whose last ``length`` months all exist with all features."""
-    clean.require_columns(panel, features, "panel")
-    numeric = panel.withColumns({c: S.safe_double(c) for c in features})
-    if fail_on_null and not numeric.where(~clean.complete(features)).isEmpty():
+def reduce_and(conditions: Sequence[Column]) -> Column:
+    return functools.reduce(lambda a, b: a & b, conditions)
+
+
+def check_complete(panel: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Raise when a sequence feature is null anywhere in the panel."""
+    if not panel.where(~reduce_and([S.safe_double(c).isNotNull() for c in features])).isEmpty():
         raise ValueError("null features in the panel: impute before building sequences")
-    steps = timeline.sequences(numeric.where(clean.complete(features)), entity, features, length)
-    return steps.where(F.col("__n_steps") == length).select(entity, "year", "month")
+    return panel
 
 
 def shared_anchors(
@@ -219,13 +228,15 @@ def shared_anchors(
     features = list(dict.fromkeys([*lag_variables, *keep_variables]))
     months = monthly_panel(panel, features, target, entity, min_year, encoded, order)
     candidates = anchor_keys(anchors, entity, min_year)
-    final = joins.intersect_keys(candidates, [
-        lag_eligible(months, lags, lag_variables, keep_variables, target, entity, encoded),
-        sequence_eligible(months, features, length, entity, fail_on_null),
-    ], keys)
+    if fail_on_null:
+        check_complete(months, features)
+    both = eligibility(months, lags, lag_variables, keep_variables, length, target, entity, encoded)
+    final = joins.intersect_keys(candidates, [both.where("lag_ok and sequence_ok")], keys)
     rows = anchors.withColumns({"year": S.safe_double("year").cast("int"), "month": S.safe_double("month").cast("int"),
                                 entity: S.safe_double(entity).cast("long")})
-    out = joins.attach_one_to_one(final, rows, keys, validate)
+    if validate:  # the other side is distinct already
+        joins.assert_unique(rows, keys, "anchors")
+    out = joins.attach_one_to_one(final, rows, keys, validate=False)
     out = clean.ordered_projection(out, [
         *keys, target, "healthy", MONTH_IDX, *[lag_name(target, k) for k in lags], *support])
     return clean.require_rows(out, "no anchor fits both forms") if fail_if_empty else out
@@ -242,19 +253,15 @@ def shared_report(
     months = monthly_panel(panel, features, target, entity, min_year, order=order)
     wanted = anchor_keys(anchors, entity, min_year)
 
-    def eligible(keys_df: DataFrame, name: str) -> DataFrame:
-        return joins.intersect_keys(wanted, [keys_df], keys).agg(F.count(F.lit(1)).alias(name))
-
+    flags = eligibility(months, lags, lag_variables, keep_variables, length, target, entity)
+    eligible = wanted.join(flags, keys, "left").agg(
+        F.count(F.lit(1)).alias("input_anchor_rows"), F.count_if("lag_ok").alias("ml_eligible_rows"),
+        F.count_if("sequence_ok").alias("dl_eligible_rows"))
     duplicates = reduce.duplicate_report(_panel(panel, min_year, target, entity), keys)
     final = reduce.class_summary(shared, entity, target).withColumnsRenamed({
         "rows": "shared_final_rows", "positives": "positive_rows", "negatives": "negative_rows",
         "unique_ids": "shared_unique_ids"})
-    return (
-        wanted.agg(F.count(F.lit(1)).alias("input_anchor_rows"))
-        .crossJoin(eligible(lag_eligible(months, lags, lag_variables, keep_variables, target, entity), "ml_eligible_rows"))
-        .crossJoin(eligible(sequence_eligible(months, features, length, entity, False), "dl_eligible_rows"))
-        .crossJoin(final).crossJoin(duplicates)
-    )
+    return eligible.crossJoin(final).crossJoin(duplicates)  # one row each
 
 
 # ---- model-ready tables -------------------------------------------------------------
