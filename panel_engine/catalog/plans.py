@@ -362,8 +362,7 @@ _SAMPLE_STRATA = ["season", "lactation_phase"]
 
 @query("c12_balanced_sample", SAMPLE)
 def balanced_sample(spark, sf_dir):
-    stored = materialize(anchors(spark, sf_dir), "anchors")
-    return modelling.balanced_sample(stored, "1:2", _SAMPLE_STRATA)
+    return modelling.balanced_sample(anchors(spark, sf_dir), "1:2", _SAMPLE_STRATA)
 
 
 @query("c12_sampled_ids", f"SELECT DISTINCT id FROM ({SAMPLE})")
@@ -382,7 +381,7 @@ SELECT CAST((SELECT count(*) FROM ({anchors_sql([1, 2])}) WHERE lactation_phase
   CAST(count(*) FILTER (WHERE q > 0 AND p = 0) AS BIGINT) AS dropped_negative_only_strata,
   CAST(count(*) FILTER (WHERE p > 0 AND q > 0 AND least(p, q // 2) = 0) AS BIGINT) AS dropped_insufficient_overlap_strata FROM s""")
 def sampling_report(spark, sf_dir):
-    stored = materialize(anchors(spark, sf_dir), "anchors")
+    stored = anchors(spark, sf_dir)
     sample = modelling.balanced_sample(stored, "1:2", _SAMPLE_STRATA)
     return modelling.sampling_report(stored, sample, "1:2", _SAMPLE_STRATA)
 
@@ -403,7 +402,7 @@ _MONTH_ORDER = ["obs", "cf_date", "scs", "milk", "protein"]
 
 
 def _shared(spark, sf_dir):
-    stored = materialize(anchors(spark, sf_dir), "anchors")
+    stored = anchors(spark, sf_dir)
     out = modelling.shared_anchors(
         features(spark, sf_dir), stored, [1, 2], _LAGGED, _KEPT, support=_SUPPORT, min_year=1996, order=_MONTH_ORDER,
         fail_on_null=False)

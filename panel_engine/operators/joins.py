@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from panel_engine.operators.clean import require_columns, require_rows
 from panel_engine.operators.ordered import null_safe_join
 from panel_engine.operators.reduce import first_non_null
+from panel_engine.sources.scratch import materialize
 
 JOIN_TYPES = {"left", "right", "inner", "outer"}
 _NUMERIC_ORDER = [T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType]
@@ -102,11 +103,17 @@ class Join:
 
 def merge_all(
     base: DataFrame, joins: Sequence[Join], drop_columns: Sequence[str] = (), dedupe: bool = True,
-    null_safe: bool = False, fail_if_empty: bool = False,
+    null_safe: bool = False, fail_if_empty: bool = False, store: bool = False,
 ) -> DataFrame:
-    """Fold the joins in order, drop technical columns, remove duplicate rows."""
+    """Fold the joins in order, drop technical columns, remove duplicate rows.
+
+    An outer join reads its left side twice; ``store`` writes that side first, so a chain of
+    outer joins does not repeat the joins before it.
+    """
     out = base
     for j in joins:
+        if store and j.how == "outer":
+            out = materialize(out, "merge")
         out = merge(out, j.table, j.keys, j.how, null_safe)
         if fail_if_empty:
             require_rows(out, f"join {j.name!r} is empty: check its keys and type")
@@ -122,7 +129,8 @@ def reduce_join(tables: Sequence[DataFrame], keys: Sequence[str], how: str) -> D
 def fill_from_entity(df: DataFrame, entity: str, column: str, order: Sequence[str] = ()) -> DataFrame:
     """Fill nulls with the entity's first non-null value.
 
-    Only the rows that lack a value meet the look-up; the rest never shuffle.
+    Only the rows that lack a value meet the look-up; the rest never shuffle. ``df`` is read
+    three times under complementary filters: pass a stored table.
     """
     lookup = (
         first_non_null(df.where(F.col(column).isNotNull()), [entity], [column], order)

@@ -1,4 +1,8 @@
-"""From raw periodic records to the merged panel."""
+"""From raw periodic records to the merged panel.
+
+Steps that feed several later plans end in a stored table (``store=True``): a plan built
+lazily over a shared, expensive input would repeat that input once per reference.
+"""
 
 from __future__ import annotations
 
@@ -126,14 +130,15 @@ def treatment_report(
 def merged_panel(
     control: DataFrame, lactose: DataFrame, conductivity: DataFrame, calving: DataFrame,
     treatments: DataFrame, registry: DataFrame, drop_columns: Sequence[str] = tuple(config.MERGE_DROPPED_COLUMNS),
-    fail_if_empty: bool = False,
+    fail_if_empty: bool = False, store: bool = True,
 ) -> DataFrame:
     """The canonical multi-source join."""
     day, month = ["id", "day", "month", "year"], ["id", "month", "year"]
-    return joins.merge_all(control, [
+    out = joins.merge_all(control, [
         joins.Join(lactose, day, "left", "lactose"),
         joins.Join(conductivity, day, "left", "conductivity"),
         joins.Join(calving, month, "outer", "calving"),
         joins.Join(treatments, month, "outer", "treatments"),
         joins.Join(registry, ["id"], "inner", "registry"),
-    ], drop_columns, fail_if_empty=fail_if_empty)
+    ], drop_columns, fail_if_empty=fail_if_empty, store=store)
+    return materialize(out, "merged") if store else out

@@ -13,6 +13,7 @@ from panel_engine.functions import scalars as S
 from panel_engine.operators import clean, joins, reduce, sampling, timeline
 from panel_engine.operators.impute import add_age_class
 from panel_engine.operators.timeline import MONTH_IDX, lag_name
+from panel_engine.sources.scratch import materialize
 from panel_engine.sources.writers import distinct_ids, document
 
 
@@ -38,6 +39,7 @@ def validated_anchors(
     df: DataFrame, lags: Sequence[int] = tuple(config.LAG_STEPS), target: str = "disease", entity: str = "id",
     support: Sequence[str] = tuple(config.SUPPORT_COLUMNS), min_year: int = config.MIN_YEAR,
     keep_index: bool = True, order: Sequence[str] = (), duplicates: str = "strict", fail_if_empty: bool = False,
+    store: bool = True,
 ) -> DataFrame:
     """Rows whose lagged months all exist, exactly k months back.
 
@@ -59,6 +61,8 @@ def validated_anchors(
     out = clean.ordered_projection(rows, [
         entity, "year", "month", *([MONTH_IDX] if keep_index else []), *history,
         *[lag_name(c, k) for k in lags for c in history], *support])
+    if store:  # samples, shared sets and reports all read the anchors again
+        out = materialize(out, "anchors")
     return clean.require_rows(out, "no validated anchors left") if fail_if_empty else out
 
 
@@ -98,10 +102,12 @@ def sample_candidates(
 def balanced_sample(
     anchors: DataFrame, ratio: tuple[int, int] | str = "1:1", strata: Sequence[str] = tuple(config.SAMPLE_STRATA),
     seed: int = 42, target: str = "disease", healthy: str = "healthy", positive: Sequence[int] = (1, 0, 0),
-    negative: Sequence[int] = (0, 0, 0), entity: str = "id", fail_if_empty: bool = False,
+    negative: Sequence[int] = (0, 0, 0), entity: str = "id", fail_if_empty: bool = False, store: bool = True,
 ) -> DataFrame:
     """Exact positives:negatives inside every shared stratum."""
     rows = sample_candidates(anchors, target, healthy, positive, negative, strata, entity)
+    if store:  # read for its counts, for its hash buckets and for its rows
+        rows = materialize(rows, "candidates")
     out = sampling.sample_exact_ratio(rows, strata, ratio, [entity, "year", "month"], seed).drop("__class")
     return clean.require_rows(out, "no stratum holds both classes at this ratio") if fail_if_empty else out
 

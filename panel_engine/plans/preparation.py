@@ -1,4 +1,4 @@
-"""From the merged panel to the labelled, imputed panel."""
+"""From the merged panel to the labelled, imputed panel. Steps end in stored tables."""
 
 from __future__ import annotations
 
@@ -22,7 +22,7 @@ def coerce_dates(df: DataFrame, columns: Sequence[str] = tuple(DATES)) -> DataFr
         c: S.as_date(c, df.schema[c].dataType.simpleString()) for c in columns if c in df.columns})
 
 
-def pre_process(df: DataFrame, min_age: int = 2, max_age: int = 7) -> DataFrame:
+def pre_process(df: DataFrame, min_age: int = 2, max_age: int = 7, store: bool = True) -> DataFrame:
     """Birth date per entity, plausible age, binary calving flag, one breed per entity."""
     clean.require_columns(df, ["id", "birth_date"])
     df = joins.fill_from_entity(coerce_dates(df), "id", "birth_date")
@@ -32,12 +32,15 @@ def pre_process(df: DataFrame, min_age: int = 2, max_age: int = 7) -> DataFrame:
     df = df.withColumn("age", S.age_years(reference, "birth_date")).where(F.col("age").between(min_age, max_age))
     df = clean.ensure_columns(df, {"calving": (0, "int"), "breed": (None, "string")})
     df = df.withColumn("calving", S.binary_flag("calving"))
-    return joins.fill_from_entity(df, "id", "breed", [c for c in TEMPORAL_ORDER if c in df.columns])
+    if store:
+        df = materialize(df, "aged")
+    out = joins.fill_from_entity(df, "id", "breed", [c for c in TEMPORAL_ORDER if c in df.columns])
+    return materialize(out, "preprocessed") if store else out
 
 
 def add_features(
     df: DataFrame, season_mode: str = "both", lactation_mode: str = "both",
-    window_days: int = config.LABEL_WINDOW_DAYS, high_scs: float = config.HIGH_SCS,
+    window_days: int = config.LABEL_WINDOW_DAYS, high_scs: float = config.HIGH_SCS, store: bool = True,
 ) -> DataFrame:
     """Health flag, season, lactation and the treatment-ahead label."""
     if season_mode not in {"cat", "cyclic", "both"}:
@@ -66,15 +69,18 @@ def add_features(
 
     df = df.withColumn("lactation_phase", S.lactation_phase("months_since_calving"))
     df = df.where(F.col("months_since_calving").isNotNull())
+    if store:  # the label reads it as checks, as events and as the rows to label
+        df = materialize(df, "phased")
     df = timeline.event_within(df, df, "id", "cf_date", "t_date", 1, window_days - 1, "disease")
     df = df.where(F.col("cf_date").isNotNull() & (F.col("lactation_phase") != "peripartum"))
     dropped = {"cat": ["month_sin", "month_cos"], "cyclic": ["season"]}.get(season_mode, [])
-    return df.drop(*dropped, *(["lactation_phase"] if lactation_mode == "months" else []))
+    out = df.drop(*dropped, *(["lactation_phase"] if lactation_mode == "months" else []))
+    return materialize(out, "features") if store else out
 
 
 def impute(
     df: DataFrame, model: HierarchicalImputerModel | None = None, min_group_n: int = 5,
-    global_fallback: bool = True, clip_imputed: bool = True, metadata: bool = False,
+    global_fallback: bool = True, clip_imputed: bool = True, metadata: bool = False, store: bool = True,
 ) -> tuple[DataFrame, HierarchicalImputerModel]:
     """Fit on ``df`` and fill it, or fill it with a fitted model."""
     columns = [c for c in config.MEASURES if c in df.columns]
@@ -84,7 +90,8 @@ def impute(
         model = HierarchicalImputer(
             columns=columns, min_group_n=min_group_n, global_fallback=global_fallback,
             clip_imputed=clip_imputed).fit(df)
-    return model.transform(df, metadata), model
+    out = model.transform(df, metadata)
+    return (materialize(out, "imputed") if store else out), model
 
 
 def imputation_report(
