@@ -418,7 +418,7 @@ SELECT o_orderpriority, o_orderkey, o_totalprice,
   CAST(dense_rank() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC) AS INTEGER) AS rank FROM orders""")
 def dense_rank(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select("o_orderpriority", "o_orderkey", "o_totalprice")
-    return dense_rank_desc(rows, "o_totalprice", "rank", ["o_orderpriority"])
+    return dense_rank_desc(rows, "o_totalprice", "rank", ["o_orderpriority"], hot_rows=0)
 
 
 @query("w6_keep_first", """

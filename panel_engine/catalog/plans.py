@@ -149,11 +149,11 @@ def calving_report(spark, sf_dir):
 
 
 @query("c4_birth_registry", f"""
-SELECT id, min(birth_date) AS birth_date FROM ({PANEL}) WHERE birth_date IS NOT NULL AND obs % 10 <> 3
+SELECT id, min(birth_date) AS birth_date FROM ({PANEL}) WHERE birth_date IS NOT NULL AND scs IS NOT NULL
   AND year(birth_date) BETWEEN 1994 AND 1996 AND id IN ({_IDS}) GROUP BY id""")
 def birth_registry(spark, sf_dir):
     b = F.col("birth_date")
-    text = F.when(F.col("obs") % 10 == 3, "unknown").when(F.col("obs") % 2 == 0, F.date_format(b, "yyyy-MM-dd")).otherwise(
+    text = F.when(F.col("scs").isNull(), "unknown").when(F.col("milk") > 25, F.date_format(b, "yyyy-MM-dd")).otherwise(
         F.date_format(b, "d/M/yyyy"))
     raw = panel(spark, sf_dir).select(F.col("id").alias("idAnimale"), text.alias("DataNascita"))
     return construction.birth_registry(raw, _ids(spark, sf_dir), years=(1994, 1996))
@@ -161,8 +161,8 @@ def birth_registry(spark, sf_dir):
 
 _TREATED = """
 SELECT 'IT' || CAST(o_custkey AS VARCHAR) AS tag, o_orderpriority AS diagnosis,
-  CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS t_date FROM orders
-WHERE o_orderpriority = '2-HIGH' AND o_orderkey % 17 <> 0"""
+  CASE WHEN o_totalprice < 40000 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS t_date FROM orders
+WHERE o_orderpriority = '2-HIGH' AND o_orderstatus <> 'P'"""
 _TAGGED = "SELECT 'IT' || CAST(c_custkey AS VARCHAR) AS tag, c_custkey AS id FROM customer WHERE c_nationkey <> 3"
 TREATMENTS = f"""
 SELECT id, tag AS "Marca", diagnosis, t_date, CAST(year(t_date) AS INTEGER) AS year, CAST(month(t_date) AS INTEGER) AS month, CAST(day(t_date) AS INTEGER) AS day
@@ -172,9 +172,9 @@ WHERE rn = 1 AND id IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)"""
 
 
 def _raw_treatments(spark, sf_dir):
-    key, day = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
+    day = F.col("o_orderdate").cast("date")
     text = (
-        F.when(key % 17 == 0, F.lit(None).cast("string")).when(key % 13 == 0, "31/02/2020")
+        F.when(F.col("o_orderstatus") == "P", F.lit(None).cast("string")).when(F.col("o_totalprice") < 40000, "31/02/2020")
         .otherwise(F.date_format(day, "dd/MM/yyyy")))
     return table(spark, sf_dir, "orders").select(
         F.concat(F.lit("IT"), F.col("o_custkey").cast("string")).alias("CAPO_IDENTIFICATIVO"),
@@ -205,13 +205,13 @@ def treatment_report(spark, sf_dir):
 
 
 _SOURCES = f"""
-control AS (SELECT id, year, month, day, min(milk) AS milk, min(cf_date) AS cf_date FROM ({PANEL}) WHERE obs % 3 <> 0 GROUP BY id, year, month, day),
+control AS (SELECT id, year, month, day, min(milk) AS milk, min(cf_date) AS cf_date FROM ({PANEL}) WHERE breed IS NOT NULL GROUP BY id, year, month, day),
 lact AS (SELECT id, year, month, day, min(lactose) AS lactose FROM ({PANEL}) WHERE lactose IS NOT NULL GROUP BY id, year, month, day),
 cond AS (SELECT id, year, month, day, min(ec) AS ec FROM ({PANEL}) WHERE ec IS NOT NULL GROUP BY id, year, month, day),
 calv AS (SELECT id, year, month, min(calving_date) AS calving_date, 1 AS calving FROM ({PANEL}) WHERE calving_date IS NOT NULL GROUP BY id, year, month),
 trea AS (SELECT id, CAST(year(t_date) AS INTEGER) AS year, CAST(month(t_date) AS INTEGER) AS month, min(t_date) AS t_date FROM ({PANEL})
   WHERE t_date IS NOT NULL GROUP BY 1, 2, 3),
-regi AS (SELECT id, min(birth_date) AS birth_date FROM ({PANEL}) WHERE birth_date IS NOT NULL AND id % 10 <> 4 GROUP BY id)"""
+regi AS (SELECT id, min(birth_date) AS birth_date FROM ({PANEL}) WHERE birth_date IS NOT NULL AND breed = 'bruna' AND milk > 20 GROUP BY id)"""
 
 
 @query("c6_merged_panel", f"""
@@ -225,14 +225,14 @@ SELECT DISTINCT m3.*, regi.birth_date FROM m3 JOIN regi USING (id)""")
 def merged_panel(spark, sf_dir):
     p = panel(spark, sf_dir)
     day = ["id", "year", "month", "day"]
-    control = p.where("obs % 3 <> 0").groupBy(*day).agg(F.min("milk").alias("milk"), F.min("cf_date").alias("cf_date"))
+    control = p.where("breed is not null").groupBy(*day).agg(F.min("milk").alias("milk"), F.min("cf_date").alias("cf_date"))
     lact = p.where("lactose is not null").groupBy(*day).agg(F.min("lactose").alias("lactose"))
     cond = p.where("ec is not null").groupBy(*day).agg(F.min("ec").alias("ec"))
     calv = p.where("calving_date is not null").groupBy("id", "year", "month").agg(
         F.min("calving_date").alias("calving_date"), F.min("day").alias("day"), F.lit(1).alias("calving"))
     trea = p.where("t_date is not null").groupBy("id", F.year("t_date").alias("year"), F.month("t_date").alias("month")).agg(
         F.min("t_date").alias("t_date"), F.min("day").alias("day"))
-    regi = p.where("birth_date is not null and id % 10 <> 4").groupBy("id").agg(F.min("birth_date").alias("birth_date"))
+    regi = p.where("birth_date is not null and breed = 'bruna' and milk > 20").groupBy("id").agg(F.min("birth_date").alias("birth_date"))
     return construction.merged_panel(control, lact, cond, calv, trea, regi)
 
 

@@ -12,6 +12,7 @@ from panel_engine.functions.scalars import (
 )
 from panel_engine.operators.ordered import dense_rank_desc
 from panel_engine.operators.reduce import keep_first
+from panel_engine.sources.scratch import materialize
 
 PERM_ALIASES = {
     "feature": ["feature"],
@@ -51,13 +52,16 @@ def top_k(df: DataFrame, rank: str, k: int, model: str = "model") -> DataFrame:
 
 
 def rank_permutation(df: DataFrame) -> DataFrame:
-    """(model, feature, perm_score, interaction_partners as text) -> cleaned and ranked."""
+    """(model, feature, perm_score, interaction_partners as text) -> cleaned and ranked.
+
+    Ranking reads the cleaned table several times, so it is stored first; so are the ranks.
+    """
     df = df.select(
         "model", F.trim("feature").alias("feature"),
         F.coalesce(safe_double("perm_score"), F.lit(0.0)).alias("perm_score"),
         split_list("interaction_partners").alias("interaction_partners"))
     df = keep_first(df, ["model", "feature"], [F.desc("perm_score"), F.col("interaction_partners")])
-    return dense_rank_desc(df, "perm_score", "rank_perm", ["model"])
+    return materialize(dense_rank_desc(materialize(df, "scores"), "perm_score", "rank_perm", ["model"]), "ranks")
 
 
 def rank_shap(df: DataFrame, monotonicity: float) -> DataFrame:
@@ -66,7 +70,8 @@ def rank_shap(df: DataFrame, monotonicity: float) -> DataFrame:
         F.coalesce(safe_double("mean_abs_shap"), F.lit(0.0)).alias("mean_abs_shap"),
         F.coalesce(safe_double("spearman"), F.lit(0.0)).alias("spearman"))
     df = keep_first(df, ["model", "feature"], [F.desc("mean_abs_shap"), F.col("spearman")])
-    return dense_rank_desc(df, "mean_abs_shap", "rank_shap", ["model"]).withColumns({
+    ranked = dense_rank_desc(materialize(df, "scores"), "mean_abs_shap", "rank_shap", ["model"])
+    return materialize(ranked, "ranks").withColumns({
         "spearman_abs": F.abs("spearman"), "spearman_sign": dead_zone_sign("spearman", monotonicity)})
 
 

@@ -140,8 +140,17 @@ def cumulative(
     )
 
 
-def dense_rank_desc(df: DataFrame, score: str, name: str, groups: Sequence[str] = ()) -> DataFrame:
-    """Dense rank per group, highest score first: rank the distinct scores, then look it up."""
+def dense_rank_desc(
+    df: DataFrame, score: str, name: str, groups: Sequence[str] = (), hot_rows: int = HOT_GROUP_ROWS,
+) -> DataFrame:
+    """Dense rank per group, highest score first.
+
+    A plain window while the largest group, counted first, stays below ``hot_rows``; beyond
+    it the distinct scores are ranked by bucket and looked up.
+    """
+    if (df.groupBy(*groups).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0) <= hot_rows:
+        by_score = Window.partitionBy(*(groups or [F.lit(0)])).orderBy(F.desc(score))
+        return df.withColumn(name, F.dense_rank().over(by_score))
     keys = list(groups) or ["__g"]
     src = df if groups else df.withColumn("__g", F.lit(0))
     src = src.withColumn("__v", -F.col(score).cast("double"))

@@ -44,8 +44,10 @@ def normal(columns, rows):
     return [columns[i] for i in order], data, [_kind(rows, i) for i in order]
 
 
-def difference(spark_df, con, sql) -> str | None:
+def difference(spark_df, con, sql, size: list | None = None) -> str | None:
     got = normal(spark_df.columns, [tuple(r) for r in spark_df.collect()])
+    if size is not None:
+        size[:] = [len(got[1]), time.time()]
     res = con.execute(sql)
     want = normal([d[0] for d in res.description], res.fetchall())
     if got[0] != want[0]:
@@ -76,15 +78,18 @@ def main() -> int:
     for name, fn in queries.items():
         if names and not any(name.startswith(n) for n in names):
             continue
-        start = time.time()
+        start, name_note = time.time(), name
         try:
             df = fn(spark, sf_dir)
-            diff = difference(df, con, oracles[name]) if name in oracles else f"rows {df.count()} (no oracle)"
+            size: list = []
+            diff = difference(df, con, oracles[name], size) if name in oracles else f"rows {df.count()} (no oracle)"
+            if size:
+                name_note = f"{name} [{size[0]} rows, spark {size[1] - start:.2f}s]"
         except Exception as error:  # report and go on
             diff = f"{type(error).__name__}: {str(error)[:700]}"
         bad = diff is not None and name in oracles or (diff or "").find("Error") >= 0 or (diff or "").find("Exception") >= 0
         failed += bool(bad)
-        print(f"{'FAIL' if bad else 'ok  '} {name} {time.time() - start:.2f}s {diff or ''}", flush=True)
+        print(f"{'FAIL' if bad else 'ok  '} {name_note} {time.time() - start:.2f}s {diff or ''}", flush=True)
     print(f"{failed} failed")
     return failed
 

@@ -46,8 +46,11 @@ def test_cumulative_and_rank_match_plain_windows(spark, rows):
         for i, (v, w) in enumerate(seen):
             total += w
             assert got[g, v] == (total, sum(x[1] for x in seen), seen[i + 1][0] if i + 1 < len(seen) else None)
-    ranked = dense_rank_desc(spark.createDataFrame([("m", 2.0), ("m", 2.0), ("m", 1.0), ("n", 5.0)], "m string, s double"), "s", "r", ["m"])
-    assert rows(ranked) == [("m", 1.0, 2), ("m", 2.0, 1), ("m", 2.0, 1), ("n", 5.0, 1)]
+    scored = spark.createDataFrame([("m", 2.0), ("m", 2.0), ("m", 1.0), ("n", 5.0)], "m string, s double")
+    for hot_rows in (0, 100):
+        ranked = dense_rank_desc(scored, "s", "r", ["m"], hot_rows)
+        assert rows(ranked) == [("m", 1.0, 2), ("m", 2.0, 1), ("m", 2.0, 1), ("n", 5.0, 1)]
+        assert {r.r for r in dense_rank_desc(scored, "s", "r", (), hot_rows).collect()} == {1, 2, 3}
 
 
 # ---- cleaning ---------------------------------------------------------------------------
