@@ -70,7 +70,9 @@ def calving_events(raw: DataFrame, ids: DataFrame, year_after: int | None = 2018
 
 def calving_report(raw: DataFrame, ids: DataFrame, year_after: int | None = 2018) -> dict[str, DataFrame]:
     before, after = calving_rows(raw, ids, year_after), calving_events(raw, ids, year_after)
+    days = before.groupBy("id", "year", "month", "day").agg(F.count(F.lit(1)).alias("n"))
     return {
+        "same_day": days.agg(F.count_if(F.col("n") > 2).alias("days_with_more_than_two_rows")),
         "raw": reduce.count_distribution(before, "id"),
         "final": reduce.count_distribution(after, "id"),
         "reconciliation": reduce.reconcile(before, after, "id"),

@@ -239,3 +239,21 @@ def test_windows_run_on_period_summaries(spark):
     tree = plan[:plan.index("\n\n\n")]
     assert "Window" in tree and tree.index("Window") < tree.index("HashAggregate")
     assert "EvalPython" not in plan and "CartesianProduct" not in plan
+
+
+def test_fences_reach_the_scan(spark, tmp_path):
+    spark.range(100).withColumn("v", F.col("id").cast("double")).write.parquet(str(tmp_path / "t"))
+    kept = clean.quality_cascade(spark.read.parquet(str(tmp_path / "t")), [("v", True)]).select("v")
+    plan = plan_of(kept)
+    assert "GreaterThanOrEqual(v," in plan and "ReadSchema: struct<v:double>" in plan and "Exchange" not in plan
+
+
+def test_hot_entity_reaches_windows_as_one_row_per_period(spark):
+    """A third of all rows on one entity: window input stays at distinct periods."""
+    hot = spark.range(20000).select(F.lit(0).alias("id"), (F.col("id") % 5).cast("int").alias("m"), F.col("id").alias("v"))
+    cold = spark.range(40000).select(F.col("id").cast("int").alias("id"), F.lit(1).alias("m"), F.col("id").alias("v"))
+    df = hot.unionByName(cold).withColumnRenamed("m", timeline.MONTH_IDX)
+    out = timeline.row_history(df, "id", ["v"], [1], ["v"])
+    assert out.where("id = 0").count() == 5
+    ff = timeline.ever_flag(df, "id", F.col("v") == 19999, "e")
+    assert ff.where("e = 1 and id = 0").count() == 20001

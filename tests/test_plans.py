@@ -63,6 +63,7 @@ def test_calving(spark, rows):
          (7, 1, 1, 2020, 1.0, None, None, None)], schema)
     assert rows(construction.calving_events(raw, ids), "id", "calving_date", "same_day_records", "calving") == [(1, D(2020, 3, 4), 1, 1)]
     report = construction.calving_report(raw, ids)
+    assert report["same_day"].first()[0] == 1
     assert report["reconciliation"].first().asDict() == {"entities": 2, "changed": 2, "lost_entirely": 1, "events_removed": 5}
 
 
