@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 from panel_engine import config
 from panel_engine.catalog.base import query
 from panel_engine.catalog.frames import DAYS, FEATURES, PANEL, days, features, panel, table
-from panel_engine.operators import clean, impute, quality, reduce, sampling, timeline
-from panel_engine.operators.impute import HierarchicalImputer
+from panel_engine.operators import clean, consensus, impute, quality, reduce, sampling, timeline
+from panel_engine.operators.impute import HierarchicalImputer, HierarchicalImputerModel
 from panel_engine.operators.ordered import cumulative, dense_rank_desc, grouped_quantiles
 from panel_engine.operators.timeline import MONTH_IDX
 from panel_engine.plans import modelling
-from panel_engine.sources.scratch import materialize
+from panel_engine.sources.scratch import materialize, new_path
 
 # ---- per-key reductions -----------------------------------------------------------------
 
@@ -297,8 +297,6 @@ SELECT feature, CASE WHEN c >= 2 OR c + s >= 2 THEN 'yes' ELSE 'no' END AS to_se
 FROM (SELECT feature, count(*) FILTER (WHERE model_label = 'core') AS c, count(*) FILTER (WHERE model_label = 'supportive') AS s
   FROM ({_LABELS}) GROUP BY feature)""")
 def vote_counting(spark, sf_dir):
-    from panel_engine.operators import consensus
-
     sums = (
         table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
         .groupBy(F.col("l_returnflag").alias("model"), F.col("p_brand").alias("feature")).agg(F.sum("l_quantity").alias("q")))
@@ -353,17 +351,15 @@ def imputed_sql(min_n: int) -> str:
        + " UNION ALL ".join(f"SELECT '{c}' AS feature, t_{c} AS level, x_{c} AS clipped FROM filled WHERE t_{c} IS NOT NULL" for c in _M)
        + ") GROUP BY feature, level")
 def level_usage(spark, sf_dir):
-    imputed = HierarchicalImputer(min_group_n=5).fit_transform(features(spark, sf_dir), metadata=True)
+    rows = materialize(features(spark, sf_dir), "features")
+    imputed = HierarchicalImputer(min_group_n=5).fit_transform(rows, metadata=True)
     return impute.level_usage(imputed, _M)
 
 
 @query("f2_hierarchical_imputer", imputed_sql(10) + " SELECT id, obs, cf_date, " + ", ".join(f"round(f_{c}, 8) AS {c}" for c in _M) + " FROM filled")
 def hierarchical_imputer(spark, sf_dir):
     """Fit on all rows, store the medians, load them and fill."""
-    from panel_engine.operators.impute import HierarchicalImputerModel
-    from panel_engine.sources.scratch import new_path
-
-    rows = features(spark, sf_dir)
+    rows = materialize(features(spark, sf_dir), "features")
     path = HierarchicalImputer(min_group_n=10).fit(rows).save(new_path(spark, "imputer"))
     filled = HierarchicalImputerModel.load(spark, path).transform(rows)
     return filled.select("id", "obs", "cf_date", *[F.round(c, 8).alias(c) for c in _M])

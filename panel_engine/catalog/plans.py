@@ -289,7 +289,8 @@ def features_categorical(spark, sf_dir):
 
 @query("c9_imputation", imputed_sql(10) + " SELECT id, obs, cf_date, " + ", ".join(f"round(f_{c}, 8) AS {c}" for c in _M) + " FROM filled")
 def imputation(spark, sf_dir):
-    filled, _ = preparation.impute(features(spark, sf_dir), min_group_n=10)
+    stored = materialize(features(spark, sf_dir), "features")  # as the step before leaves it
+    filled, _ = preparation.impute(stored, min_group_n=10)
     return filled.select("id", "obs", "cf_date", *[F.round(c, 8).alias(c) for c in _M])
 
 
