@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F  # noqa: F401
+from pyspark.sql import functions as F
 
-from panel_engine.llm import simhash
+from panel_engine.llm import bpe, mixing, simhash
 from panel_engine.llm.catalog import query
 from panel_engine.llm.text import read
 
@@ -14,3 +15,18 @@ from panel_engine.llm.text import read
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hexadecimal().alias("fingerprint"), "component_id")
+
+
+@query("op4_byte_level_bpe")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN).drop("text"), ranks)
+    return coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), bpe.digest().alias("ids_sha256"),
+        F.sha2("data", 256).alias("decoded_sha256"))
+
+
+@query("op5_mixing_sources")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "shard", "position")
