@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panel_engine.llm import bpe, mixing, simhash
+from panel_engine.llm import bpe, language, mixing, quality, secrets, simhash
 from panel_engine.llm.catalog import query
 from panel_engine.llm.text import read
 
@@ -30,3 +30,55 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_mixing_sources")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "shard", "position")
+
+
+OP3_SQL = r"""
+WITH w AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents),
+windows AS (
+  SELECT doc_id, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+twice AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, a, b, c) > 1),
+covered AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM twice, range(3) AS r(j) GROUP BY doc_id),
+counts AS (
+  SELECT w.doc_id, t, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
+    (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words,
+    len(string_split(t, chr(10))) AS n_lines,
+    len(list_filter(w, lambda x: regexp_matches(x, '\p{L}'))) AS lettered,
+    len(list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '(\.\.\.|…)[\x20\t\r]*$'))) AS ellipses
+  FROM w LEFT JOIN covered USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR word_chars < 2 * n_words OR word_chars > 20 * n_words
+    OR 2 * n_symbols > n_words OR n_dup_lines * 10 > n_lines * 5 OR 2 * lettered < n_words OR ellipses * 10 > n_lines * 5
+    OR len(list_filter(list_distinct(string_split(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'), '')),
+      lambda c: contains(t, repeat(c, 200)))) > 0) AS kept
+FROM counts
+"""
+
+
+@query("op3_quality_rules", OP3_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.cascade(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op1_secret_scan")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def n(kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    found = secrets.scan(read(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", *[n(k) for k in secrets.BASE], F.sha2(secrets.written(F.col("base")), 256).alias("base_sha256"),
+        secrets.written(F.col("spans")).alias("spans"))
+
+
+@query("op10_language_id")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held = language.held_out("doc_id", 3, 1)
+    model = language.fit(docs.where(~held))
+    return language.label(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score", "n_letter_words", "switches")
