@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panel_engine.llm import bpe, language, mixing, quality, secrets, simhash
+from panel_engine.llm import ann, bpe, language, mixing, quality, secrets, simhash, toxicity
 from panel_engine.llm.catalog import query
 from panel_engine.llm.text import read
 
@@ -82,3 +82,18 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = language.held_out("doc_id", 3, 1)
     model = language.fit(docs.where(~held))
     return language.label(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score", "n_letter_words", "switches")
+
+
+@query("op9_toxicity")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = read(spark, sf_dir, "documents"), language.held_out("doc_id", 5, 0)
+    model = toxicity.fit(docs.where(~held), read(spark, sf_dir, "labels").where(~held))
+    found = toxicity.score(docs, model)
+    return found.select(
+        "doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"),
+        F.size("passages").alias("n_passages"))
+
+
+@query("op8_nearest_neighbours")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read(spark, sf_dir, "embeddings"), lambda key: key % 20 == 0)
