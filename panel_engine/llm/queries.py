@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panel_engine.llm import ann, bpe, language, mixing, quality, secrets, simhash, toxicity
+from panel_engine.llm import ann, bpe, language, mixing, quality, recompression, secrets, simhash, toxicity
 from panel_engine.llm.catalog import query
 from panel_engine.llm.text import read
 
@@ -97,3 +97,18 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_nearest_neighbours")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(read(spark, sf_dir, "embeddings"), lambda key: key % 20 == 0)
+
+
+@query("op7_substring_dedup", """
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM w)),
+later AS (SELECT doc_id, i FROM windows QUALIFY doc_id > min(doc_id) OVER (PARTITION BY s)),
+gone AS (SELECT DISTINCT doc_id, i + j AS i FROM later, range(13) AS r(j)),
+lost AS (SELECT doc_id, list(i) AS lost FROM gone GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(lost), 0)::BIGINT AS n_removed,
+  sha256(array_to_string(CASE WHEN lost IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(lost, i)) END, ' ')) AS kept_sha256
+FROM w LEFT JOIN lost USING (doc_id)
+""")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = recompression.remove_repeats(read(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
