@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panel_engine.llm import ann, bpe, language, mixing, quality, recompression, secrets, simhash, toxicity
+from panel_engine.llm import ann, bpe, language, mixing, quality, recompression, secrets, simhash, suffixdedup, toxicity
 from panel_engine.llm.catalog import query
 from panel_engine.llm.text import read
 
@@ -112,3 +112,9 @@ FROM w LEFT JOIN lost USING (doc_id)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = recompression.remove_repeats(read(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op6_suffix_array_dedup")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffixdedup.remove_repeats(read(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

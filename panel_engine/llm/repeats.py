@@ -26,7 +26,7 @@ from panel_engine.llm.text import whole
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15
 #: Bytes of text that are worked on at once in a task.
-BUNDLE_BYTES = 4 << 20
+BUNDLE_BYTES = 2 << 20
 #: Key slices; a multiple of the shuffle partitions, so that a slice stays small at any size.
 SLICES_PER_PARTITION, LEAST_SLICES = 16, 512
 
