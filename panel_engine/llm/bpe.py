@@ -12,9 +12,12 @@ from __future__ import annotations
 
 import base64
 import heapq
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,7 +26,7 @@ from panel_engine.llm.text import cut, whole
 
 CHUNK, OVERLAP = 1 << 15, 1 << 9
 #: Distinct pre-tokens remembered by a task; the memory starts anew beyond it.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 19
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -68,22 +71,33 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Encoder:
-    """Encodes a text pre-token by pre-token, remembering the ids of those seen."""
+    """Encodes a text pre-token by pre-token, remembering the ids of those seen, as packed integers."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.find = ranks, regex.compile(pattern).findall
-        self.known: dict[str, list[int]] = {}
+        self.ranks, self.pattern, self.find = ranks, pattern, regex.compile(pattern).findall
+        self.known: dict[str, bytes] = {}
 
-    def encode(self, text: str) -> list[int]:
-        known, ids = self.known, []
+    def packed(self, text: str) -> bytes:
+        known, ranks = self.known, self.ranks
         if len(known) > REMEMBERED:
             known.clear()
-        for token in self.find(text):
-            got = known.get(token)
-            if got is None:
-                got = known[token] = merge(token.encode(), self.ranks)
-            ids += got
-        return ids
+        tokens = self.find(text)
+        for token in set(tokens).difference(known):
+            known[token] = array("i", merge(token.encode(), ranks)).tobytes()
+        return b"".join(map(known.__getitem__, tokens))
+
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.packed(text), np.int32).tolist()
+
+
+_KEPT: list[Encoder] = []
+
+
+def kept_encoder(ranks: dict[bytes, int], pattern: str) -> Encoder:
+    """The Python worker's encoder, kept from task to task while the vocabulary stays."""
+    if not _KEPT or _KEPT[0].ranks is not ranks or _KEPT[0].pattern != pattern:
+        _KEPT[:] = [Encoder(ranks, pattern)]
+    return _KEPT[0]
 
 
 def pieces(
@@ -141,12 +155,14 @@ def encode(
     shared = docs.sparkSession.sparkContext.broadcast(ranks)  # the vocabulary: fixed, some 50,000 entries
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Encoder(shared.value, pattern)
+        own = kept_encoder(shared.value, pattern)
         for batch in batches:
             at = batch.schema.get_field_index("__text")
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                got = pa.array([own.encode(t) for t in part.column(at).to_pylist()], pa.list_(pa.int32()))
+                packed = [own.packed(t) for t in part.column(at).to_pylist()]
+                offsets = np.cumsum([0, *[len(p) // 4 for p in packed]], dtype=np.int32)
+                got = pa.ListArray.from_arrays(offsets, np.frombuffer(b"".join(packed), np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [*[c for k, c in enumerate(part.columns) if k != at], got],
                     names=[*[n for n in part.schema.names if n != "__text"], ids])
@@ -173,7 +189,12 @@ def decode(df: DataFrame, ranks: dict[bytes, int], ids: str = "ids", data: str =
             at = batch.schema.get_field_index(ids)
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                got = [None if x is None else b"".join(map(token, x)) for x in part.column(at).to_pylist()]
+                flat = list(map(token, part.column(at).flatten().to_numpy().tolist()))  # of rows that are not null
+                sizes = pc.fill_null(pc.list_value_length(part.column(at)), -1).to_pylist()
+                got, done = [], 0
+                for n in sizes:
+                    got.append(None if n < 0 else b"".join(flat[done:done + n]))
+                    done += max(n, 0)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got, pa.binary())], names=[*part.schema.names, data])
 
     df = df.drop(data)
