@@ -320,8 +320,8 @@ def ranked_full_join(spark, sf_dir):
     a = li.where("l_returnflag = 'A'").groupBy("feature").agg(F.sum("l_quantity").alias("score"))
     b = li.where("l_returnflag = 'R'").groupBy("feature").agg(
         F.sum(F.round(F.col("l_tax") * 100).cast("bigint")).alias("score"))
-    ra = dense_rank_desc(a, "score", "rank_a", hot_rows=0).drop("score")
-    rb = dense_rank_desc(b, "score", "rank_b", hot_rows=0).drop("score")
+    ra = dense_rank_desc(a, "score", "rank_a").drop("score")
+    rb = dense_rank_desc(b, "score", "rank_b").drop("score")
     both = ra.join(rb, "feature", "full")
     worst = ra.agg((F.max("rank_a") + 1).alias("wa")).crossJoin(rb.agg((F.max("rank_b") + 1).alias("wb")))
     return both.crossJoin(F.broadcast(worst)).select(
@@ -615,7 +615,7 @@ def stratum_key(spark, sf_dir):
 SELECT id, obs, breed, CASE WHEN breed = 'bruna' THEN 1 ELSE 0 END AS breed_bruna,
   CASE WHEN breed = 'frisona' THEN 1 ELSE 0 END AS breed_frisona FROM ({PANEL})""")
 def one_hot(spark, sf_dir):
-    out, _ = modelling.one_hot(panel(spark, sf_dir).select("id", "obs", "breed"), ["breed", "absent"])
+    out, _ = modelling.one_hot(panel(spark, sf_dir).select("id", "obs", "breed"), ["breed", "absent"], {"breed": ["bruna", "frisona"]})
     return out
 
 

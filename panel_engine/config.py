@@ -64,3 +64,9 @@ MERGE_DROPPED_COLUMNS = ["Marca", "day_x", "day_y", "day", "same_day_records"]
 SAMPLE_STRATA = ["age", "lactation_phase", "season"]
 REPORT_STRATA = ["breed", "lactation_phase", "season", "age_class"]
 # --- end of fixed values -------------------------------------------------------------
+
+#: Levels that one-hot columns are made of.
+ENCODED_LEVELS = {
+    "breed": sorted(BREEDS_KEPT), "age_class": AGE_LABELS, "season": sorted(SEASON_MONTHS),
+    "lactation_phase": ["peripartum", "early_lactation", "peak", "mid_lactation", "late_lactation"],
+}

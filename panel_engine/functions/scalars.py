@@ -157,26 +157,3 @@ def consensus_label(
               verdict("supportive", "monotonic_direction_support"))
         .otherwise(verdict("peripheral", "weak_support"))
     )
-
-
-# ---- order-preserving buckets -------------------------------------------------------
-
-BUCKETS_PER_OCTAVE = 8192
-
-
-def order_bucket(c: Column | str, per_octave: int = BUCKETS_PER_OCTAVE) -> Column:
-    """Integer bucket that never decreases as the double grows.
-
-    The bucket depends on the value alone (binary exponent plus a slice of the mantissa),
-    so partial counts per bucket combine map-side and every task agrees on the edges.
-    """
-    v = _col(c).cast("double")
-    a = F.abs(v)
-    exponent = F.floor(F.log2(a)).cast("double")
-    inside = F.floor((a / F.pow(F.lit(2.0), exponent) - 1.0) * float(per_octave))
-    magnitude = (
-        F.when(a == 0.0, F.lit(0).cast("bigint"))
-        .when(a == float("inf"), F.lit(3000 * per_octave).cast("bigint"))
-        .otherwise(((exponent + 1100.0) * float(per_octave) + inside).cast("bigint"))
-    )
-    return F.when(v < 0, -magnitude).otherwise(magnitude)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from panel_engine import config
 from panel_engine.functions.scalars import bin_right_closed, clip_where, safe_double
 from panel_engine.operators.clean import complete
-from panel_engine.operators.ordered import HOT_GROUP_ROWS, grouped_quantiles
+from panel_engine.operators.ordered import histogram_quantiles
 from panel_engine.sources.scratch import materialize
 
 GLOBAL = "GLOBAL"
@@ -40,7 +40,6 @@ class HierarchicalImputer:
     global_fallback: bool = True
     clip_imputed: bool = True
     ranges: dict[str, tuple[float, float]] = field(default_factory=lambda: dict(config.PLAUSIBLE_RANGES))
-    hot_rows: int = HOT_GROUP_ROWS
 
     def levels(self, columns: Sequence[str]) -> list[list[str]]:
         """Key sets in fill order, cut to the present columns, duplicates and empties dropped."""
@@ -60,7 +59,7 @@ class HierarchicalImputer:
         measures = [c for c in self.columns if c in work.columns]
         if not measures:
             raise ValueError("none of the columns to impute is present")
-        stats = group_medians(work, measures, levels, self.min_group_n, self.global_fallback, self.hot_rows)
+        stats = group_medians(work, measures, levels, self.min_group_n, self.global_fallback)
         # stored once: every level of every transform reads it
         return HierarchicalImputerModel(materialize(stats, "medians"), self, levels, measures)
 
@@ -70,73 +69,35 @@ class HierarchicalImputer:
 
 def group_medians(
     df: DataFrame, measures: Sequence[str], levels: Sequence[Sequence[str]], min_n: int, with_global: bool,
-    hot_rows: int = HOT_GROUP_ROWS,
 ) -> DataFrame:
     """(feature, level, level_keys, key_values, n, median) of all levels.
 
     Level 0..L-1 are the key sets; level L is the whole table. Groups with a null key or too
-    little support are absent. The built-in median keeps a group's distinct values in one
-    buffer, so groups above ``hot_rows`` rows take the bucketed exact quantile instead.
+    little support are absent. Cells are counted once per (finest keys, value); key sets that lie in
+    another are counted from its counts. All levels then share one ordering of their values.
     """
     keys = list(dict.fromkeys(k for level in levels for k in level))
-    cells = df.select(*keys, *[safe_double(c).alias(c) for c in measures])
+    cells = df.select(*keys, F.explode(F.array(*[
+        F.struct(F.lit(c).alias("feature"), safe_double(c).alias("value")) for c in measures])).alias("c")).select(*keys, "c.*")
     wanted = [*levels, []] if with_global else list(levels)
-    hot = _hot_levels(cells, wanted, hot_rows)
-    parts = []
-    for i, level in enumerate(wanted):
-        rows = cells.where(complete(level)).select(*level, *measures)
-        cold = rows
-        if hot[i] and level:
-            groups = F.broadcast(  # at most rows / hot_rows keys
-                rows.groupBy(*level).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot_rows).select(*level))
-            cold = rows.join(groups, level, "left_anti")
-            parts.append(_bucketed_medians(rows.join(groups, level, "left_semi"), measures, level, i))
-        elif hot[i]:
-            parts.append(_bucketed_medians(rows, measures, level, i))
-            continue
-        parts.append(_buffered_medians(cold, measures, level, i))
-    stats = reduce(DataFrame.unionByName, parts)
+    hists: dict[tuple, DataFrame] = {}
+    for level in sorted(wanted, key=len, reverse=True):  # a key set after those that may hold it
+        above = next((k for k in sorted(hists, key=len) if set(level) <= set(k)), None)
+        source = cells.where(F.col("value").isNotNull()).withColumn("c", F.lit(1)) if above is None else hists[above]
+        hist = source.groupBy(*level, "feature", "value").agg(F.sum("c").alias("c"))
+        hists[tuple(level)] = materialize(hist, "counts") if above is None else hist
+    # one grouping column for all levels, so that they are ordered together
+    counts = reduce(DataFrame.unionByName, [
+        hists[tuple(level)].where(complete(level)).select(F.lit(i).alias("level"), _key_values(level).alias("key_values"), "feature", "value", "c")
+        for i, level in enumerate(wanted)])
+    stats = histogram_quantiles(counts, "value", "c", [0.5], ["level", "key_values", "feature"])
     names = F.element_at(F.array(*[F.lit(" -> ".join(x)) for x in levels], F.lit(GLOBAL)), F.col("level") + 1)
     return (
         stats.where((F.col("n") >= min_n) | ((F.col("level") == len(levels)) & (F.col("n") > 0)))
-        .select("feature", "level", names.alias("level_keys"), "key_values", "n", "median")
+        .select("feature", "level", names.alias("level_keys"), "key_values", "n", F.col("q_0").alias("median"))
     )
 
 
-def _hot_levels(cells: DataFrame, levels: Sequence[Sequence[str]], hot_rows: int) -> list[bool]:
-    """Which key sets own a group above the limit; finer keys of a cool set are cool too."""
-    cool: list[set[str]] = []
-    if cells.count() <= hot_rows:
-        return [False] * len(levels)
-    hot = {}
-    for level in sorted(levels, key=len):
-        if any(c <= set(level) for c in cool):
-            hot[tuple(level)] = False
-            continue
-        sizes = cells.where(complete(level)).groupBy(*level).agg(F.count(F.lit(1)).alias("__n"))
-        hot[tuple(level)] = not sizes.where(F.col("__n") > hot_rows).isEmpty()
-        if not hot[tuple(level)]:
-            cool.append(set(level))
-    return [hot[tuple(level)] for level in levels]
-
-
-def _buffered_medians(rows: DataFrame, measures: Sequence[str], keys: Sequence[str], level: int) -> DataFrame:
-    wide = rows.groupBy(*keys).agg(*[a for c in measures for a in (
-        F.count(c).alias(f"__n_{c}"), F.median(c).alias(f"__m_{c}"))])
-    return wide.select(
-        F.lit(level).alias("level"), _key_values(keys).alias("key_values"),
-        F.explode(F.array(*[F.struct(
-            F.lit(c).alias("feature"), F.col(f"__n_{c}").alias("n"), F.col(f"__m_{c}").alias("median"))
-            for c in measures])).alias("s")).select("level", "key_values", "s.*")
-
-
-def _bucketed_medians(rows: DataFrame, measures: Sequence[str], keys: Sequence[str], level: int) -> DataFrame:
-    cells = rows.select(*keys, F.explode(F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in measures])).alias("c")).select(*keys, "c.*")
-    return grouped_quantiles(cells, "value", [0.5], [*keys, "feature"], hot_rows=0).select(
-        F.lit(level).alias("level"), _key_values(keys).alias("key_values"), "feature", "n", F.col("q_0").alias("median"))
-
-
 def _key_values(keys: Sequence[str]) -> Column:
     return F.array().cast("array<string>") if not keys else F.array(*[F.col(k).cast("string") for k in keys])
 

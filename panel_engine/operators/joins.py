@@ -16,7 +16,9 @@ from panel_engine.operators.reduce import first_non_null
 from panel_engine.sources.scratch import materialize
 
 JOIN_TYPES = {"left", "right", "inner", "outer"}
-_NUMERIC_ORDER = [T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType]
+_INTEGERS = [T.ByteType, T.ShortType, T.IntegerType, T.LongType]
+#: Longs and decimals meet floating numbers in this type, in which both are exact as far as it reaches.
+EXACT = T.DecimalType(38, 9)
 
 
 def in_universe(df: DataFrame, ids: DataFrame, key: str = "id", ids_key: str = "id") -> DataFrame:
@@ -25,7 +27,12 @@ def in_universe(df: DataFrame, ids: DataFrame, key: str = "id", ids_key: str = "
 
 
 def harmonize_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Cast each key to one type on both sides: string if either is, else the wider number."""
+    """Cast each key to one type on both sides: string if either is, else a number that holds both.
+
+    Integers take the wider one, smaller integers and floating numbers double. A long or a decimal is
+    compared with a floating number as a decimal, as neighbouring longs beyond 2**53 are one double;
+    what does not fit that decimal matches nothing.
+    """
     require_columns(left, keys, "left side")
     require_columns(right, keys, "right side")
     casts: dict[str, T.DataType] = {}
@@ -33,25 +40,33 @@ def harmonize_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> tu
         lt, rt = left.schema[k].dataType, right.schema[k].dataType
         if isinstance(lt, T.StringType) or isinstance(rt, T.StringType):
             casts[k] = T.StringType()
-        elif isinstance(lt, T.NumericType) and isinstance(rt, T.NumericType):
-            rank = max(_rank(lt), _rank(rt))
-            casts[k] = _NUMERIC_ORDER[rank]()
         elif lt == rt:
             casts[k] = lt
+        elif isinstance(lt, T.NumericType) and isinstance(rt, T.NumericType):
+            casts[k] = common_number(lt, rt)
         else:
             raise TypeError(f"incompatible types for key {k!r}: {lt} and {rt}")
 
     def apply(df: DataFrame) -> DataFrame:
-        return df.withColumns({k: F.col(k).cast(t) for k, t in casts.items() if df.schema[k].dataType != t})
+        return df.withColumns({k: F.col(k).try_cast(t) for k, t in casts.items() if df.schema[k].dataType != t})
 
     return apply(left), apply(right)
 
 
-def _rank(t: T.DataType) -> int:
-    for i, cls in enumerate(_NUMERIC_ORDER):
-        if isinstance(t, cls):
-            return i
-    return len(_NUMERIC_ORDER) - 1
+def common_number(a: T.DataType, b: T.DataType) -> T.DataType:
+    """Narrowest numeric type in which values of both compare exactly."""
+    sides = (a, b)
+    floating = [t for t in sides if isinstance(t, (T.FloatType, T.DoubleType))]
+    decimals = [t for t in sides if isinstance(t, T.DecimalType)]
+    if floating and (decimals or any(isinstance(t, T.LongType) for t in sides)):
+        return EXACT
+    if floating:
+        return T.DoubleType()
+    if decimals:
+        scale = max(t.scale for t in decimals)
+        whole = max(t.precision - t.scale if isinstance(t, T.DecimalType) else 19 for t in sides)
+        return T.DecimalType(min(38, whole + scale), scale)
+    return _INTEGERS[max(i for t in sides for i, kind in enumerate(_INTEGERS) if isinstance(t, kind))]()
 
 
 def _split_clashes(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:

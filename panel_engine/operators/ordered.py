@@ -1,8 +1,9 @@
-"""Exact order statistics without gathering a group in one task.
+"""Exact order statistics without gathering a group in one task, on one path at every size.
 
-A window over all values of a group would pull the whole group into one task. Values are
-therefore counted per ``order_bucket`` first (combined map-side), the few buckets per group
-are ordered by a window, and only then are the values inside one bucket ordered.
+Rows are counted per (group, distinct value), combined before the shuffle. The distinct values are then
+dealt by ranges of (group, value), in the values' own type, and stored with their range's number: a
+group with many values spreads over ranges, and a narrow set of values is split as well as a wide one.
+Totals per (group, range), a few small rows, carry running sums from range to range.
 """
 
 from __future__ import annotations
@@ -12,11 +13,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panel_engine.functions.scalars import order_bucket, safe_double
+from panel_engine.functions.scalars import safe_double
 from panel_engine.sources.scratch import materialize
 
-HOT_GROUP_ROWS = 2_000_000
-
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join in which a null key meets a null key; the right key columns are dropped."""
@@ -28,132 +27,71 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, cond, how).drop(*[f"__r_{k}" for k in keys])
 
 
-def grouped_quantiles(
-    df: DataFrame, value: str, probs: Sequence[float], groups: Sequence[str] = (), hot_rows: int = HOT_GROUP_ROWS,
-) -> DataFrame:
-    """Exact linearly interpolated quantiles: groups, ``n``, ``q_0`` .. ``q_{k-1}``.
-
-    The built-in percentile keeps a group's distinct values in one buffer. That is the
-    fastest way while the largest group, counted first, stays below ``hot_rows``; beyond it
-    the values are located by bucket.
-    """
+def grouped_quantiles(df: DataFrame, value: str, probs: Sequence[float], groups: Sequence[str] = ()) -> DataFrame:
+    """Exact linearly interpolated quantiles: groups, ``n``, ``q_0`` .. ``q_{k-1}``; nulls are left out."""
     groups = list(groups)
     cells = df.select(*groups, safe_double(value).alias("__v")).where(F.col("__v").isNotNull())
-    sizes = cells.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.agg(F.max("n")).first()[0] or 0
-    if largest > hot_rows:
-        return _bucketed_quantiles(cells, probs, groups)
-    q = cells.groupBy(*groups).agg(
-        F.count(F.lit(1)).alias("n"), F.percentile("__v", [float(p) for p in probs]).alias("__q"))
-    return q.where(F.col("n") > 0).select(*groups, "n", *[F.col("__q")[i].alias(f"q_{i}") for i in range(len(probs))])
-
-
-def _bucketed_quantiles(cells: DataFrame, probs: Sequence[float], groups: list[str]) -> DataFrame:
-    """Quantiles of ``__v``. One pass counts per (group, bucket); a second one touches only
-    the buckets that hold a wanted rank among several candidate values, if there are any.
-    """
-    cells = cells.withColumn("__b", order_bucket("__v"))
-    buckets = cells.groupBy(*groups, "__b").agg(
-        F.count(F.lit(1)).alias("__c"), F.min("__v").alias("__min"), F.max("__v").alias("__max"))
-
-    by_bucket = Window.partitionBy(*(groups or [F.lit(0)])).orderBy("__b")
-    upto = F.sum("__c").over(by_bucket.rowsBetween(Window.unboundedPreceding, 0))
-    total = F.sum("__c").over(by_bucket.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    positions = [(F.col("n") - 1).cast("double") * F.lit(float(p)) for p in probs]
-    ranks = F.array_distinct(F.array(*[f(x).cast("bigint") for x in positions for f in (F.floor, F.ceil)]))
-
-    def inside(r: Column) -> Column:
-        return (r >= F.col("__before")) & (r < F.col("__before") + F.col("__c"))
-
-    wanted = (
-        buckets.withColumns({"__upto": upto, "n": total})
-        .withColumn("__before", F.col("__upto") - F.col("__c"))
-        .withColumn("__ranks", F.filter(ranks, inside))
-        .where(F.size("__ranks") > 0)
-        .select(*groups, "__b", "n", "__before", "__c", "__min", "__max", F.explode("__ranks").alias("__r"))
-        .withColumn(
-            "__hit",
-            F.when(F.col("__r") == F.col("__before"), F.col("__min"))
-            .when(F.col("__r") == F.col("__before") + F.col("__c") - 1, F.col("__max"))
-            .when(F.col("__min") == F.col("__max"), F.col("__min")),
-        )
-    )
-    # at most two rows per probability and group; stored, so the planner knows its size
-    # and broadcasts it below only when it is small
-    wanted = materialize(wanted, "ranks")
-    hits = wanted.where(F.col("__hit").isNotNull()).select(*groups, "n", "__r", "__hit")
-    pending = wanted.where(F.col("__hit").isNull())
-    if not pending.isEmpty():
-        open_buckets = pending.groupBy(*groups, "__b", "n", "__before").agg(F.collect_set("__r").alias("__ranks"))
-        by_value = Window.partitionBy("__b", *groups).orderBy("__v")  # the bucket first: cheap sort prefix
-        found = (
-            null_safe_join(cells, open_buckets, [*groups, "__b"])
-            .groupBy(*groups, "__b", "n", "__before", "__ranks", "__v").agg(F.count(F.lit(1)).alias("__c"))
-            .withColumn("__before", F.col("__before") - F.col("__c")
-                        + F.sum("__c").over(by_value.rowsBetween(Window.unboundedPreceding, 0)))
-            .select(*groups, "n", F.explode(F.filter("__ranks", inside)).alias("__r"), F.col("__v").alias("__hit"))
-        )
-        hits = hits.unionByName(found)
+    return histogram_quantiles(cells.groupBy(*groups, "__v").agg(F.count(F.lit(1)).alias("__c")), "__v", "__c", probs, groups)
+
+
+def histogram_quantiles(hist: DataFrame, value: str, count: str, probs: Sequence[float], groups: Sequence[str]) -> DataFrame:
+    """Quantiles from one row per (groups, value) with its count."""
+    groups = list(groups)
+    ordered = cumulative(hist, value, [count], groups)
+    n, upto = F.col(f"all_{count}"), F.col(f"upto_{count}")
+    positions = [(n - 1).cast("double") * F.lit(float(p)) for p in probs]
 
     def at(rank: Column) -> Column:
-        return F.max(F.when(F.col("__r") == rank, F.col("__hit")))
+        return F.max(F.when((rank >= upto - F.col(count)) & (rank < upto), F.col(value)))
 
-    picked = hits.groupBy(*groups, "n").agg(*[a for i, pos in enumerate(positions) for a in (
-        at(F.floor(pos)).alias(f"__lo_{i}"), at(F.ceil(pos)).alias(f"__hi_{i}"))])
+    picked = ordered.groupBy(*groups).agg(F.max(n).alias("n"), *[a for i, pos in enumerate(positions) for a in (
+        at(F.floor(pos)).alias(f"__lo_{i}"), at(F.ceil(pos)).alias(f"__hi_{i}"))]).where(F.col("n") > 0)
     return picked.select(*groups, "n", *[
-        interpolate(F.col(f"__lo_{i}"), F.col(f"__hi_{i}"), pos).alias(f"q_{i}") for i, pos in enumerate(positions)])
+        interpolate(F.col(f"__lo_{i}"), F.col(f"__hi_{i}"), (F.col("n") - 1).cast("double") * F.lit(float(p))).alias(f"q_{i}")
+        for i, p in enumerate(probs)])
 
 
 def interpolate(low: Column, high: Column, position: Column) -> Column:
-    return low + (high - low) * (position - F.floor(position))
+    part = position - F.floor(position)
+    return F.when(low == high, low).otherwise(low * (1.0 - part) + high * part)
 
 
-def cumulative(
-    hist: DataFrame, value: str, weights: Sequence[str], groups: Sequence[str],
-) -> DataFrame:
+def cumulative(hist: DataFrame, value: str, weights: Sequence[str], groups: Sequence[str]) -> DataFrame:
     """Running totals of ``weights`` up to each distinct value, and the next value.
 
     ``hist`` has one row per (groups, value). Adds ``upto_<w>``, ``all_<w>`` and
-    ``next_value``. Bucket totals carry the running sum across buckets.
+    ``next_value``. Values keep their type and Spark's order: null first, NaN last.
     """
     groups = list(groups)
-    key = F.struct(*[F.col(g) for g in groups])  # one key, equal also where a group column is null
-    hist = hist.select(key.alias("__k"), order_bucket(value).alias("__b"), value, *weights)
-    totals = hist.groupBy("__k", "__b").agg(
-        F.min(value).alias("__first"), *[F.sum(w).alias(f"__t_{w}") for w in weights])
-    by_bucket = Window.partitionBy("__k").orderBy("__b")
-    running = by_bucket.rowsBetween(Window.unboundedPreceding, 0)
-    whole = by_bucket.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    key = F.struct(*[F.col(g) for g in groups]) if groups else F.struct(F.lit(0).alias("__one"))
+    dealt = hist.select(key.alias("__k"), F.col(value).alias("__v"), *weights).repartitionByRange("__k", "__v")
+    dealt = materialize(dealt.withColumn("__p", F.spark_partition_id()), "ranges")
+    totals = dealt.groupBy("__k", "__p").agg(
+        F.min_by(F.struct("__v"), F.struct("__v")).alias("__first"), *[F.sum(w).alias(f"__t_{w}") for w in weights])
+    by_range = Window.partitionBy("__k").orderBy("__p")
+    running = by_range.rowsBetween(Window.unboundedPreceding, 0)
+    whole = by_range.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     offsets = totals.select(
-        "__k", "__b", F.lead("__first").over(by_bucket).alias("__next"),
+        "__k", "__p", F.lead("__first").over(by_range).alias("__next"),
         *[(F.sum(f"__t_{w}").over(running) - F.col(f"__t_{w}")).alias(f"__off_{w}") for w in weights],
         *[F.sum(f"__t_{w}").over(whole).alias(f"all_{w}") for w in weights],
     )
-    by_value = Window.partitionBy("__b", "__k").orderBy(value)  # the bucket first: cheap sort prefix
+    by_value = Window.partitionBy("__p", "__k").orderBy("__v")
     inside = by_value.rowsBetween(Window.unboundedPreceding, 0)
-    # hashed on (key, bucket), which is also what the window below needs: no shuffle between
-    out = hist.join(offsets.hint("shuffle_hash"), ["__k", "__b"])
+    out = dealt.join(offsets.hint("shuffle_hash"), ["__k", "__p"])
+    following = F.coalesce(F.lead(F.struct("__v")).over(by_value), F.col("__next"))
     return out.select(
-        *[F.col("__k")[g].alias(g) for g in groups], value, *weights, *[F.col(f"all_{w}") for w in weights],
+        *[F.col("__k")[g].alias(g) for g in groups], F.col("__v").alias(value), *weights, *[F.col(f"all_{w}") for w in weights],
         *[(F.col(f"__off_{w}") + F.sum(w).over(inside)).alias(f"upto_{w}") for w in weights],
-        F.coalesce(F.lead(value).over(by_value), F.col("__next")).alias("next_value"),
+        following["__v"].alias("next_value"),
     )
 
 
-def dense_rank_desc(
-    df: DataFrame, score: str, name: str, groups: Sequence[str] = (), hot_rows: int = HOT_GROUP_ROWS,
-) -> DataFrame:
-    """Dense rank per group, highest score first.
-
-    A plain window while the largest group, counted first, stays below ``hot_rows``; beyond
-    it the distinct scores are ranked by bucket and looked up.
-    """
-    if (df.groupBy(*groups).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0) <= hot_rows:
-        by_score = Window.partitionBy(*(groups or [F.lit(0)])).orderBy(F.desc(score))
-        return df.withColumn(name, F.dense_rank().over(by_score))
-    keys = list(groups) or ["__g"]
-    src = df if groups else df.withColumn("__g", F.lit(0))
-    src = src.withColumn("__v", -F.col(score).cast("double"))
-    scores = src.select(*keys, "__v").distinct().withColumn("one", F.lit(1))
-    ranks = cumulative(scores, "__v", ["one"], keys).select(*keys, "__v", F.col("upto_one").cast("int").alias(name))
-    return null_safe_join(src, ranks, [*keys, "__v"]).select(*df.columns, name)
+def dense_rank_desc(df: DataFrame, score: str, name: str, groups: Sequence[str] = ()) -> DataFrame:
+    """Dense rank per group, highest score first, null last: the distinct scores are ranked and looked up."""
+    groups = list(groups)
+    scores = df.select(*groups, F.col(score).alias("__v")).distinct().withColumn("__one", F.lit(1))
+    ranks = cumulative(scores, "__v", ["__one"], groups).select(
+        *groups, "__v", (F.col("all___one") - F.col("upto___one") + 1).cast("int").alias(name))
+    src = df.withColumn("__v", F.col(score))
+    return null_safe_join(src, ranks, [*groups, "__v"]).select(*df.columns, name)

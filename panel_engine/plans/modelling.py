@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panel_engine import config
 from panel_engine.functions import scalars as S
@@ -24,12 +25,23 @@ def check_lags(lags: Sequence[int]) -> list[int]:
     return lags
 
 
+def entity_id(df: DataFrame, entity: str) -> Column:
+    """The entity's number. Whole numbers keep their type; text must be one, or the query fails."""
+    kind, c = df.schema[entity].dataType, F.col(entity)
+    if isinstance(kind, T.StringType):
+        number = F.coalesce(c.try_cast("bigint"), c.try_cast("decimal(38,9)").try_cast("bigint"))
+        return F.when(c.isNotNull() & number.isNull(), F.raise_error(F.concat(F.lit(f"{entity} is not a number: "), c)).cast("bigint")).otherwise(number)
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return S.safe_double(entity).cast("long")
+    return c
+
+
 def _panel(df: DataFrame, min_year: int, target: str, entity: str | None = None) -> DataFrame:
     """Integer periods from ``min_year`` on, binary target and health flag."""
     df = df.withColumns({"year": S.safe_double("year").cast("int"), "month": S.safe_double("month").cast("int")})
     df = df.where(F.col("year").isNotNull() & F.col("month").isNotNull() & (F.col("year") >= min_year))
     if entity:
-        df = df.withColumn(entity, S.safe_double(entity).cast("long")).where(F.col(entity).isNotNull())
+        df = df.withColumn(entity, entity_id(df, entity)).where(F.col(entity).isNotNull())
     return df.withColumns({c: S.binary_flag(c) for c in (target, "healthy") if c in df.columns})
 
 
@@ -128,33 +140,39 @@ def sampling_report(
 
 # ---- one anchor set for lagged and sequence models ----------------------------------
 
-def one_hot(df: DataFrame, features: Sequence[str], max_levels: int = 1000) -> tuple[DataFrame, list[str]]:
-    """Dummy columns ``<col>_<value>``, originals kept; a null row is all zeros.
+def one_hot(
+    df: DataFrame, features: Sequence[str], levels: Mapping[str, Sequence[str]] = config.ENCODED_LEVELS,
+) -> tuple[DataFrame, dict[str, list[str]]]:
+    """Dummy columns ``<col>_<level>`` of the declared ``levels``, originals kept, and which each feature got.
 
-    The values become columns, so their number is checked before they reach the driver.
+    A null or an undeclared value is all zeros. The columns follow from the declaration, not from
+    the rows, so they are the same for every part of the data and nothing is collected. A feature without
+    declared levels raises; ``level_pairs`` gives its long form.
     """
-    columns, names = {}, []
-    for f in (f for f in features if f in df.columns):
-        values = [r[0] for r in df.select(F.col(f).cast("string").alias("v")).where("v is not null")
-                  .distinct().limit(max_levels + 1).collect()]
-        if len(values) > max_levels:
-            raise ValueError(f"{f!r} has more than {max_levels} values, too many for columns")
-        for v in sorted(values):
-            columns[f"{f}_{v}"] = F.coalesce((F.col(f).cast("string") == v).cast("int"), F.lit(0))
-            names.append(f"{f}_{v}")
-    return (df.withColumns(columns) if columns else df), list(dict.fromkeys(names))
+    present = [f for f in dict.fromkeys(features) if f in df.columns]
+    if undeclared := [f for f in present if f not in levels]:
+        raise ValueError(f"no levels declared for {undeclared}")
+    dummies = {f: [f"{f}_{v}" for v in levels[f]] for f in present}
+    columns = {name: F.coalesce((F.col(f).cast("string") == str(v)).cast("int"), F.lit(0)) for f in present for name, v in zip(dummies[f], levels[f])}
+    return (df.withColumns(columns) if columns else df), dummies
+
+
+def level_pairs(df: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFrame:
+    """Long form of one-hot columns: keys, ``feature``, ``level``, one row per value that is not null."""
+    pairs = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("string").alias("level")) for f in features])
+    return df.select(*keys, F.explode(pairs).alias("p")).select(*keys, "p.*").where(F.col("level").isNotNull())
 
 
 def wide_feature_columns(
     columns: Sequence[str], lags: Sequence[int], lag_variables: Sequence[str], keep_variables: Sequence[str],
-    encoded: Sequence[str] = (),
+    dummies: Mapping[str, Sequence[str]] | None = None,
 ) -> list[str]:
-    """Base columns, kept columns (their dummies when encoded), then lags base-major."""
-    out = [c for c in lag_variables if c in columns]
-    for c in (c for c in keep_variables if c in columns):
-        out += sorted(d for d in columns if d.startswith(f"{c}_") and d != c) if c in encoded else [c]
-    out += [lag_name(b, k) for b in lag_variables for k in lags if lag_name(b, k) in columns]
-    return list(dict.fromkeys(out))
+    """Present columns in model order: measures, kept variables (an encoded one as its dummies), lags by measure."""
+    dummies = dummies or {}
+    kept = [d for c in keep_variables for d in (sorted(dummies[c]) if c in dummies else [c])]
+    lagged = [lag_name(b, k) for b in lag_variables for k in lags]
+    present = set(columns)
+    return [c for c in dict.fromkeys([*lag_variables, *kept, *lagged]) if c in present]
 
 
 def monthly_panel(
@@ -195,9 +213,9 @@ def eligibility(
     """
     features = list(dict.fromkeys([*lag_variables, *keep_variables]))
     clean.require_columns(panel, features, "panel")
-    wide, _ = one_hot(panel, encoded)
+    wide, dummies = one_hot(panel, encoded)
     wide = lagged_rows(wide, lags, lag_variables, target, entity)
-    columns = wide_feature_columns(wide.columns, lags, lag_variables, keep_variables, encoded)
+    columns = wide_feature_columns(wide.columns, lags, lag_variables, keep_variables, dummies)
     history = [target, *[lag_name(target, k) for k in lags]]
     lag_ok = F.lit(False)
     if all(h in wide.columns for h in history):
@@ -239,7 +257,7 @@ def shared_anchors(
     both = eligibility(months, lags, lag_variables, keep_variables, length, target, entity, encoded)
     final = joins.intersect_keys(candidates, [both.where("lag_ok and sequence_ok")], keys)
     rows = anchors.withColumns({"year": S.safe_double("year").cast("int"), "month": S.safe_double("month").cast("int"),
-                                entity: S.safe_double(entity).cast("long")})
+                                entity: entity_id(anchors, entity)})
     if validate:  # the other side is distinct already
         joins.assert_unique(rows, keys, "anchors")
     out = joins.attach_one_to_one(final, rows, keys, validate=False)
@@ -282,9 +300,9 @@ def lagged_wide(
     lags = check_lags(lags)
     keys = [entity, "year", "month"]
     months = monthly_panel(panel, [*lag_variables, *keep_variables], target, entity, min_year, encoded, order)
-    months, _ = one_hot(months, encoded)
+    months, dummies = one_hot(months, encoded)
     wide = lagged_rows(months, lags, lag_variables, target, entity)
-    features = wide_feature_columns(wide.columns, lags, lag_variables, keep_variables, encoded)
+    features = wide_feature_columns(wide.columns, lags, lag_variables, keep_variables, dummies)
     wide = clean.ordered_projection(wide, [*keys, *features, target])
     return joins.attach_one_to_one(anchor_keys(anchors, entity, min_year), wide, keys, validate=False)
 

@@ -8,6 +8,7 @@ from collections.abc import Iterable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,9 +24,10 @@ def read_typed_csv(
 
     A missing column raises, unless it is listed in ``optional``, then it is null. The scan
     is all-string with per-column casts: binding a type schema by position would silently
-    shift columns when a file has more of them.
+    shift columns when a file has more of them. Of several files, one whose header differs from the
+    first one's fails the read; ``union_csv_files`` takes files of several layouts.
     """
-    raw = spark.read.option("header", True).csv(path)
+    raw = spark.read.option("header", True).option("enforceSchema", False).csv(path)
     missing = [c for c in columns if c not in raw.columns and c not in optional]
     if missing:
         raise ValueError(f"missing columns {missing} in {path}")
@@ -60,28 +62,29 @@ def union_csv_files(spark: SparkSession, folder: str, code: str, years: Iterable
 
     Only the first line of each monthly file is read to learn its layout; files that share
     a layout become one multi-file scan, so the plan grows with the number of layouts, not
-    of files. A file whose header cannot be read is skipped with a warning.
+    of files. A file without a header line is skipped with a warning that names it. A file that is
+    damaged or cannot be reached fails the read: its rows are not to go missing unseen.
     """
     files = list_csv_files(spark, folder, code, years)
     if not files:
         raise ValueError(f"no CSV file for code {code!r} in {folder}")
-    reader = spark.read.option("ignoreCorruptFiles", True).option("header", True)
+    reader = spark.read.option("header", True)
 
     def header(path: str) -> tuple[str, ...]:
         try:
             return tuple(reader.csv(path).columns)
-        except Exception as error:
-            log.warning("skipped %s: %s", path, error)
+        except AnalysisException as error:
+            if error.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+                raise
             return ()
 
     layouts: dict[tuple[str, ...], list[str]] = {}
     with ThreadPoolExecutor(16) as pool:
         for path, columns in zip(files, pool.map(header, files)):
             layouts.setdefault(columns, []).append(path)
-    parts = [
-        reader.csv(paths).withColumn(SOURCE_FILE, F.col("_metadata.file_path"))
-        for columns, paths in layouts.items() if columns
-    ]
+    for path in layouts.pop((), []):
+        log.warning("skipped %s: it has no header line", path)
+    parts = [reader.csv(paths).withColumn(SOURCE_FILE, F.col("_metadata.file_path")) for paths in layouts.values()]
     if not parts:
         raise ValueError(f"no readable CSV file for code {code!r} in {folder}")
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
@@ -97,24 +100,22 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def normalize_name(name: str) -> str:
-    return re.sub(r"[^a-z0-9]+", "_", name.strip().lower()).strip("_")
+    """Lower case, with one underscore for whatever stands between letters and digits."""
+    return "_".join(re.findall(r"[a-z0-9]+", name.lower()))
 
 
 def normalize_headers(df: DataFrame) -> DataFrame:
-    return df.toDF(*[normalize_name(c) for c in df.columns])
-
-
-def pick_column(columns: Sequence[str], candidates: Sequence[str], what: str) -> str:
-    for candidate in candidates:
-        if candidate in columns:
-            return candidate
-    raise ValueError(f"no column for {what}; available: {list(columns)}")
+    return df.toDF(*map(normalize_name, df.columns))
 
 
 def select_aliased(df: DataFrame, wanted: Mapping[str, Sequence[str]]) -> DataFrame:
-    """Normalise the header, then keep the first matching candidate of each output column."""
+    """Columns ``wanted`` (output name -> names it may have, best first) under normalised headers.
+
+    All names that cannot be found are reported together.
+    """
     df = normalize_headers(df)
-    return df.select([
-        F.col(pick_column(df.columns, candidates, name)).alias(name)
-        for name, candidates in wanted.items()
-    ])
+    place = {name: i for i, name in reversed(list(enumerate(df.columns)))}
+    found = {out: [c for c in names if c in place][:1] for out, names in wanted.items()}
+    if lacking := [out for out, hit in found.items() if not hit]:
+        raise ValueError(f"no column for {', '.join(lacking)}; available: {df.columns}")
+    return df.select(*[F.col(hit[0]).alias(out) for out, hit in found.items()])

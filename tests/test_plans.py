@@ -244,11 +244,26 @@ def test_shared_anchors(spark):
 
 def test_one_hot(spark):
     df = spark.createDataFrame([("a",), ("b",), (None,)], "c string")
-    out, names = modelling.one_hot(df, ["c", "absent"])
-    assert names == ["c_a", "c_b"] and [tuple(r) for r in out.collect()] == [("a", 1, 0), ("b", 0, 1), (None, 0, 0)]
-    with pytest.raises(ValueError):
-        modelling.one_hot(df, ["c"], max_levels=1)
-    assert modelling.wide_feature_columns(["m", "c", "c_a", "c_b", "m_t-1"], [1], ["m"], ["c"], ["c"]) == ["m", "c_a", "c_b", "m_t-1"]
+    out, names = modelling.one_hot(df, ["c", "absent"], {"c": ["a", "b"]})
+    assert names == {"c": ["c_a", "c_b"]} and [tuple(r) for r in out.collect()] == [("a", 1, 0), ("b", 0, 1), (None, 0, 0)]
+    with pytest.raises(ValueError, match="levels"):
+        modelling.one_hot(df, ["c"])
+    assert modelling.wide_feature_columns(["m", "c", "c_a", "c_b", "c_class", "m_t-1"], [1], ["m"], ["c"], names) == ["m", "c_a", "c_b", "m_t-1"]
+    long = modelling.level_pairs(df.withColumn("i", F.lit(1)), ["i"], ["c"])
+    assert sorted(tuple(r) for r in long.collect()) == [(1, "c", "a"), (1, "c", "b")]
+
+
+def test_large_and_text_ids_stay_apart(spark):
+    big = 2 ** 53
+    rows = [(i, 2021, m, 1.0 * m, 0) for i in (big, big + 1) for m in (1, 2, 3)]
+    df = spark.createDataFrame(rows, "id long, year int, month int, milk double, disease int")
+    assert modelling.anchor_keys(df).count() == 6
+    wide = modelling.lagged_wide(df, df.where("month = 3"), [1, 2], ["milk"], [])
+    assert sorted(r.id for r in wide.collect()) == [big, big + 1]
+    text = df.withColumn("id", F.col("id").cast("string"))
+    assert {r.id for r in modelling.anchor_keys(text).collect()} == {big, big + 1}
+    with pytest.raises(Exception, match="not a number"):
+        modelling.anchor_keys(text.withColumn("id", F.concat(F.lit("IT"), "id"))).collect()
 
 
 def test_whole_chain(spark, control):

@@ -1,10 +1,8 @@
 from __future__ import annotations
 
 import datetime as dt
-import math
 
 import pytest
-from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -79,12 +77,3 @@ def test_dead_zone_includes_threshold(spark):
 ])
 def test_consensus_rule_chain(spark, args, want):
     assert tuple(one(spark, S.consensus_label(*[F.lit(a) for a in args], 10, 3, 2))) == want
-
-
-@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(st.lists(st.floats(allow_nan=False), min_size=20, max_size=60))
-def test_order_bucket_never_decreases(spark, values):
-    edge = [0.0, -0.0, 1.0, math.nextafter(1.0, 0), 2.0, math.nextafter(2.0, 0), math.nextafter(1024.0, 0), 1024.0, 5e-324, math.inf, -math.inf]
-    df = spark.createDataFrame([(v,) for v in values + edge], "v double").select("v", S.order_bucket("v").alias("b"))
-    got = sorted((r.v, r.b) for r in df.collect())
-    assert all(x[1] <= y[1] for x, y in zip(got, got[1:]))

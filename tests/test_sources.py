@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from panel_engine.plans import selection
 from panel_engine.sources import readers, writers
-from panel_engine.sources.scratch import materialize, shared_dir, spread
+from panel_engine.sources.scratch import materialize, shared_dir
 
 
 def write(path, text):
@@ -75,8 +75,6 @@ def test_scratch_uses_the_named_folder(spark):
     assert shared_dir(spark)
     stored = materialize(spark.range(10))
     assert stored.count() == 10 and shared_dir(spark) in stored.inputFiles()[0]
-    wide = spark.range(0, 10, 1, 64)
-    assert spread(wide) is wide
 
 
 def report(path, header, lines):
@@ -110,3 +108,31 @@ def test_consensus_from_csv(spark, tmp_path):
         selection.select_features_from_csv(spark, perm, shap[:1])
     with pytest.raises(ValueError):
         selection.select_features_from_csv(spark, perm, shap, ["a", "b"], core_top_k=1, support_top_k=2)
+
+
+def test_headers_in_another_order_fail_the_typed_read(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,v\n1,10\n")
+    (tmp_path / "b.csv").write_text("v,id\n30,3\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        readers.read_typed_csv(spark, str(tmp_path), {"id": "int", "v": "int"}).collect()
+    for name, month in (("a", "01"), ("b", "02")):
+        (tmp_path / f"{name}-X-2020{month}.csv").write_text((tmp_path / f"{name}.csv").read_text())
+        (tmp_path / f"m-X-2020-{month}.csv").write_text((tmp_path / f"{name}.csv").read_text())
+    both = readers.union_csv_files(spark, str(tmp_path), "X", [2020])
+    assert {(r.id, r.v) for r in both.collect()} == {("1", "10"), ("3", "30")}
+
+
+def test_damaged_file_fails_the_union(spark, tmp_path):
+    for month in ("01", "02"):
+        lines = [("a,b",)] + [(f"{i},{i}",) for i in range(20_000)]
+        spark.createDataFrame(lines, "value string").coalesce(1).write.text(f"{tmp_path}/out{month}")
+        part = next((tmp_path / f"out{month}").glob("part-*.txt"))
+        part.rename(tmp_path / f"m-X-2020-{month}.csv")
+        (part.parent / f".{part.name}.crc").rename(tmp_path / f".m-X-2020-{month}.csv.crc")
+    assert readers.union_csv_files(spark, str(tmp_path), "X", [2020]).count() == 40_000
+    damaged = tmp_path / "m-X-2020-02.csv"
+    data = bytearray(damaged.read_bytes())
+    data[len(data) // 2] ^= 1
+    damaged.write_bytes(data)
+    with pytest.raises(Exception, match="(?i)checksum"):
+        readers.union_csv_files(spark, str(tmp_path), "X", [2020]).agg(F.sum("a")).collect()
