@@ -181,7 +181,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     # scores are log-odds rounded to hundredths, so the rows are bounded
     seen = rows.where("y = 0").select("text").mapInArrow(distribution, "s double, n long").groupBy("s").agg(F.sum("n").alias("n")).collect()
     value, number = (np.array([getattr(r, c) for r in seen], float) for c in ("s", "n"))
-    rate = solve_rate(value, number / max(1.0, number.sum()))
+    # one token more of the highest score, as a score that clean texts do not show is rare there, not impossible
+    value, number = np.append(value, max(scores.values(), default=0.0)), np.append(number, 1.0)
+    rate = solve_rate(value, number / number.sum())
     plain = Model(scores, default, rate, 0.0, 0.0, 0.0)
 
     def calibration(model: Model) -> list:
