@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from panel_engine import config
 from panel_engine.functions.scalars import map_codes, parse_date, safe_date
 from panel_engine.operators import clean, joins, reduce
+from panel_engine.sources.readers import SOURCE_FILE
 from panel_engine.sources.scratch import materialize
 from panel_engine.sources.writers import distinct_ids
 
@@ -22,15 +23,23 @@ DAY_FIRST = ("d/M/yyyy", "d-M-yyyy", "yyyy-MM-dd")
 YEAR_FIRST = ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "d/M/yyyy")
 
 
+def source_order(raw: DataFrame, order: Sequence[str]) -> Sequence[str]:
+    """The order that "first" follows: as given, else by source file where the rows name theirs."""
+    return order or ([SOURCE_FILE] if SOURCE_FILE in raw.columns else ())
+
+
 def control_records(
     raw: DataFrame, year_after: int | None = 2018, order: Sequence[str] = (), iqr_k: float = 1.5,
 ) -> DataFrame:
-    """Daily control panel: one breed per entity by vote, first value per day, outliers out."""
+    """Daily control panel: one breed per entity by vote, first value per day, outliers out.
+
+    Repeated rows count once in the vote; they do not change a first value.
+    """
     measures = ["LinearScore", "LatteAlle24Ore", "ProteineAlle24Ore", "GrassoAlle24Ore"]
-    rows = clean.year_after(raw, "anno", year_after).dropDuplicates()
-    rows = rows.withColumn("razza", map_codes("codiceRazzaAIA", config.BREED_BY_CODE))
-    breeds = reduce.majority(rows, "idAnimale", "razza")
-    daily = reduce.first_non_null(rows, DAY_KEYS, measures, order)
+    rows = clean.year_after(raw, "anno", year_after)
+    once = rows.dropDuplicates().withColumn("razza", map_codes("codiceRazzaAIA", config.BREED_BY_CODE))
+    breeds = reduce.majority(once, "idAnimale", "razza")
+    daily = reduce.first_non_null(rows, DAY_KEYS, measures, source_order(raw, order))
     daily = clean.keep_allowed(daily.join(breeds, "idAnimale"), "razza", config.BREEDS_KEPT)
     daily = daily.withColumn("DataControlloFunzionaleLatte", safe_date("anno", "mese", "giorno"))
     # each fence below is one look at the table: store it instead of repeating the aggregation
@@ -48,10 +57,9 @@ def daily_measure(
     order: Sequence[str] = (), iqr_k: float = 1.5,
 ) -> DataFrame:
     """One positive value per entity-day, filled from the fallback column, outliers out."""
-    rows = clean.year_after(raw, "anno", year_after).dropDuplicates()
-    rows = joins.in_universe(rows, ids, "idAnimale")
+    rows = joins.in_universe(clean.year_after(raw, "anno", year_after), ids, "idAnimale")
     rows = clean.keep_positive(clean.fill_from(rows, measure, config.FALLBACK_MEASURE), measure)
-    daily = materialize(reduce.first_non_null(rows, DAY_KEYS, [measure], order), "measure")
+    daily = materialize(reduce.first_non_null(rows, DAY_KEYS, [measure], source_order(raw, order)), "measure")
     return clean.iqr_filter(daily, measure, iqr_k).withColumnsRenamed({**config.CONTROL_NAMES, measure: name})
 
 

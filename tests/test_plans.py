@@ -285,3 +285,13 @@ def test_whole_chain(spark, control):
     assert {(r.id, r.month) for r in found.collect()} == {(1, m) for m in range(4, 10)}
     seq = modelling.sequence_table(filled, found, ["milk", "fat"])
     assert seq.count() == 6
+
+
+def test_first_follows_the_source_file(spark):
+    rows = [(1, 2021, 3, 4, "01", 5.0, 20.0, 3.0, 4.0, "b.csv"), (1, 2021, 3, 4, "01", 2.0, 30.0, 3.5, 4.5, "a.csv")] * 2
+    raw = spark.createDataFrame(rows, "idAnimale long, anno int, mese int, giorno int, codiceRazzaAIA string, LinearScore double, "
+                                "LatteAlle24Ore double, ProteineAlle24Ore double, GrassoAlle24Ore double, _source_file string")
+    got = construction.control_records(raw, iqr_k=1e9).first()
+    assert (got.scs, got.milk, got.protein, got.fat) == (2.0, 30.0, 3.5, 4.5)
+    got = construction.control_records(raw.drop("_source_file"), iqr_k=1e9).first()
+    assert (got.scs, got.milk) == (2.0, 20.0)
