@@ -19,6 +19,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panel_engine.llm.repeats import U, mixed
 from panel_engine.llm.text import cut, whole
 
 #: Words are runs of letters (combining marks included), lower-cased.
@@ -28,7 +29,7 @@ SLOTS = 1 << 15
 #: Documents that the weights are fitted on: at most so many, drawn evenly by a hash from those labelled.
 TRAIN_DOCS = 1200
 #: Words remembered with their features by a task; the memory starts anew beyond it.
-REMEMBERED = 1 << 17
+REMEMBERED = 1 << 18
 
 
 def held_out(key: str, of: int, fold: int) -> Column:
@@ -36,35 +37,62 @@ def held_out(key: str, of: int, fold: int) -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % of == fold, F.lit(False))
 
 
+def feature_slots(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of the features of lower-cased words, and the number of the word that each belongs to.
+
+    A word is framed by two marks. Features are its n-grams of two and three characters, of which those at
+    the marks are its short affixes, the longer affixes of three letters, and its lexicon entry.
+    """
+    codes = np.frombuffer("".join([f"<{w}>" for w in words]).encode("utf-32-le"), "<u4").astype(U)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    end = np.cumsum(sizes)
+    owner = np.repeat(np.arange(len(words)), sizes)
+    slots, of = [np.fromiter((zlib.crc32(w.encode()) % SLOTS for w in words), np.int64, len(words))], [np.arange(len(words))]
+
+    def add(first: np.ndarray, n: int) -> None:
+        h = np.full(len(first), n, U)
+        for i in range(n):
+            h = mixed(h * U(0x100000001B3) + codes[first + i])
+        slots.append((h % U(SLOTS)).astype(np.int64))
+        of.append(owner[first])
+
+    place = np.arange(len(codes))
+    for n in (2, 3):
+        add(place[place + n <= end[owner]], n)
+    long = np.flatnonzero(sizes > 4)
+    add((end - sizes)[long], 4)
+    add(end[long] - 4, 4)
+    return np.concatenate(slots), np.concatenate(of)
+
+
 def features(word: str) -> list[int]:
-    """Slots of a lower-cased word: lexicon entry, affixes of one to three letters, n-grams of two and three."""
-    framed = f"<{word}>"
-    names = [f"w{word}"] + [f"p{word[:k]}" for k in (1, 2, 3)] + [f"s{word[-k:]}" for k in (1, 2, 3)]
-    names += [f"g{framed[i:i + k]}" for k in (2, 3) for i in range(len(framed) - k + 1)]
-    return [zlib.crc32(n.encode()) % SLOTS for n in names]
+    return feature_slots([word])[0].tolist()
 
 
 class Vocabulary:
-    """Distinct words of a task, each with its feature slots, computed once, and its scores."""
+    """Distinct words of a task, each with its feature slots and its scores, computed once."""
 
-    def __init__(self, weights: np.ndarray):
-        self.weights = weights
+    def __init__(self, weights: np.ndarray, keep_slots: bool = False):
+        self.weights, self.keep_slots = weights, keep_slots
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.slots: list[list[int]] = []
-        self.scores = np.empty((1024, self.weights.shape[1]))
+        self.slots: list[tuple[np.ndarray, np.ndarray]] = []
+        self.scores = np.empty((0, self.weights.shape[1]))
 
     def numbers(self, words: list[str]) -> np.ndarray:
         known = self.known
-        for w in set(words).difference(known):
-            at = known[w] = len(known)
-            slots = features(w)
-            self.slots.append(slots)
-            if at == len(self.scores):
-                self.scores = np.concatenate([self.scores, np.empty_like(self.scores)])
-            self.scores[at] = self.weights[slots].sum(axis=0) / np.sqrt(len(slots))
+        new = list(set(words).difference(known))
+        if new:
+            base = len(known)
+            known.update(zip(new, range(base, base + len(new))))
+            slots, of = feature_slots(new)
+            norm = np.sqrt(np.bincount(of, minlength=len(new)))
+            sums = [np.bincount(of, column[slots], len(new)) / norm for column in self.weights.T]
+            self.scores = np.concatenate([self.scores, np.stack(sums, axis=1) if sums else np.empty((len(new), 0))])
+            if self.keep_slots:
+                self.slots.append((slots, of + base))
         return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
 
@@ -123,7 +151,7 @@ def gradient(texts: Sequence[str], labels: Sequence[int], model: Model) -> tuple
     split = [words_of(t) for t in texts]
     lengths = np.array([len(w) for w in split])
     truth = np.repeat(np.asarray(labels), lengths)
-    vocabulary = Vocabulary(model.weights)
+    vocabulary = Vocabulary(model.weights, keep_slots=True)
     ids = vocabulary.numbers([w for ws in split for w in ws])
     grad, move = np.zeros_like(model.weights), np.zeros((k, k))
     if not len(ids):
@@ -131,11 +159,11 @@ def gradient(texts: Sequence[str], labels: Sequence[int], model: Model) -> tuple
     gamma, pairs = marginals(vocabulary.scores[ids], lengths[lengths > 0], model.transitions)
     residual = -gamma
     residual[np.arange(len(ids)), truth] += 1
-    sizes = np.array([len(s) for s in vocabulary.slots])
-    slots = np.concatenate(vocabulary.slots)
+    slots, of = (np.concatenate(x) for x in zip(*vocabulary.slots))
+    norm = np.sqrt(np.bincount(of))
     for j in range(k):
-        per_word = np.bincount(ids, residual[:, j], len(sizes)) / np.sqrt(sizes)
-        grad[:, j] = np.bincount(slots, np.repeat(per_word, sizes), len(grad))
+        per_word = np.bincount(ids, residual[:, j], len(norm)) / norm
+        grad[:, j] = np.bincount(slots, per_word[of], len(grad))
     np.add.at(move, (np.asarray(labels)[lengths > 0],) * 2, lengths[lengths > 0] - 1)
     return grad, move - pairs, len(ids)
 
@@ -201,8 +229,8 @@ def label(docs: DataFrame, model: Model, key: Sequence[str] = ("doc_id",), text:
         own = shared.value
         vocabulary = Vocabulary(own.weights)
         for batch in batches:
-            for i in range(0, batch.num_rows, 1024):
-                part = batch.slice(i, 1024)
+            for i in range(0, batch.num_rows, 2048):
+                part = batch.slice(i, 2048)
                 pred, score, count, switches = judged(part.column(part.num_columns - 1).to_pylist(), own, vocabulary)
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns[:-1], pa.array(pred, pa.string()), pa.array(score), pa.array(count), pa.array(switches)],

@@ -54,7 +54,8 @@ def log_likelihood(texts, labels, model):
     for t, y in zip(texts, labels):
         words = language.words_of(t)
         s = language.Vocabulary(model.weights)
-        scores = s.scores[s.numbers(words)]
+        ids = s.numbers(words)
+        scores = s.scores[ids]
         z = 0.0
         for path in itertools.product(range(len(model.labels)), repeat=len(words)):
             z += np.exp(sum(scores[i, p] for i, p in enumerate(path)) + sum(model.transitions[a, b] for a, b in zip(path, path[1:])))
