@@ -437,6 +437,19 @@ def lagged_wide(spark, sf_dir):
         features(spark, sf_dir), anchors(spark, sf_dir), [1, 2], _LAGGED, _KEPT, min_year=1996, order=_MONTH_ORDER)
 
 
+_DUMMIES = ", ".join(
+    f"CAST(coalesce(m.{c} = '{v}', false) AS INTEGER) AS {c}_{v}" for c in ("season", "lactation_phase") for v in config.ENCODED_LEVELS[c])
+
+
+@query("l1_lagged_wide_encoded", f"""
+SELECT m.id, m.year, m.month, w.milk, w.protein, CAST(m.age AS DOUBLE) AS age, {_DUMMIES}, "milk_t-1", "milk_t-2", "protein_t-1", "protein_t-2", w.disease
+FROM ({_WIDE}) w JOIN ({_MONTHS}) m USING (id, year, month) JOIN (SELECT DISTINCT id, year, month FROM ({anchors_sql([1, 2])})) USING (id, year, month)""")
+def lagged_wide_encoded(spark, sf_dir):
+    return modelling.lagged_wide(
+        features(spark, sf_dir), anchors(spark, sf_dir), [1, 2], _LAGGED, ["age", "season", "lactation_phase"], min_year=1996,
+        encoded=["season", "lactation_phase"], order=_MONTH_ORDER)
+
+
 @query("l2_sequences", f"""
 SELECT id, year, month, disease, CAST(list_sum(list_transform(steps, lambda s: s[1])) AS DOUBLE) AS milk_sum, steps[1][1] AS oldest_milk,
   round(steps[3][2], 8) AS newest_protein, CAST(len(steps) AS INTEGER) AS n_steps FROM (

@@ -82,7 +82,8 @@ def group_medians(
     wanted = [*levels, []] if with_global else list(levels)
     hists: dict[tuple, DataFrame] = {}
     for level in sorted(wanted, key=len, reverse=True):  # a key set after those that may hold it
-        above = next((k for k in sorted(hists, key=len) if set(level) <= set(k)), None)
+        # of those with fewest keys the last, a population one, has fewest rows
+        above = next((k for k in sorted(reversed(list(hists)), key=len) if set(level) <= set(k)), None)
         source = cells.where(F.col("value").isNotNull()).withColumn("c", F.lit(1)) if above is None else hists[above]
         hist = source.groupBy(*level, "feature", "value").agg(F.sum("c").alias("c"))
         hists[tuple(level)] = materialize(hist, "counts") if above is None else hist
