@@ -19,8 +19,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panel_engine.llm.repeats import Ranges, Records, U, by_document, covered, mixed, numbered, records, runs
+from panel_engine.llm.repeats import Ranges, Records, U, by_document, covered, mixed, numbered, records, runs, squeezed, unsqueezed
 from panel_engine.llm.text import cut
+from panel_engine.sources.scratch import materialize
 
 WIDTH, ROUNDS = 13, 2
 
@@ -118,13 +119,14 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
     copies: neither is smaller. A row with a null key loses nothing and takes nothing from others.
     """
     rows = numbered(docs, key, text)
-    found = cut(runs(rows.where(F.col("doc").isNotNull()), lambda d, t: find(d, t, width)))
+    texts = squeezed(rows)
+    found = materialize(runs(rows.where(F.col("doc").isNotNull()), lambda d, t: find(d, t, width)), "runs")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs_, places, values = [], [], []
-            for d, t, asked in zip(*[c.to_pylist() for c in batch.columns]):
-                hashes = Ranges(hashed(words_of(t)))
+            for d, z, asked in zip(*[c.to_pylist() for c in batch.columns]):
+                hashes = Ranges(hashed(unsqueezed(z).split()))
                 at = np.concatenate([np.arange(r >> 32, (r >> 32) + (r & 0xFFFFFFFF)) for r in asked])
                 at = at[at + width < len(hashes.upto)]
                 docs_.append(np.full(len(at), d))
@@ -135,7 +137,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
                     [pa.array(np.concatenate(values).view(np.int64)), pa.array(np.concatenate(docs_)), pa.array(np.concatenate(places).astype(np.int32))], names=["h", "doc", "start"])
 
     asked = by_document(found.where("open"))
-    each = cut(rows.join(asked, "doc").select("doc", "text", "runs").mapInArrow(windows, "h long, doc long, start int"))
+    each = cut(texts.join(asked, "doc").select("doc", "z", "runs").mapInArrow(windows, "h long, doc long, start int"))
     least = each.groupBy("h").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("h", "least")
     closer = each.join(least, "h").where("doc > least").select("doc", "start", F.lit(1).alias("n"))
     gone = by_document(found.where("not open").select("doc", "start", "n").unionByName(closer))
@@ -143,8 +145,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, removed, kept = [], [], []
-            for t, runs_ in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                w = words_of(t)
+            for z, runs_ in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                w = unsqueezed(z).split()
                 n_words.append(len(w))
                 if runs_:
                     lost = covered(np.array(runs_), len(w), width)
@@ -156,5 +158,5 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=[key, "n_words", "n_removed", "kept"])
 
-    return rows.join(gone, "doc", "left").select(F.col("doc").alias(key), "text", "runs").mapInArrow(
+    return texts.join(gone, "doc", "left").select(F.col("doc").alias(key), "z", "runs").mapInArrow(
         keep, f"`{key}` long, n_words long, n_removed long, kept string")

@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +29,7 @@ BASE = 0x9E3779B97F4A7C15
 #: Bytes of text that are worked on at once in a task.
 BUNDLE_BYTES = 2 << 20
 #: Key slices; a multiple of the shuffle partitions, so that a slice stays small at any size.
-SLICES_PER_PARTITION, LEAST_SLICES = 16, 512
+SLICES_PER_PARTITION, LEAST_SLICES = 4, 256
 
 FOUND = "doc long, start int, n int, open boolean, k long"
 
@@ -118,11 +119,11 @@ def bundles(batches: Iterator[pa.RecordBatch], find: Callable, slices: int) -> I
         order = np.argsort(part, kind="stable")
         cuts = np.searchsorted(part[order], np.arange(slices + 1))
         numbers = np.flatnonzero(np.diff(cuts))
-        packed = [(r.key >> U(16)).astype("<u4")[order], r.content[order], r.doc[order], r.start.astype("<i4")[order], r.n.astype("<i4")[order]]
-        rows = [b"".join(a[cuts[s]:cuts[s + 1]].tobytes() for a in packed) for s in numbers]
+        columns_ = [(r.key >> U(16)).astype("<u4")[order], r.content[order], r.doc[order], r.start.astype("<i4")[order], r.n.astype("<i4")[order]]
+        rows = [packed([a[cuts[s]:cuts[s + 1]] for a in columns_], 2) for s in numbers]
         done = [b""] * len(rows)
         if len(settled[0]):
-            done.append(b"".join([settled[0].tobytes(), settled[1].astype("<i4").tobytes(), settled[2].astype("<i4").tobytes()]))
+            done.append(packed([settled[0], settled[1].astype("<i4"), settled[2].astype("<i4")], 0))
             rows.append(b"")
             numbers = np.append(numbers, docs[0] % slices)
         return pa.RecordBatch.from_arrays([pa.array(numbers.astype(np.int32)), pa.array(rows, pa.binary()), pa.array(done, pa.binary())], names=["slice", "packed", "done"])
@@ -142,12 +143,23 @@ def bundles(batches: Iterator[pa.RecordBatch], find: Callable, slices: int) -> I
         yield close(docs, texts)
 
 
-def columns(blob: bytes, kinds: list[str]) -> list[np.ndarray]:
+KINDS, DONE_KINDS = ["<u4", "<u8", "<i8", "<i4", "<i4"], ["<i8", "<i4", "<i4"]
+
+
+def packed(arrays: list[np.ndarray], doc_at: int) -> bytes:
+    """Columns end to end, compressed; documents as steps from one to the next, which are mostly small."""
+    arrays[doc_at] = np.diff(arrays[doc_at], prepend=0).astype("<i8")
+    return zstandard.compress(b"".join(a.tobytes() for a in arrays), 1)
+
+
+def columns(blob: bytes, kinds: list[str], doc_at: int) -> list[np.ndarray]:
+    blob = zstandard.decompress(blob)
     n = len(blob) // sum(np.dtype(k).itemsize for k in kinds)
     out, at = [], 0
     for k in kinds:
         out.append(np.frombuffer(blob, k, n, at))
         at += n * np.dtype(k).itemsize
+    out[doc_at] = np.cumsum(out[doc_at])
     return out
 
 
@@ -159,7 +171,7 @@ def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["doc", "start", "n", "open", "k"])
 
     def close(number: int, held: list[bytes]) -> pa.RecordBatch:
-        parts = [columns(b, ["<u4", "<u8", "<i8", "<i4", "<i4"]) for b in held]
+        parts = [columns(b, KINDS, 2) for b in held]
         r = Records(*[np.concatenate(x) for x in zip(*parts)])
         order = np.lexsort((r.doc, r.content, r.key))
         key, content, doc, start, n = (getattr(r, f)[order] for f in ("key", "content", "doc", "start", "n"))
@@ -176,16 +188,16 @@ def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     number, held = None, []
     for batch in batches:
-        for s, packed, done in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+        for s, bundle, done in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             if done:
-                d, a, n = columns(done, ["<i8", "<i4", "<i4"])
+                d, a, n = columns(done, DONE_KINDS, 0)
                 yield out(d, a, n, np.zeros(len(d), bool), np.zeros(len(d), np.int64))
-            if packed:
+            if bundle:
                 if s != number and held:
                     yield close(number, held)
                     held = []
                 number = s
-                held.append(packed)
+                held.append(bundle)
     if held:
         yield close(number, held)
 
@@ -193,8 +205,8 @@ def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def runs(docs: DataFrame, find: Callable) -> DataFrame:
     """Runs of windows (doc, start, n, open, k) over rows (doc, text): see the module's text."""
     slices = max(LEAST_SLICES, SLICES_PER_PARTITION * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    packed = docs.select("doc", "text").mapInArrow(lambda it: bundles(it, find, slices), "slice int, packed binary, done binary")
-    return packed.repartition("slice").sortWithinPartitions("slice").mapInArrow(settle, FOUND)
+    bundled = docs.select("doc", "text").mapInArrow(lambda it: bundles(it, find, slices), "slice int, packed binary, done binary")
+    return bundled.repartition("slice").sortWithinPartitions("slice").mapInArrow(settle, FOUND)
 
 
 def by_document(found: DataFrame) -> DataFrame:
@@ -215,3 +227,18 @@ def covered(runs_: np.ndarray, n: int, width: int) -> np.ndarray:
     np.add.at(step, start, 1)
     np.add.at(step, np.minimum(start + count + width - 1, n), -1)
     return np.cumsum(step[:n]) > 0
+
+
+def squeezed(rows: DataFrame) -> DataFrame:
+    """Rows (doc, text) to (doc, z): texts compressed one by one, as they are about to be shuffled."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([pack.compress(t.encode()) for t in batch.column(1).to_pylist()], pa.binary())], names=["doc", "z"])
+
+    return rows.select("doc", "text").mapInArrow(run, "doc long, z binary")
+
+
+def unsqueezed(z: bytes) -> bytes:
+    return zstandard.decompress(z)

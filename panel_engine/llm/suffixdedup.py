@@ -17,9 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panel_engine.llm.repeats import Ranges, Records, U, by_document, covered, merged, mixed, numbered, records, runs
+from panel_engine.llm.repeats import Ranges, Records, U, by_document, covered, merged, mixed, numbered, records, runs, squeezed, unsqueezed
 from panel_engine.llm.suffixes import LIMIT, suffix_array
-from panel_engine.llm.text import cut
+from panel_engine.sources.scratch import materialize
 
 WIDTH, GRAM = 50, 24
 #: Bytes of text after which a shard is closed at the next minimizer.
@@ -116,13 +116,14 @@ def remove_repeats(
     takes nothing from others.
     """
     rows = numbered(docs, key, text)
-    found = cut(runs(rows.where(F.col("doc").isNotNull()), lambda d, t: find(d, t, width, gram)))
+    texts = squeezed(rows)
+    found = materialize(runs(rows.where(F.col("doc").isNotNull()), lambda d, t: find(d, t, width, gram)), "runs")
 
     def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [[], [], [], []]
-            for d, t, asked in zip(*[c.to_pylist() for c in batch.columns]):
-                data = t.encode()
+            for d, z, asked in zip(*[c.to_pylist() for c in batch.columns]):
+                data = unsqueezed(z)
                 for r in asked:
                     out[0].append(r["k"])
                     out[1].append(d)
@@ -132,7 +133,7 @@ def remove_repeats(
                 [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.binary())], names=["k", "doc", "start", "data"])
 
     asked = found.where("open").groupBy("doc").agg(F.collect_list(F.struct("k", "start", "n")).alias("asked"))
-    each = rows.join(asked, "doc").select("doc", "text", "asked").mapInArrow(stretches, "k long, doc long, start int, data binary")
+    each = texts.join(asked, "doc").select("doc", "z", "asked").mapInArrow(stretches, "k long, doc long, start int, data binary")
     closer = each.repartition("k").sortWithinPartitions("k").mapInArrow(
         lambda it: sharded(it, width, shard_bytes, limit), "doc long, start int, n int")
     gone = by_document(found.where("not open").select("doc", "start", "n").unionByName(closer))
@@ -140,8 +141,8 @@ def remove_repeats(
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_bytes, removed, spans, kept = [], [], [], []
-            for t, runs_ in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                data = t.encode()
+            for z, runs_ in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                data = unsqueezed(z)
                 n_bytes.append(len(data))
                 if runs_:
                     lost = covered(np.array(runs_), len(data), width)
@@ -156,5 +157,5 @@ def remove_repeats(
                 [batch.column(0), *[pa.array(x, pa.int64()) for x in (n_bytes, removed, spans)], pa.array(kept, pa.binary())],
                 names=[key, "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return rows.join(gone, "doc", "left").select(F.col("doc").alias(key), "text", "runs").mapInArrow(
+    return texts.join(gone, "doc", "left").select(F.col("doc").alias(key), "z", "runs").mapInArrow(
         keep, f"`{key}` long, n_bytes long, n_removed long, n_spans long, kept binary")
