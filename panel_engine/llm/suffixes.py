@@ -3,11 +3,11 @@
 The text is a sequence of integers. Suffixes that start at a local minimum of type S (LMS) are sorted
 first: their substrings are put through an external sort and named, and the sequence of names is sorted by
 recursion until names are unique. All other suffixes follow by induction. Disk-backed priority queues
-carry tuples (first symbol, rank of the rest, place) upwards for the L suffixes and downwards for the S suffixes:
+carry tuples upwards for the L suffixes and downwards for the S suffixes, ordered by first symbol and rank of the rest:
 when a suffix leaves the queue, the one before it in the text enters, ranked by what has just left. Each
 tuple also carries the common prefix that its rest has with the rest that left before it, so the
 common-prefix values come out with the order. Memory is bounded by ``limit`` tuples; what is beyond
-lies in sorted runs in a temporary file of the task.
+lies in blocks of a temporary file of the task.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ import pickle
 import tempfile
 from array import array
 from bisect import bisect_left
+from collections import deque
 from collections.abc import Iterator
 from itertools import islice
 
@@ -26,63 +27,61 @@ import numpy as np
 LIMIT = 1 << 20
 
 
-class Runs:
-    """Sorted runs of fixed-width integer rows in one temporary file that goes with its handle."""
-
-    def __init__(self, width: int):
-        self.width, self.file, self.at = width, tempfile.TemporaryFile(), []
-
-    def add(self, rows: np.ndarray) -> None:
-        self.file.seek(0, 2)
-        self.at.append((self.file.tell(), len(rows)))
-        self.file.write(np.ascontiguousarray(rows, "<i8").tobytes())
-
-    def stream(self, number: int, block: int = 4096) -> Iterator[tuple]:
-        start, n = self.at[number]
-        for i in range(0, n, block):
-            self.file.seek(start + 8 * self.width * i)
-            data = self.file.read(8 * self.width * min(block, n - i))
-            yield from map(tuple, np.frombuffer(data, "<i8").reshape(-1, self.width).tolist())
-
-
 class Queue:
-    """Priority queue of integer tuples; its larger half goes to disk when it outgrows ``limit``."""
-
-    def __init__(self, width: int, limit: int = LIMIT):
-        self.heap: list[tuple] = []
-        self.runs, self.limit = Runs(width), limit
-        self.heads: list[tuple] = []  # (row, run number)
-        self.streams: list[Iterator[tuple]] = []
-
-    def push(self, row: tuple) -> None:
-        heapq.heappush(self.heap, row)
-        if len(self.heap) > self.limit:
-            self.heap.sort()
-            half = len(self.heap) // 2
-            self.runs.add(np.array(self.heap[half:], np.int64))
-            del self.heap[half:]
-            stream = self.runs.stream(len(self.runs.at) - 1)
-            self.streams.append(stream)
-            heapq.heappush(self.heads, (next(stream), len(self.streams) - 1))
-
-    def pop(self) -> tuple:
-        if self.heads and (not self.heap or self.heads[0][0] < self.heap[0]):
-            row, number = self.heads[0]
-            after = next(self.streams[number], None)
-            if after is None:
-                heapq.heappop(self.heads)
-            else:
-                heapq.heapreplace(self.heads, (after, number))
-            return row
-        return heapq.heappop(self.heap)
-
-    def peek(self) -> tuple | None:
-        if self.heads and (not self.heap or self.heads[0][0] < self.heap[0]):
-            return self.heads[0][0]
+    """Priority queue of (symbol, rank, value), for ranks that rise from push to push, as in induction.
+
+    Rows of one symbol then leave in the order in which they came: a heap orders the symbols, and each has
+    a line of its rows. Lines that outgrow ``limit`` rows together go to one temporary file, a block each.
+    """
+
+    def __init__(self, limit: int = LIMIT):
+        self.heap: list[int] = []
+        self.lines: dict[int, array] = {}
+        self.stored: dict[int, deque] = {}
+        self.limit, self.held, self.file, self.blocks = limit, 0, None, 0
+
+    def push(self, symbol: int, value: int) -> None:
+        line = self.lines.get(symbol)
+        if line is None:
+            line = self.lines[symbol] = array("q")
+            heapq.heappush(self.heap, symbol)
+        line.append(value)
+        self.held += 1
+        if self.held > self.limit:
+            self.spill()
+
+    def spill(self) -> None:
+        if self.file is None:
+            self.file = tempfile.TemporaryFile()
+        self.file.seek(0, 2)
+        for symbol, line in self.lines.items():
+            if line:
+                self.stored.setdefault(symbol, deque()).append((self.file.tell(), len(line)))
+                line.tofile(self.file)
+                self.lines[symbol] = array("q")
+                self.blocks += 1
+        self.held = 0
+
+    def least(self) -> int | None:
         return self.heap[0] if self.heap else None
 
-    def __bool__(self) -> bool:
-        return bool(self.heap or self.heads)
+    def drain(self) -> Iterator[int]:
+        """Values of the least symbol, those pushed meanwhile included; it is gone afterwards."""
+        symbol = self.heap[0]
+        while True:
+            if self.stored.get(symbol):
+                at, n = self.stored[symbol].popleft()
+                self.file.seek(at)
+                block = array("q")
+                block.fromfile(self.file, n)
+            else:
+                block, self.lines[symbol] = self.lines[symbol], array("q")
+                self.held -= len(block)
+            if not block:
+                break
+            yield from block
+        heapq.heappop(self.heap)
+        del self.lines[symbol]
 
 
 def types(text: np.ndarray) -> np.ndarray:
@@ -101,6 +100,9 @@ class LeastSince:
         self.value: list[int] = []
 
     def append(self, now: int, value: int) -> None:
+        if not value:  # undercuts all
+            self.at, self.value = [now], [0]
+            return
         while self.value and self.value[-1] >= value:
             self.value.pop()
             self.at.pop()
@@ -129,7 +131,8 @@ def externally_sorted(keys: Iterator[tuple[bytes, int]], limit: int) -> Iterator
             except EOFError:
                 return
 
-    return heapq.merge(sorted(part), *map(stream, files))
+    part.sort()
+    return heapq.merge(part, *map(stream, files)) if files else iter(part)
 
 
 def lms_order(text: np.ndarray, small: np.ndarray, lms: np.ndarray, limit: int) -> np.ndarray:
@@ -174,58 +177,90 @@ def suffix_array(text: np.ndarray, cap: int = 0, limit: int = LIMIT) -> tuple[np
     run = np.minimum(stops - np.arange(n) + 1, max(cap, 1)).tolist()  # equal symbols from here on
     symbol, is_small = text.tolist(), small.tolist()
 
+    # a row of the queue: place and the common prefix of its rest, in one integer
+    bits = max(cap, 1).bit_length()
+    mask = (1 << bits) - 1
+
     # upwards: L suffixes, between the sorted LMS ones
-    queue, least, last = Queue(4, limit), LeastSince(), {}
+    queue, least, last = Queue(limit), LeastSince(), {}
     up = array("q"), array("q")
-    queue.push((symbol[n - 1], -1, n - 1, 0))
-    places, q, now, prev, prev_lms = order.tolist(), 0, 0, -1, False
-    while queue or q < len(places):
-        head = queue.peek()
-        if head is not None and (q == len(places) or head[0] <= symbol[places[q]]):
-            c, _, i, rest = queue.pop()
-            value = min(rest + 1, cap) if prev >= 0 and symbol[prev] == c else 0
-            up[0].append(i)
-            up[1].append(value)
-            prev_lms = False
+    queue.push(symbol[n - 1], (n - 1) << bits)
+    places, q, now, prev = order.tolist(), 0, 0, -1
+    append, since = least.append, least.since
+    while queue.heap or q < len(places):
+        c = queue.least()
+        if c is None or q < len(places) and symbol[places[q]] < c:
+            c = symbol[places[q]]
         else:
-            i = places[q]
-            if prev_lms:
+            fresh = True
+            for row in queue.drain():
+                i = row >> bits
+                value = 0 if fresh else min((row & mask) + 1, cap)
+                fresh = False
+                up[0].append(i)
+                up[1].append(value)
+                if cap:
+                    append(now, value)
+                if i and not is_small[i - 1]:
+                    d = symbol[i - 1]
+                    queue.push(d, (i - 1) << bits | (since(last[d] + 1) if cap and d in last else 0))
+                    last[d] = now
+                prev, now = i, now + 1
+        lms_before = prev >= 0 and is_small[prev]
+        while q < len(places) and symbol[i := places[q]] == c:
+            if lms_before:
                 value = shared[q]
             else:
-                value = min(run[prev], run[i]) if prev >= 0 and symbol[prev] == symbol[i] else 0
+                value = min(run[prev], run[i]) if prev >= 0 and symbol[prev] == c else 0
+            lms_before = True
             q += 1
-            prev_lms = True
-        least.append(now, value)
-        if i and not is_small[i - 1]:
-            c = symbol[i - 1]
-            queue.push((c, now, i - 1, least.since(last[c] + 1) if c in last else 0))
-            last[c] = now
-        prev, now = i, now + 1
+            if cap:
+                append(now, value)
+            if not is_small[i - 1]:
+                d = symbol[i - 1]
+                queue.push(d, (i - 1) << bits | (since(last[d] + 1) if cap and d in last else 0))
+                last[d] = now
+            prev, now = i, now + 1
 
     # downwards: S suffixes, between the L ones
-    queue, least, last = Queue(4, limit), LeastSince(), {}
-    down = array("q"), array("q")  # places, and the common prefix with the one that comes next here
+    queue, least, last = Queue(limit), LeastSince(), {}
+    append, since = least.append, least.since
+    down = array("q"), array("q")  # places, and the common prefix with the one before here
     q, now, prev = len(up[0]) - 1, 0, -1
-    while queue or q >= 0:
-        head = queue.peek()
-        if head is not None and (q < 0 or -head[0] >= symbol[up[0][q]]):
-            c, _, i, rest = queue.pop()
-            value = min(rest + 1, cap) if prev >= 0 and symbol[prev] == -c else 0
+    while queue.heap or q >= 0:
+        c = queue.least()
+        if c is None or q >= 0 and symbol[up[0][q]] > -c:
+            c = symbol[up[0][q]]
         else:
-            i = up[0][q]
-            if prev < 0 or symbol[prev] != symbol[i]:
+            c = -c
+            fresh = True
+            for row in queue.drain():
+                i = row >> bits
+                value = 0 if fresh else min((row & mask) + 1, cap)
+                fresh = False
+                down[0].append(i)
+                down[1].append(value)
+                if cap:
+                    append(now, value)
+                if i and is_small[i - 1]:
+                    d = symbol[i - 1]
+                    queue.push(-d, (i - 1) << bits | (since(last[d] + 1) if cap and d in last else 0))
+                    last[d] = now
+                prev, now = i, now + 1
+        while q >= 0 and symbol[i := up[0][q]] == c:
+            if prev < 0 or symbol[prev] != c:
                 value = 0
             else:
                 value = min(run[prev], run[i]) if is_small[prev] else up[1][q + 1]
             q -= 1
-        if prev >= 0:
+            down[0].append(i)
             down[1].append(value)
-        down[0].append(i)
-        least.append(now, value)
-        if i and is_small[i - 1]:
-            c = symbol[i - 1]
-            queue.push((-c, now, i - 1, least.since(last[c] + 1) if c in last else 0))
-            last[c] = now
-        prev, now = i, now + 1
+            if cap:
+                append(now, value)
+            if i and is_small[i - 1]:
+                d = symbol[i - 1]
+                queue.push(-d, (i - 1) << bits | (since(last[d] + 1) if cap and d in last else 0))
+                last[d] = now
+            prev, now = i, now + 1
     down[1].append(0)
-    return np.array(down[0], np.int64)[::-1], np.array(down[1], np.int64)[::-1]
+    return np.array(down[0], np.int64)[::-1], np.array(down[1], np.int64)[:0:-1]

@@ -33,14 +33,17 @@ def test_equals_sorting(limit, cap):
 
 def test_queue_goes_to_disk_and_back():
     rnd = random.Random(1)
-    queue, kept, got = Queue(2, limit=8), [], []
-    for _ in range(2000):
-        if rnd.random() < 0.6 or not queue:
-            row = (rnd.randint(0, 99), len(kept))
-            queue.push(row)
-            kept.append(row)
-        else:
-            got.append(queue.pop())
-    while queue:
-        got.append(queue.pop())
-    assert sorted(got) == sorted(kept) and len(queue.runs.at) > 10
+    queue, want, got = Queue(limit=8), [], []
+    for i in range(2000):
+        symbol = rnd.randint(0, 9)
+        queue.push(symbol, i)
+        want.append((symbol, i))
+    more = iter(range(2000, 2100))
+    while queue.heap:
+        symbol = queue.least()
+        for value in queue.drain():
+            got.append((symbol, value))
+            if (extra := next(more, None)) is not None:  # pushed while its own line leaves
+                queue.push(symbol, extra)
+                want.append((symbol, extra))
+    assert got == sorted(want) and queue.blocks > 100
