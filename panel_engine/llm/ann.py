@@ -188,6 +188,7 @@ def nearest(
     points = np.stack(drawn["v"].to_numpy()) if len(drawn) else np.zeros((1, len(entries.first().v)))
     forest = grow(points, trees, leaf)
     per_sample = max(1.0, n / len(points))
+    groups = int(max(spark.sparkContext.defaultParallelism, -(-n * trees // GROUP_ROWS)))  # of leaves
     queries = rows.where(is_query(F.col("k"))).select(F.col("k").alias("q"), "v")
     tried = [(r.q, np.array(r.v)) for r in queries.orderBy(F.xxhash64("q")).limit(PROBES).collect()]
     search = search_needed(forest, entries, tried, k, per_sample, recall) if tried else 1.0
@@ -208,10 +209,18 @@ def nearest(
             if not batch.num_rows:
                 continue
             v = batch.column(1).to_numpy(zero_copy_only=False)
-            found = [shared.value.walk(x, search, per_sample) for x in v]
-            t = pa.array(np.repeat(np.arange(batch.num_rows), [len(f) for f in found]))
+            bucket, row, leaves = [], [], []
+            for i, x in enumerate(v):
+                found = np.array(shared.value.walk(x, search, per_sample))
+                order = np.argsort(found % groups, kind="stable")
+                numbers, first = np.unique(found[order] % groups, return_index=True)
+                bucket += numbers.tolist()
+                row += [i] * len(numbers)
+                leaves += np.split(found[order], first[1:])
+            t = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(found).astype(np.int64)), batch.column(0).take(t), batch.column(1).take(t)], names=["leaf", "q", "v"])
+                [pa.array(bucket, pa.int64()), batch.column(0).take(t), batch.column(1).take(t), pa.array(leaves, pa.list_(pa.int64()))],
+                names=["bucket", "q", "v", "leaves"])
 
     def score(key_: tuple, asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         best: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # of a query: scores and rows, the k + 1 best so far
@@ -219,7 +228,7 @@ def nearest(
             return pd.DataFrame([], columns=["query_id", "vec_id", "score"])
         held_at = held.groupby("leaf").indices
         vectors_, ids = np.stack(held["v"].to_numpy()), held["ids"].to_numpy()
-        for at, part in asked.groupby("leaf"):
+        for at, part in asked.explode("leaves").groupby("leaves"):
             rows_ = held_at.get(at)
             if rows_ is None:
                 continue
@@ -241,10 +250,9 @@ def nearest(
             out += [(query, i, s) for j, s in zip(r, exact) for i in ids[j] if i != query]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
-    groups = max(spark.sparkContext.defaultParallelism, -(-n * trees // GROUP_ROWS))
-    bucket = F.pmod(F.xxhash64("leaf"), F.lit(groups)).alias("bucket")
-    placed = entries.select("v", "ids").mapInArrow(place, "leaf long, v array<double>, ids array<long>").select("*", bucket)
-    asked = queries.repartition(spark.sparkContext.defaultParallelism).mapInArrow(probe, "leaf long, q long, v array<double>").select("*", bucket)
+    placed = entries.select("v", "ids").mapInArrow(place, "leaf long, v array<double>, ids array<long>").withColumn("bucket", F.col("leaf") % groups)
+    asked = queries.repartition(spark.sparkContext.defaultParallelism).mapInArrow(
+        probe, "bucket long, q long, v array<double>, leaves array<long>")
     found = asked.groupBy("bucket").cogroup(placed.groupBy("bucket")).applyInPandas(score, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
