@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panel_engine.llm import bpe, language, mixing, secrets, simhash
+from panel_engine.llm import bpe, language, mixing, resemblance, secrets
 from panel_engine.sources.scratch import materialize
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -30,11 +30,14 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies: five-word shingles, fingerprints
-    linked at five differing bits of 64 or fewer (0.92 alike). Rows without an id stay."""
-    groups = simhash.near_duplicates(docs, shingle=5, max_bits=5).select("doc_id", "component_id")
-    first = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    once = docs.join(first, "doc_id").dropDuplicates(["doc_id"])
+    """The document with the smallest id of each group of near copies: candidates by SimHash, linked where their
+    sets of five-word shingles have a Jaccard similarity of 0.8 or more. Rows without an id stay."""
+    # a row is known by its id and a hash of what it holds
+    row = F.struct("doc_id", F.xxhash64(*COLUMNS[1:], *[F.col(c).isNull() for c in COLUMNS[1:]]).alias("h"))
+    rows = docs.select(*COLUMNS, row.alias("row")).where(F.col("doc_id").isNotNull())
+    groups = resemblance.groups(rows, "row", "text", shingle=5)
+    first = groups.groupBy("component").agg(F.min("row.doc_id").alias("doc_id")).select("doc_id").distinct()
+    once = rows.join(first, "doc_id").dropDuplicates(["doc_id"])
     return once.select(*COLUMNS).unionByName(docs.where(F.col("doc_id").isNull()).select(*COLUMNS))
 
 
