@@ -30,14 +30,18 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies: candidates by SimHash, linked where their
-    sets of five-word shingles have a Jaccard similarity of 0.8 or more. Rows without an id stay."""
+    """One document of each group of near copies: candidates by SimHash, linked where their sets of five-word
+    shingles have a Jaccard similarity of 0.8 or more.
+
+    The row with the smallest id stays, of those that share it the one with the smallest hash of its columns;
+    rows that share an id but lie in different groups each count in their own. Rows without an id stay.
+    """
     # a row is known by its id and a hash of what it holds
     row = F.struct("doc_id", F.xxhash64(*COLUMNS[1:], *[F.col(c).isNull() for c in COLUMNS[1:]]).alias("h"))
     rows = docs.select(*COLUMNS, row.alias("row")).where(F.col("doc_id").isNotNull())
     groups = resemblance.groups(rows, "row", "text", shingle=5)
-    first = groups.groupBy("component").agg(F.min("row.doc_id").alias("doc_id")).select("doc_id").distinct()
-    once = rows.join(first, "doc_id").dropDuplicates(["doc_id"])
+    first = groups.groupBy("component").agg(F.min("row").alias("row")).select("row").distinct()
+    once = rows.join(first, "row").dropDuplicates(["row"])  # rows of one id and one hash are the same
     return once.select(*COLUMNS).unionByName(docs.where(F.col("doc_id").isNull()).select(*COLUMNS))
 
 

@@ -65,3 +65,16 @@ def test_crowded_keys_lose_no_candidate(spark, monkeypatch, pairwise, per_member
             texts.append(" ".join(copy))
     texts += [texts[0], "", " ", "one two"]
     assert kept(spark, texts) == {0, 25, 50, 76, 78}
+
+
+def test_rows_that_share_an_id(spark):
+    """Different texts of one id stay, in any partitioning; of near copies the same row stays."""
+    rnd = random.Random(3)
+    a, b = (" ".join(f"w{rnd.randrange(10**6)}" for _ in range(200)) for _ in range(2))
+    rows = [(1, a, "en", "a", 1), (1, b, "en", "a", 1), (1, a + " end", "en", "a", 1), (2, b, "en", "a", 1), (1, a, "en", "a", 1)]
+    seen = set()
+    for some in (rows, rows[::-1]):
+        got = cp.deduplicated(spark, spark.createDataFrame(some, DOC_SCHEMA).repartition(3), "").collect()
+        assert [r.doc_id for r in got] == [1, 1] and {r.text == b for r in got} == {True, False}
+        seen.add(frozenset(r.text for r in got))
+    assert len(seen) == 1
