@@ -18,6 +18,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from panel_engine.llm.repeats import U, mixed
 from panel_engine.llm.text import cut, whole
@@ -173,20 +174,23 @@ def fit(
 ) -> Model:
     """Model from the rows with a non-null label; a text in one language lends its label to each word.
 
-    At most about ``train_docs`` rows are fitted, drawn by a hash of the text, evenly over the labels; each round sums the gradient over
+    At most ``train_docs`` texts are fitted (one for each label at least), those of each label with the smallest hashes,
+    evenly over the labels; copies of a text count once. Each round sums the gradient over
     the partitions in Spark and steps the weights scaled by each weight's past gradients.
     """
     labelled = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("t"), F.col(label).alias("l"))
-    counts = {r.l: r.n for r in labelled.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per language
-    labels = sorted(counts)
+    labelled = labelled.withColumn("h", F.xxhash64("t"))
+    labels = sorted(r.l for r in labelled.select("l").distinct().collect())  # one row per language
     if not labels:
         return Model([], np.zeros((SLOTS, 0)), np.zeros((0, 0)))
     each = max(1, train_docs // len(labels))
-    share = F.lit(1.0)
-    for name, n in counts.items():
-        share = F.when(F.col("l") == name, F.lit(min(1.0, each / n))).otherwise(share)
+    # the last hash drawn of each language; copies have one hash and count once
+    ranked = labelled.select("l", "h").distinct().withColumn("i", F.row_number().over(Window.partitionBy("l").orderBy("h")))
+    upto = F.lit(None).cast("long")
+    for r in ranked.where(F.col("i") <= each).groupBy("l").agg(F.max("h").alias("h")).collect():
+        upto = F.when(F.col("l") == r.l, F.lit(r.h)).otherwise(upto)
     number = F.array_position(F.array(*[F.lit(x) for x in labels]), F.col("l")).cast("int") - 1
-    drawn = labelled.where(F.pmod(F.xxhash64("t"), F.lit(1 << 30)) < share * (1 << 30))
+    drawn = labelled.where(F.col("h") <= upto).dropDuplicates(["l", "h"])
     sample = cut(drawn.select("t", number.alias("y")).repartition(max(2, docs.sparkSession.sparkContext.defaultParallelism)))
 
     model = Model(labels, np.zeros((SLOTS, len(labels))), np.zeros((len(labels), len(labels))))

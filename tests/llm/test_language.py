@@ -103,3 +103,18 @@ def test_awkward_rows(spark):
     assert {r.lang_pred for r in language.label(docs, nothing).collect()} == {"und"}
     one = language.fit(docs.where(F.col("lang") == "en"))
     assert {r.lang_pred for r in language.label(docs.where("doc_id in (1, 7)"), one).collect()} == {"en"}
+
+
+def test_copies_count_once_in_the_draw(spark, monkeypatch):
+    """A language made of copies is fitted on each of its texts, and no text enters twice."""
+    rows = [(i, f"das ist text {i % 3}", "de") for i in range(3000)] + [(i, f"this is text {i}", "en") for i in range(3000, 3050)]
+    drawn = []
+
+    def seen(df):
+        drawn.extend((r.t, r.y) for r in df.collect())
+        return df
+
+    monkeypatch.setattr(language, "cut", seen)
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rounds=1, train_docs=20)
+    assert model.labels == ["de", "en"] and len(drawn) == len(set(drawn))
+    assert sum(y == 0 for _, y in drawn) == 3 and sum(y == 1 for _, y in drawn) == 10
