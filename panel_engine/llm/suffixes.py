@@ -6,8 +6,9 @@ recursion until names are unique. All other suffixes follow by induction. Disk-b
 carry tuples upwards for the L suffixes and downwards for the S suffixes, ordered by first symbol and rank of the rest:
 when a suffix leaves the queue, the one before it in the text enters, ranked by what has just left. Each
 tuple also carries the common prefix that its rest has with the rest that left before it, so the
-common-prefix values come out with the order. Memory is bounded by ``limit`` tuples; what is beyond
-lies in blocks of a temporary file of the task.
+common-prefix values come out with the order. Beyond ``limit`` tuples the queues and the sort of the LMS
+substrings go to temporary files of the task. The text, the lists of its symbols, types and runs, the LMS names
+and the resulting arrays stay in memory, so that a text must fit there.
 """
 
 from __future__ import annotations
