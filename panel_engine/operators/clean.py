@@ -66,8 +66,8 @@ def ordered_projection(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def iqr_bounds(df: DataFrame, column: str, k: float = 1.5) -> DataFrame:
-    """One row: ``low`` and ``high`` fences."""
-    q = grouped_quantiles(df, column, [0.25, 0.75])
+    """One row: ``low`` and ``high`` fences. ``df`` is read a few times, one column of it."""
+    q = grouped_quantiles(df, column, [0.25, 0.75], store=False)
     spread = (F.col("q_1") - F.col("q_0")) * float(k)
     return q.select((F.col("q_0") - spread).alias("low"), (F.col("q_1") + spread).alias("high"))
 

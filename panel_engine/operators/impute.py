@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from panel_engine import config
 from panel_engine.functions.scalars import bin_right_closed, clip_where, safe_double
 from panel_engine.operators.clean import complete
-from panel_engine.operators.ordered import histogram_quantiles
+from panel_engine.operators.narrowing import level_quantiles
 from panel_engine.sources.scratch import materialize
 
 GLOBAL = "GLOBAL"
@@ -73,30 +73,18 @@ def group_medians(
     """(feature, level, level_keys, key_values, n, median) of all levels.
 
     Level 0..L-1 are the key sets; level L is the whole table. Groups with a null key or too
-    little support are absent. Cells are counted once per (finest keys, value); key sets that lie in
-    another are counted from its counts. All levels then share one ordering of their values.
+    little support are absent. Keys and cells are stored once, and all levels narrowed down to their medians together.
     """
     keys = list(dict.fromkeys(k for level in levels for k in level))
-    cells = df.select(*keys, F.explode(F.array(*[
-        F.struct(F.lit(c).alias("feature"), safe_double(c).alias("value")) for c in measures])).alias("c")).select(*keys, "c.*")
+    cells = materialize(df.select(*keys, *[safe_double(c).alias(f"__m_{i}") for i, c in enumerate(measures)]), "cells")
     wanted = [*levels, []] if with_global else list(levels)
-    hists: dict[tuple, DataFrame] = {}
-    for level in sorted(wanted, key=len, reverse=True):  # a key set after those that may hold it
-        # of those with fewest keys the last, a population one, has fewest rows
-        above = next((k for k in sorted(reversed(list(hists)), key=len) if set(level) <= set(k)), None)
-        source = cells.where(F.col("value").isNotNull()).withColumn("c", F.lit(1)) if above is None else hists[above]
-        hist = source.groupBy(*level, "feature", "value").agg(F.sum("c").alias("c"))
-        hists[tuple(level)] = materialize(hist, "counts") if above is None else hist
-    # one grouping column for all levels, so that they are ordered together
-    counts = reduce(DataFrame.unionByName, [
-        hists[tuple(level)].where(complete(level)).select(F.lit(i).alias("level"), _key_values(level).alias("key_values"), "feature", "value", "c")
-        for i, level in enumerate(wanted)])
-    stats = histogram_quantiles(counts, "value", "c", [0.5], ["level", "key_values", "feature"])
-    names = F.element_at(F.array(*[F.lit(" -> ".join(x)) for x in levels], F.lit(GLOBAL)), F.col("level") + 1)
-    return (
-        stats.where((F.col("n") >= min_n) | ((F.col("level") == len(levels)) & (F.col("n") > 0)))
-        .select("feature", "level", names.alias("level_keys"), "key_values", "n", F.col("q_0").alias("median"))
-    )
+    found = level_quantiles(cells, [f"__m_{i}" for i in range(len(measures))], [0.5], wanted, null_keys=False)
+    level = F.col("level")
+    values = reduce(lambda so_far, i: so_far.when(level == i, _key_values(wanted[i])), range(1, len(wanted)), F.when(level == 0, _key_values(wanted[0])))
+    return found.where((F.col("n") >= min_n) | (level == len(levels))).select(
+        F.get(F.array(*map(F.lit, measures)), F.col("feature")).alias("feature"), "level",
+        F.get(F.array(*[F.lit(" -> ".join(x)) for x in levels], F.lit(GLOBAL)), level).alias("level_keys"),
+        values.alias("key_values"), "n", F.col("q_0").alias("median"))
 
 
 def _key_values(keys: Sequence[str]) -> Column:
@@ -115,9 +103,10 @@ class HierarchicalImputerModel:
     def transform(self, df: DataFrame, metadata: bool = False) -> DataFrame:
         """Fill missing cells, most specific level first; observed cells never change.
 
-        Only rows with a missing cell meet the median tables. With ``metadata``, column
-        ``__level_<c>`` names the level that filled the cell and ``__clipped_<c>`` flags a
-        value moved into its plausible range.
+        Only rows with a missing cell meet the medians, in one look-up: each names its group at every level, the
+        groups of all levels lie in one table, and of what is found the lowest level wins, per cell. With ``metadata``,
+        column ``__level_<c>`` names the level that filled the cell and ``__clipped_<c>`` flags a value moved into
+        its plausible range.
         """
         measures = [c for c in self.measures if c in df.columns]
         columns = df.columns
@@ -126,32 +115,27 @@ class HierarchicalImputerModel:
         for c in measures:
             lacking = lacking | F.col(c).isNull()
         have = work.where(~lacking)
-        lack = work.where(lacking)
-        for i, level in enumerate(self.levels):
-            if any(k not in work.columns for k in level):
-                continue
-            lack = lack.join(self._wide(i, measures), _key_values(level) == F.col(f"__k{i}"), "left").drop(f"__k{i}")
+        # rows are numbered as they are stored, and met again by that number
+        lack = materialize(work.where(lacking).withColumn("__row", F.monotonically_increasing_id()), "lacking")
+        found = self._look_up(lack, measures)
+        if found is not None:
+            lack = lack.join(found, "__row", "left")
+        else:
+            lack = lack.withColumns({f"__{x}_{c}": F.lit(None).cast(t) for c in measures for x, t in (("f", "double"), ("l", "int"))})
         lack = lack.crossJoin(F.broadcast(self._wide_global(measures)))  # one row
 
-        last = len(self.levels)
-        candidates = {
-            c: [(name, F.col(f"__m{i}_{c}")) for i, name in enumerate([*map(" -> ".join, self.levels), GLOBAL])
-                if f"__m{i}_{c}" in lack.columns]
-            for c in measures
-        }
-        found = {f"__f_{c}": F.coalesce(*[m for _, m in candidates[c]]) for c in measures}
-        lack = lack.withColumns(found)
+        names = F.array(*[F.lit(" -> ".join(x)) for x in self.levels], F.lit(GLOBAL))
         filled, tags = {}, {}
         for c in measures:
-            missing, value = F.col(c).isNull(), F.col(f"__f_{c}")
+            missing, value = F.col(c).isNull(), F.coalesce(f"__f_{c}", f"__g_{c}")
+            level = F.coalesce(f"__l_{c}", F.when(F.col(f"__g_{c}").isNotNull(), F.lit(len(self.levels))))
             clipped = F.lit(False)
             filled[c] = F.coalesce(F.col(c), value)
             if self.params.clip_imputed and c in self.params.ranges:
                 low, high = self.params.ranges[c]
                 clipped = F.coalesce(missing & ~value.between(low, high), F.lit(False))
                 filled[c] = clip_where(filled[c], missing & value.isNotNull(), low, high)
-            tags[f"{LEVEL_PREFIX}{c}"] = F.coalesce(
-                *[F.when(missing & m.isNotNull(), F.lit(name)) for name, m in candidates[c]])
+            tags[f"{LEVEL_PREFIX}{c}"] = F.when(missing, F.get(names, level))
             tags[f"__clipped_{c}"] = clipped
         extra = list(tags) if metadata else []
         if metadata:
@@ -163,16 +147,29 @@ class HierarchicalImputerModel:
         out = have.select(*columns, *extra).unionByName(lack)
         return out.drop("age_class")  # a support column of the imputer, recreated on demand
 
-    def _wide(self, level: int, measures: Sequence[str]) -> DataFrame:
-        return (
-            self.stats.where(F.col("level") == level).groupBy(F.col("key_values").alias(f"__k{level}"))
-            .agg(*[F.max(F.when(F.col("feature") == c, F.col("median"))).alias(f"__m{level}_{c}") for c in measures])
-        )
+    def _look_up(self, lack: DataFrame, measures: Sequence[str]) -> DataFrame | None:
+        """``__row``, and for each measure the median of the lowest level that has one, and that level."""
+        levels = [(i, level) for i, level in enumerate(self.levels) if all(k in lack.columns for k in level)]
+        if not levels:
+            return None
+        # a hash stands first among the join keys, so that keys are mostly compared as numbers
+        groups = lack.select("__row", F.explode(F.array(*[
+            F.when(complete(level), F.struct(F.lit(i).alias("level"), _key_values(level).alias("key_values"))) for i, level in levels])).alias("g")
+        ).where("g is not null").select("__row", F.xxhash64("g.level", "g.key_values").alias("h"), "g.*")
+        medians = self.stats.where(F.col("level") < len(self.levels)).groupBy("level", "key_values").agg(*[
+            F.max(F.when(F.col("feature") == c, F.col("median"))).alias(f"__m_{c}") for c in measures])
+        medians = medians.select(F.xxhash64("level", "key_values").alias("h"), "*")
+        met = groups.join(medians, ["h", "level", "key_values"])
+        best = []
+        for c in measures:
+            level = F.when(F.col(f"__m_{c}").isNotNull(), F.col("level"))
+            best += [F.min_by(f"__m_{c}", level).alias(f"__f_{c}"), F.min(level).alias(f"__l_{c}")]
+        return met.groupBy("__row").agg(*best)
 
     def _wide_global(self, measures: Sequence[str]) -> DataFrame:
         level = len(self.levels)
         return self.stats.where(F.col("level") == level).agg(
-            *[F.max(F.when(F.col("feature") == c, F.col("median"))).alias(f"__m{level}_{c}") for c in measures])
+            *[F.max(F.when(F.col("feature") == c, F.col("median"))).alias(f"__g_{c}") for c in measures])
 
     def save(self, path: str) -> str:
         self.stats.write.mode("overwrite").parquet(f"{path}/stats")

@@ -1,59 +1,32 @@
-"""Exact order statistics without gathering a group in one task, on one path at every size.
+"""Ranks and running totals over ordered values without gathering a group in one task, on one path at every size.
 
 Rows are counted per (group, distinct value), combined before the shuffle. The distinct values are then
 dealt by ranges of (group, value), in the values' own type, and stored with their range's number: a
 group with many values spreads over ranges, and a narrow set of values is split as well as a wide one.
-Totals per (group, range), a few small rows, carry running sums from range to range.
+Totals per (group, range), a few small rows, carry running sums from range to range. Quantiles, of which a few
+ranks are wanted only, need no such order: they are narrowed down to (``narrowing``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panel_engine.functions.scalars import safe_double
+from panel_engine.operators.narrowing import level_quantiles, null_safe_join
 from panel_engine.sources.scratch import materialize
 
 
-def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Equi-join in which a null key meets a null key; the right key columns are dropped."""
-    renamed = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
-    cond = None
-    for k in keys:
-        hit = F.col(k).eqNullSafe(F.col(f"__r_{k}"))
-        cond = hit if cond is None else cond & hit
-    return left.join(renamed, cond, how).drop(*[f"__r_{k}" for k in keys])
+def grouped_quantiles(df: DataFrame, value: str, probs: Sequence[float], groups: Sequence[str] = (), store: bool = True) -> DataFrame:
+    """Exact linearly interpolated quantiles: groups, ``n``, ``q_0`` .. ``q_{k-1}``; nulls are left out.
 
-
-def grouped_quantiles(df: DataFrame, value: str, probs: Sequence[float], groups: Sequence[str] = ()) -> DataFrame:
-    """Exact linearly interpolated quantiles: groups, ``n``, ``q_0`` .. ``q_{k-1}``; nulls are left out."""
+    Found by narrowing, in a few passes over the values: they are stored first, unless ``df`` is cheap to read again.
+    """
     groups = list(groups)
     cells = df.select(*groups, safe_double(value).alias("__v")).where(F.col("__v").isNotNull())
-    return histogram_quantiles(cells.groupBy(*groups, "__v").agg(F.count(F.lit(1)).alias("__c")), "__v", "__c", probs, groups)
-
-
-def histogram_quantiles(hist: DataFrame, value: str, count: str, probs: Sequence[float], groups: Sequence[str]) -> DataFrame:
-    """Quantiles from one row per (groups, value) with its count."""
-    groups = list(groups)
-    ordered = cumulative(hist, value, [count], groups)
-    n, upto = F.col(f"all_{count}"), F.col(f"upto_{count}")
-    positions = [(n - 1).cast("double") * F.lit(float(p)) for p in probs]
-
-    def at(rank: Column) -> Column:
-        return F.max(F.when((rank >= upto - F.col(count)) & (rank < upto), F.col(value)))
-
-    picked = ordered.groupBy(*groups).agg(F.max(n).alias("n"), *[a for i, pos in enumerate(positions) for a in (
-        at(F.floor(pos)).alias(f"__lo_{i}"), at(F.ceil(pos)).alias(f"__hi_{i}"))]).where(F.col("n") > 0)
-    return picked.select(*groups, "n", *[
-        interpolate(F.col(f"__lo_{i}"), F.col(f"__hi_{i}"), (F.col("n") - 1).cast("double") * F.lit(float(p))).alias(f"q_{i}")
-        for i, p in enumerate(probs)])
-
-
-def interpolate(low: Column, high: Column, position: Column) -> Column:
-    part = position - F.floor(position)
-    return F.when(low == high, low).otherwise(low * (1.0 - part) + high * part)
+    return level_quantiles(materialize(cells, "values") if store else cells, ["__v"], probs, [groups]).drop("level", "feature")
 
 
 def cumulative(hist: DataFrame, value: str, weights: Sequence[str], groups: Sequence[str]) -> DataFrame:
