@@ -62,6 +62,15 @@ def year_pruned(spark, sf_dir):
     return _with_short_name(readers.union_csv_files(spark, _monthly_drop(spark, sf_dir), "ORD", [1999, "1996"]))
 
 
+@query("s4_file_report", """
+WITH months AS (SELECT strftime(o_orderdate, 'ORD-%Y-%m.csv') AS file, CAST(year(o_orderdate) AS INTEGER) AS year, count(*) AS n FROM orders GROUP BY ALL)
+SELECT file, year, 'read' AS status, CAST(n AS BIGINT) AS rows FROM months WHERE year BETWEEN 1990 AND 1998
+UNION ALL SELECT NULL, CAST(y AS INTEGER), 'missing_year', 0 FROM range(1990, 1999) AS r(y) WHERE y NOT IN (SELECT year FROM months)""")
+def file_report(spark, sf_dir):
+    report = readers.file_report(spark, _monthly_drop(spark, sf_dir), "ORD", [1990, 1998])
+    return report.select(F.regexp_extract("file", r"(ORD-\d+-\d+\.csv)", 1).alias("file"), "year", "status", "rows")
+
+
 @query("s5_parquet_scan", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 250000")
 def parquet_scan(spark, sf_dir):
     return readers.read_table(spark, f"{sf_dir}/orders.parquet").where("o_totalprice > 250000").select(

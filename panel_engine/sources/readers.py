@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import logging
 import re
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,46 +46,144 @@ def expand_years(years: Iterable[int | str]) -> list[int]:
     return list(range(min(found), max(found) + 1))
 
 
-def list_csv_files(spark: SparkSession, folder: str, code: str, years: Iterable[int | str]) -> list[str]:
-    """Files named ``*<code>-<year>*.csv``, pruned before anything is opened."""
-    globs = [f"{folder.rstrip('/')}/*{code}-{y}*.csv" for y in expand_years(years)]
+@dataclass(frozen=True)
+class CsvFile:
+    """A monthly file as the listing shows it."""
+
+    path: str
+    year: int
+    size: int
+
+
+def find_csv_files(spark: SparkSession, folder: str, code: str, years: Iterable[int | str]) -> list[CsvFile]:
+    """Files named ``*<code>-<year>*.csv``, pruned before anything is opened, by path."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    found: set[str] = set()
-    for pattern in globs:
-        path = hadoop.Path(pattern)
-        found |= {str(s.getPath()) for s in (path.getFileSystem(conf).globStatus(path) or [])}
-    return sorted(found)
+    found: dict[str, CsvFile] = {}
+    for year in expand_years(years):
+        path = hadoop.Path(f"{folder.rstrip('/')}/*{code}-{year}*.csv")
+        system = path.getFileSystem(conf)
+        for status in system.globStatus(path) or []:
+            name = str(status.getPath())
+            # an entry may be a folder of part files
+            size = system.getContentSummary(status.getPath()).getLength() if status.isDirectory() else status.getLen()
+            found.setdefault(name, CsvFile(name, year, size))
+    return [found[name] for name in sorted(found)]
 
 
-def union_csv_files(spark: SparkSession, folder: str, code: str, years: Iterable[int | str]) -> DataFrame:
-    """Union monthly CSVs as strings, by column name, with the path of each row's file.
+def list_csv_files(spark: SparkSession, folder: str, code: str, years: Iterable[int | str]) -> list[str]:
+    return [f.path for f in find_csv_files(spark, folder, code, years)]
 
-    Only the first line of each monthly file is read to learn its layout; files that share
-    a layout become one multi-file scan, so the plan grows with the number of layouts, not
-    of files. A file without a header line is skipped with a warning that names it. A file that is
-    damaged or cannot be reached fails the read: its rows are not to go missing unseen.
-    """
-    files = list_csv_files(spark, folder, code, years)
-    if not files:
-        raise ValueError(f"no CSV file for code {code!r} in {folder}")
-    reader = spark.read.option("header", True)
 
-    def header(path: str) -> tuple[str, ...]:
+def header_lines(spark: SparkSession, paths: Sequence[str]) -> dict[str, str | None]:
+    """The first line of each file, None where it has none. The file system is asked for it, no job is started."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+
+    def lines(path) -> Iterator[str | None]:
+        system = path.getFileSystem(conf)
+        if system.getFileStatus(path).isDirectory():
+            parts = [s.getPath() for s in system.listStatus(path) if not re.match(r"[._]", s.getPath().getName())]
+            for part in sorted(parts, key=str):
+                yield from lines(part)
+            return
+        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(system.open(path), "UTF-8"))
         try:
-            return tuple(reader.csv(path).columns)
-        except AnalysisException as error:
-            if error.getCondition() != "UNABLE_TO_INFER_SCHEMA":
-                raise
-            return ()
+            yield reader.readLine()
+        finally:
+            reader.close()
+
+    def first(name: str) -> str | None:
+        return next((line for line in lines(jvm.org.apache.hadoop.fs.Path(name)) if line and line.strip()), None)
 
-    layouts: dict[tuple[str, ...], list[str]] = {}
     with ThreadPoolExecutor(16) as pool:
-        for path, columns in zip(files, pool.map(header, files)):
-            layouts.setdefault(columns, []).append(path)
-    for path in layouts.pop((), []):
+        return dict(zip(paths, pool.map(first, paths)))
+
+
+READ, NO_HEADER, DAMAGED, MISSING_YEAR = "read", "no_header", "damaged", "missing_year"
+
+
+def file_report(spark: SparkSession, folder: str, code: str, years: Iterable[int | str]) -> DataFrame:
+    """What a union over these years has and lacks: ``file``, ``year``, ``status``, ``rows``, ``reason``.
+
+    A row per file, and one, without a file, per year that has none. A file that cannot be read to its end is
+    ``damaged``: its lines that can be read are counted with their bytes and held against its size, all files in one
+    job. ``rows`` are the data lines met, the header not counted; quoted line breaks count as lines.
+    """
+    years = list(years)
+    files = find_csv_files(spark, folder, code, years)
+    headers = header_lines_or_reasons(spark, [f.path for f in files])
+    listed = spark.createDataFrame(
+        [(f.path, f.year, f.size, *headers[f.path]) for f in files], "file string, year int, size long, header boolean, unreadable string")
+    if files:
+        lines = spark.read.option("lineSep", "\n").option("ignoreCorruptFiles", True).text([f.path for f in files])
+        met = lines.groupBy(F.col("_metadata.file_path").alias("part")).agg(
+            F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("value") + 1).alias("bytes"), F.count_if(F.length(F.trim("value")) == 0).alias("blank"))
+        # an entry that is a folder has its part files below it, each with a header of its own
+        owner = spark.createDataFrame([(f.path,) for f in files], "file string")
+        met = met.join(owner, F.col("part").startswith(F.col("file")) & F.substring("part", F.length("file") + 1, F.lit(1)).isin("", "/"))
+        met = met.groupBy("file").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.sum("blank").alias("blank"), F.count(F.lit(1)).alias("parts"))
+        listed = listed.join(met, "file", "left")
+    else:
+        listed = listed.withColumns({c: F.lit(None).cast("long") for c in ("n", "bytes", "blank", "parts")})
+    short = F.coalesce("bytes", F.lit(0)) < F.col("size")
+    damaged = F.col("unreadable").isNotNull() | short
+    status = F.when(damaged, DAMAGED).when(~F.col("header"), NO_HEADER).otherwise(READ)
+    reason = (
+        F.when(F.col("unreadable").isNotNull(), F.col("unreadable"))
+        .when(short, F.concat(F.lit("read "), F.coalesce("bytes", F.lit(0)).cast("string"), F.lit(" of "), F.col("size").cast("string"), F.lit(" bytes")))
+        .when(~F.col("header"), F.lit("no header line")))
+    rows = F.when(F.col("header"), F.greatest(F.coalesce(F.col("n") - F.col("blank") - F.col("parts"), F.lit(0)), F.lit(0))).otherwise(0).cast("long")
+    report = listed.select("file", "year", status.alias("status"), rows.alias("rows"), reason.alias("reason"))
+    lacking = [(None, y, MISSING_YEAR, 0, "no file of this year") for y in expand_years(years) if y not in {f.year for f in files}]
+    return report.unionByName(spark.createDataFrame(lacking, report.schema)) if lacking else report
+
+
+def header_lines_or_reasons(spark: SparkSession, paths: Sequence[str]) -> dict[str, tuple[bool, str | None]]:
+    """Whether each file has a header line, and why it could not be asked."""
+    def asked(path: str) -> tuple[bool, str | None]:
+        try:
+            return header_lines(spark, [path])[path] is not None, None
+        except Py4JJavaError as error:
+            return False, str(error.java_exception)
+
+    with ThreadPoolExecutor(16) as pool:
+        return dict(zip(paths, pool.map(asked, paths)))
+
+
+def union_csv_files(
+    spark: SparkSession, folder: str, code: str, years: Iterable[int | str], damaged: str = "fail",
+) -> DataFrame:
+    """Union monthly CSVs as strings, by column name, with the path of each row's file.
+
+    Only the first line of each monthly file is read to learn its layout; files that share a header
+    line become one multi-file scan, so the plan grows with the number of layouts, not of files. A
+    file without a header line is skipped, and a year without a file noticed, with a warning each. A file that is
+    damaged or cannot be reached fails the read: its rows are not to go missing unseen. With
+    ``damaged="set_aside"`` such files are left out instead; ``file_report`` names them, and costs one pass.
+    """
+    if damaged not in ("fail", "set_aside"):
+        raise ValueError("damaged is fail or set_aside")
+    years = list(years)
+    files = find_csv_files(spark, folder, code, years)
+    if not files:
+        raise ValueError(f"no CSV file for code {code!r} in {folder}")
+    for year in sorted(set(expand_years(years)) - {f.year for f in files}):
+        log.warning("no file of %s for code %r in %s", year, code, folder)
+    paths = [f.path for f in files]
+    if damaged == "set_aside":
+        # one small row per file
+        bad = {r.file: r.reason for r in file_report(spark, folder, code, years).where(F.col("status") == DAMAGED).collect()}
+        for path, reason in bad.items():
+            log.warning("set aside %s: %s", path, reason)
+        paths = [p for p in paths if p not in bad]
+    layouts: dict[str | None, list[str]] = {}
+    for path, line in header_lines(spark, paths).items():
+        layouts.setdefault(line, []).append(path)
+    for path in layouts.pop(None, []):
         log.warning("skipped %s: it has no header line", path)
-    parts = [reader.csv(paths).withColumn(SOURCE_FILE, F.col("_metadata.file_path")) for paths in layouts.values()]
+    reader = spark.read.option("header", True)
+    parts = [reader.csv(same).withColumn(SOURCE_FILE, F.col("_metadata.file_path")) for same in layouts.values()]
     if not parts:
         raise ValueError(f"no readable CSV file for code {code!r} in {folder}")
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

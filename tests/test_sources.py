@@ -136,3 +136,44 @@ def test_damaged_file_fails_the_union(spark, tmp_path):
     damaged.write_bytes(data)
     with pytest.raises(Exception, match="(?i)checksum"):
         readers.union_csv_files(spark, str(tmp_path), "X", [2020]).agg(F.sum("a")).collect()
+    kept = readers.union_csv_files(spark, str(tmp_path), "X", [2020], damaged="set_aside")
+    assert kept.count() == 20_000 and kept.select(readers.SOURCE_FILE).distinct().count() == 1
+    report = {r.file.rsplit("/", 1)[1]: r for r in readers.file_report(spark, str(tmp_path), "X", [2020]).collect()}
+    assert (report["m-X-2020-01.csv"].status, report["m-X-2020-01.csv"].rows) == ("read", 20_000)
+    bad = report["m-X-2020-02.csv"]
+    assert bad.status == "damaged" and bad.rows < 20_000 and "bytes" in bad.reason
+    with pytest.raises(ValueError):
+        readers.union_csv_files(spark, str(tmp_path), "X", [2020], damaged="ignore")
+
+
+def test_file_report(spark, tmp_path, caplog):
+    write(tmp_path / "AC-2019-01.csv", "id,v\n1,a\n2,b")  # no line break at the end
+    write(tmp_path / "AC-2019-02.csv", "id,v\r\n3,c\r\n")
+    write(tmp_path / "AC-2019-03.csv", "")
+    write(tmp_path / "AC-2021-01.csv", "v,id\n")
+    (tmp_path / "AC-2021-02.csv").mkdir()  # an entry of part files
+    write(tmp_path / "AC-2021-02.csv" / "part-0.csv", "id,v\n4,d\n5,e\n")
+    write(tmp_path / "AC-2021-02.csv" / "part-1.csv", "id,v\n6,f\n")
+    write(tmp_path / "AC-2021-02.csv2", "id,v\n9,z\n")
+    report = readers.file_report(spark, str(tmp_path), "AC", [2018, 2021])
+    got = {(r.file and r.file.rsplit("/", 1)[1], r.year): (r.status, r.rows) for r in report.collect()}
+    assert got == {
+        ("AC-2019-01.csv", 2019): ("read", 2), ("AC-2019-02.csv", 2019): ("read", 1), ("AC-2019-03.csv", 2019): ("no_header", 0),
+        ("AC-2021-01.csv", 2021): ("read", 0), ("AC-2021-02.csv", 2021): ("read", 3),
+        (None, 2018): ("missing_year", 0), (None, 2020): ("missing_year", 0)}
+    with caplog.at_level("WARNING"):
+        assert readers.union_csv_files(spark, str(tmp_path), "AC", [2018, 2021]).count() == 6
+    assert "no file of 2018" in caplog.text and "AC-2019-03.csv" in caplog.text
+    none = readers.file_report(spark, str(tmp_path), "NO", [2019]).collect()
+    assert [(r.file, r.year, r.status) for r in none] == [(None, 2019, "missing_year")]
+
+
+def test_headers_are_read_without_a_job(spark, tmp_path):
+    for month in range(1, 13):
+        write(tmp_path / f"AC-2019-{month:02}.csv", "id,v\n1,a\n")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("headers", "")
+    readers.union_csv_files(spark, str(tmp_path), "AC", [2019])
+    jobs = len(tracker.getJobIdsForGroup("headers"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs <= 1  # one per layout, for the names of its columns
