@@ -11,7 +11,8 @@ from panel_engine.catalog.frames import DAYS, FEATURES, PANEL, PERM, SHAP, days,
 from panel_engine.operators import clean, reduce, timeline
 from panel_engine.operators.timeline import MONTH_IDX
 from panel_engine.plans import construction, modelling, preparation, selection
-from panel_engine.sources.scratch import materialize
+from panel_engine.plans.monthly import MonthlyControl
+from panel_engine.sources.scratch import materialize, new_path
 
 # ---- flagship: daily panel to labelled anchors ----------------------------------------------
 
@@ -83,6 +84,17 @@ def control_ids(spark, sf_dir):
     return construction.control_ids(control_records(spark, sf_dir))
 
 
+@query("c1_control_by_period", CONTROL)
+def control_by_period(spark, sf_dir):
+    """The same records from state kept per file: three files, one of them first wrong and then replaced, one withdrawn."""
+    raw = raw_control(spark, sf_dir).where("anno > 1996")
+    state = MonthlyControl(spark, new_path(spark, "state"), year_after=1996)
+    early, late = raw.where("anno <= 1998"), raw.where("anno > 1998")
+    state.update({"early": early.limit(100), "stray": late.limit(100)})
+    state.update({"early": early, "late": late}, withdrawn=["stray"])
+    return state.records()
+
+
 _IDS = "SELECT DISTINCT l_partkey AS id FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber > 2"
 
 

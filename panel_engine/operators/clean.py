@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panel_engine.functions.scalars import safe_double
-from panel_engine.operators.ordered import grouped_quantiles
+from panel_engine.operators.narrowing import total_quantiles
 
 
 def require_columns(df: DataFrame, columns: Sequence[str], what: str = "input") -> None:
@@ -65,19 +65,18 @@ def ordered_projection(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select([F.col(f"`{c}`") for c in dict.fromkeys(columns) if c in df.columns])
 
 
-def iqr_bounds(df: DataFrame, column: str, k: float = 1.5) -> DataFrame:
-    """One row: ``low`` and ``high`` fences. ``df`` is read a few times, one column of it."""
-    q = grouped_quantiles(df, column, [0.25, 0.75], store=False)
-    spread = (F.col("q_1") - F.col("q_0")) * float(k)
-    return q.select((F.col("q_0") - spread).alias("low"), (F.col("q_1") + spread).alias("high"))
+def iqr_fences(df: DataFrame, column: str, k: float = 1.5) -> tuple[float, float] | None:
+    """The two fences as numbers, none without values. ``df`` is read a few times, one column of it."""
+    n, (q1, q3) = total_quantiles(df, safe_double(column), [0.25, 0.75])
+    return (q1 - (q3 - q1) * k, q3 + (q3 - q1) * k) if n else None
 
 
 def iqr_filter(df: DataFrame, column: str, k: float = 1.5) -> DataFrame:
-    """Tukey filter. The two fences come back as numbers, so the filter reaches the scan."""
-    fences = iqr_bounds(df, column, k).first()
+    """Tukey filter. The fences are numbers, so the filter reaches the scan."""
+    fences = iqr_fences(df, column, k)
     if fences is None:
         return df.where(F.lit(False))
-    return df.where(F.col(column).between(fences.low, fences.high))
+    return df.where(F.col(column).between(*fences))
 
 
 def quality_cascade(df: DataFrame, steps: Sequence[tuple[str, bool]], k: float = 1.5) -> DataFrame:

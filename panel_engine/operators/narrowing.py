@@ -12,6 +12,7 @@ Key sets that contain each other are counted and gathered from the finest on: a
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from panel_engine.sources.scratch import materialize
 
 #: Values of one group or interval that one row may hold, and buckets an interval is split into at most.
-LIMIT, BUCKETS = 1024, 1024
+LIMIT, BUCKETS = 1 << 13, 1024
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -140,6 +141,54 @@ def _bucket(v: Column, lo: Column, hi: Column, buckets: Column) -> Column:
     return F.when(v == lo, 0).when(v == hi, buckets - 1).otherwise(inside)
 
 
+def total_quantiles(df: DataFrame, value: Column, probs: Sequence[float], limit: int | None = None) -> tuple[int, list[float | None]]:
+    """The count and the quantiles of one column of a whole table; nulls are left out.
+
+    The same narrowing as for groups. With a single group its intervals are a few numbers, so they, at most ``BUCKETS``
+    counts of each and the last ``limit`` values come to the driver, and the next filter is a literal.
+    """
+    limit = LIMIT if limit is None else limit
+    cells = df.select(value.alias("v")).where("v is not null")
+    n, lo, hi = cells.agg(F.count("v"), F.min("v"), F.max("v")).first()
+    if not n:
+        return 0, [None] * len(probs)
+    wanted = {r for p in probs for r in (math.floor((n - 1) * float(p)), math.ceil((n - 1) * float(p)))}
+    found: dict[int, float] = {}
+    # (least, greatest, values, rank of the least): disjoint, each with a wanted rank
+    spans = [(lo, hi, n, 0)]
+
+    def inside(chosen: Sequence[tuple]) -> Column:
+        return reduce(lambda so_far, k: F.when(F.col("v").between(chosen[k][0], chosen[k][1]), k).otherwise(so_far), range(len(chosen)), F.lit(None).cast("int"))
+
+    while spans:
+        large = [s for s in spans if s[0] < s[1] and s[2] > limit]
+        small = [s for s in spans if s[0] < s[1] and s[2] <= limit]
+        for lo, hi, many, base in spans:
+            if not lo < hi:
+                found |= {r: lo for r in wanted if base <= r < base + many}
+        if small:
+            rows = cells.withColumn("k", inside(small)).where("k is not null").groupBy("k").agg(F.sort_array(F.collect_list("v")).alias("a")).collect()
+            for row in rows:
+                base = small[row.k][3]
+                found |= {r: row.a[r - base] for r in wanted if base <= r < base + small[row.k][2]}
+        spans = []
+        if large:
+            ends = [F.get(F.array(*[F.lit(s[e]) for s in large]), F.col("k")) for e in (0, 1)]
+            counts = cells.withColumn("k", inside(large)).where("k is not null").groupBy(
+                "k", _bucket(F.col("v"), *ends, F.lit(BUCKETS)).alias("b")).agg(F.count("v").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
+            at = [s[3] for s in large]
+            for row in sorted(counts, key=lambda row: (row.k, row.b)):
+                if any(at[row.k] <= r < at[row.k] + row.c for r in wanted):
+                    spans.append((row.lo, row.hi, row.c, at[row.k]))
+                at[row.k] += row.c
+    out = []
+    for p in probs:
+        at = (n - 1) * float(p)
+        low, high, part = found[math.floor(at)], found[math.ceil(at)], at - math.floor(at)
+        out.append(low if low == high else low * (1.0 - part) + high * part)
+    return n, out
+
+
 def _narrow(df: DataFrame, measures, probs, levels: dict[int, list[str]], hot: DataFrame, limit: int) -> DataFrame:
     """``__g``, ``feature``, ``n`` and the quantiles of the large groups."""
     span = ["__g", "feature", "lo", "hi"]
@@ -166,7 +215,7 @@ def _narrow(df: DataFrame, measures, probs, levels: dict[int, list[str]], hot: D
     settled = [wanted.where(~large)]
     left = wanted.where(large)
     while not left.isEmpty():
-        buckets = F.least(F.lit(BUCKETS), F.greatest(F.lit(16), (4 * F.col("inside") / limit).cast("int")))
+        buckets = F.least(F.lit(BUCKETS), F.greatest(F.lit(64), (32 * F.col("inside") / limit).cast("int")))
         spans = left.select(*span, buckets.alias("buckets")).distinct()
         counts = hits(spans).groupBy(*span, _bucket(F.col("v"), F.col("lo"), F.col("hi"), F.col("buckets")).alias("k")).agg(
             F.count(F.lit(1)).alias("c"), F.min("v").alias("least"), F.max("v").alias("most"))

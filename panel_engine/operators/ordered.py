@@ -15,18 +15,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panel_engine.functions.scalars import safe_double
-from panel_engine.operators.narrowing import level_quantiles, null_safe_join
+from panel_engine.operators.narrowing import level_quantiles, null_safe_join, total_quantiles
 from panel_engine.sources.scratch import materialize
 
 
-def grouped_quantiles(df: DataFrame, value: str, probs: Sequence[float], groups: Sequence[str] = (), store: bool = True) -> DataFrame:
+def grouped_quantiles(df: DataFrame, value: str, probs: Sequence[float], groups: Sequence[str] = ()) -> DataFrame:
     """Exact linearly interpolated quantiles: groups, ``n``, ``q_0`` .. ``q_{k-1}``; nulls are left out.
 
-    Found by narrowing, in a few passes over the values: they are stored first, unless ``df`` is cheap to read again.
+    Found by narrowing, in a few passes over the values, which are stored first if there are groups.
     """
     groups = list(groups)
+    if not groups:
+        n, found = total_quantiles(df, safe_double(value), probs)
+        one = df.sparkSession.range(1 if n else 0)
+        return one.select(F.lit(n).cast("long").alias("n"), *[F.lit(q).cast("double").alias(f"q_{i}") for i, q in enumerate(found)])
     cells = df.select(*groups, safe_double(value).alias("__v")).where(F.col("__v").isNotNull())
-    return level_quantiles(materialize(cells, "values") if store else cells, ["__v"], probs, [groups]).drop("level", "feature")
+    return level_quantiles(materialize(cells, "values"), ["__v"], probs, [groups]).drop("level", "feature")
 
 
 def cumulative(hist: DataFrame, value: str, weights: Sequence[str], groups: Sequence[str]) -> DataFrame:

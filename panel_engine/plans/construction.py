@@ -40,6 +40,11 @@ def control_records(
     once = rows.dropDuplicates().withColumn("razza", map_codes("codiceRazzaAIA", config.BREED_BY_CODE))
     breeds = reduce.majority(once, "idAnimale", "razza")
     daily = reduce.first_non_null(rows, DAY_KEYS, measures, source_order(raw, order))
+    return finished_control(daily, breeds, iqr_k)
+
+
+def finished_control(daily: DataFrame, breeds: DataFrame, iqr_k: float) -> DataFrame:
+    """Control records from first values per day and a breed per entity."""
     daily = clean.keep_allowed(daily.join(breeds, "idAnimale"), "razza", config.BREEDS_KEPT)
     daily = daily.withColumn("DataControlloFunzionaleLatte", safe_date("anno", "mese", "giorno"))
     # each fence below is one look at the table: store it instead of repeating the aggregation
@@ -59,7 +64,12 @@ def daily_measure(
     """One positive value per entity-day, filled from the fallback column, outliers out."""
     rows = joins.in_universe(clean.year_after(raw, "anno", year_after), ids, "idAnimale")
     rows = clean.keep_positive(clean.fill_from(rows, measure, config.FALLBACK_MEASURE), measure)
-    daily = materialize(reduce.first_non_null(rows, DAY_KEYS, [measure], source_order(raw, order)), "measure")
+    return finished_measure(reduce.first_non_null(rows, DAY_KEYS, [measure], source_order(raw, order)), measure, name, iqr_k)
+
+
+def finished_measure(daily: DataFrame, measure: str, name: str, iqr_k: float) -> DataFrame:
+    """A daily measure from first values per day."""
+    daily = materialize(daily, "measure")
     return clean.iqr_filter(daily, measure, iqr_k).withColumnsRenamed({**config.CONTROL_NAMES, measure: name})
 
 
@@ -72,6 +82,11 @@ def calving_events(raw: DataFrame, ids: DataFrame, year_after: int | None = 2018
     """At most one calving per entity-month: births summed per day, empty events dropped."""
     days = reduce.collapse_events(
         calving_rows(raw, ids, year_after), ["id", "day", "month", "year"], config.BIRTH_COUNTERS, "same_day_records")
+    return first_calvings(days)
+
+
+def first_calvings(days: DataFrame) -> DataFrame:
+    """Calving events from days with births."""
     first = reduce.earliest_per_period(days, ["id", "year", "month"], ["day"])
     return first.withColumns({"calving_date": safe_date("year", "month", "day"), "calving": F.lit(1)})
 
