@@ -13,7 +13,7 @@ from panel_engine.operators import clean, consensus, impute, quality, reduce, sa
 from panel_engine.operators.impute import HierarchicalImputer, HierarchicalImputerModel
 from panel_engine.operators.ordered import cumulative, dense_rank_desc, grouped_quantiles
 from panel_engine.operators.timeline import MONTH_IDX
-from panel_engine.plans import modelling
+from panel_engine.plans import modelling, preparation
 from panel_engine.sources.scratch import materialize, new_path
 
 # ---- per-key reductions -----------------------------------------------------------------
@@ -352,8 +352,7 @@ def imputed_sql(min_n: int) -> str:
        + ") GROUP BY feature, level")
 def level_usage(spark, sf_dir):
     rows = materialize(features(spark, sf_dir), "features")
-    imputed = HierarchicalImputer(min_group_n=5).fit_transform(rows, metadata=True)
-    return impute.level_usage(imputed, _M)
+    return preparation.impute_counted(rows, min_group_n=5)[2]
 
 
 @query("f2_hierarchical_imputer", imputed_sql(10) + " SELECT id, obs, cf_date, " + ", ".join(f"round(f_{c}, 8) AS {c}" for c in _M) + " FROM filled")

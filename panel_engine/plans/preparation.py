@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from panel_engine import config
 from panel_engine.functions import scalars as S
 from panel_engine.operators import clean, joins, quality, timeline
-from panel_engine.operators.impute import HierarchicalImputer, HierarchicalImputerModel, add_age_class
-from panel_engine.sources.scratch import materialize
+from panel_engine.operators.impute import GLOBAL, LEVEL_PREFIX, HierarchicalImputer, HierarchicalImputerModel, add_age_class
+from panel_engine.sources.scratch import materialize, materialize_counted
 
 DATES = ["birth_date", "cf_date", "calving_date", "t_date"]
 TEMPORAL_ORDER = ["year", "month", "cf_date", "calving_date", "t_date"]
@@ -94,6 +94,23 @@ def impute(
     return (materialize(out, "imputed") if store else out), model
 
 
+def impute_counted(
+    df: DataFrame, model: HierarchicalImputerModel | None = None, **options: object,
+) -> tuple[DataFrame, HierarchicalImputerModel, DataFrame]:
+    """``impute``, and its level usage (feature, level, filled, clipped), counted while the result is stored."""
+    out, model = impute(df, model, metadata=True, store=False, **options)
+    cells = [(c, level) for c in model.measures for level in [*map(" -> ".join, model.levels), GLOBAL]]
+    counters = {}
+    for i, (c, level) in enumerate(cells):
+        here = F.col(f"{LEVEL_PREFIX}{c}") == level
+        counters |= {f"f{i}": F.count_if(here), f"c{i}": F.count_if(here & F.col(f"__clipped_{c}"))}
+    stored, seen = materialize_counted(out, "imputed", counters)
+    usage = df.sparkSession.createDataFrame(
+        [(c, level, seen[f"f{i}"], seen[f"c{i}"]) for i, (c, level) in enumerate(cells) if seen[f"f{i}"]],
+        "feature string, level string, filled long, clipped long")
+    return stored.select(*[c for c in stored.columns if not c.startswith((LEVEL_PREFIX, "__clipped_"))]), model, usage
+
+
 def imputation_report(
     pre: DataFrame, post: DataFrame, columns: Sequence[str] = tuple(config.MEASURES),
     strata: Sequence[str] = tuple(config.REPORT_STRATA), store: bool = True,

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,3 +34,13 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def materialize_counted(df: DataFrame, label: str, counters: Mapping[str, Column]) -> tuple[DataFrame, dict[str, object]]:
+    """``materialize``, and aggregates over the rows counted in the pass that writes them.
+
+    They are observed in the writing stage itself, of which each task counts once, however often it is tried.
+    """
+    seen = Observation()
+    table = materialize(df.observe(seen, *[c.alias(name) for name, c in counters.items()]), label)
+    return table, dict(seen.get)

@@ -76,6 +76,17 @@ def test_support_clip_and_fallback(spark):
     assert usage == {("milk", "id -> p"): (1, 1), ("milk", "GLOBAL"): (1, 1)}
 
 
+def test_usage_is_counted_while_the_result_is_stored(spark):
+    df = frame(spark).withColumnRenamed("id", "cow").withColumn("breed", F.col("b")).withColumn("lactation_phase", F.col("p"))
+    filled, model, usage = preparation.impute_counted(df, min_group_n=3)
+    want = impute.level_usage(model.transform(df, metadata=True), ["milk", "scs"])
+    key = lambda d: sorted(map(tuple, d.select("feature", "level", "filled", "clipped").collect()))
+    assert key(usage) == key(want) and usage.count() > 2
+    assert sorted(filled.columns) == sorted(df.columns) and filled.count() == df.count()
+    nothing, _, none = preparation.impute_counted(df.where("false"), model)
+    assert nothing.count() == none.count() == 0
+
+
 def test_missing_key_columns_shrink_levels():
     imputer = HierarchicalImputer(
         entity_levels=[["id", "p", "age_class"], ["id", "p"]], population_levels=[["breed", "p"], ["p"], ["breed"]])
