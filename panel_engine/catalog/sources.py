@@ -8,6 +8,7 @@ from panel_engine.catalog.base import query
 from panel_engine.catalog.frames import table
 from panel_engine.sources import readers, writers
 from panel_engine.sources.scratch import new_path
+from panel_engine.sources.versioned import VersionedTable
 
 ORDER_TYPES = {"o_orderkey": "bigint", "o_custkey": "bigint", "o_totalprice": "double", "o_orderstatus": "string"}
 
@@ -83,6 +84,17 @@ def parquet_sink(spark, sf_dir):
     return spark.read.parquet(path)
 
 
+@query("s6_versioned_sink", """
+SELECT c_custkey, c_acctbal + CASE WHEN c_mktsegment = 'BUILDING' THEN 1 ELSE 0 END AS c_acctbal, c_mktsegment FROM customer""")
+def versioned_sink(spark, sf_dir):
+    """A table of which one partition is replaced; the other files stay."""
+    sink = VersionedTable(spark, new_path(spark, "versions"), ["c_mktsegment"])
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
+    sink.write(rows)
+    sink.write(rows.where("c_mktsegment = 'BUILDING'").withColumn("c_acctbal", F.col("c_acctbal") + 1), only_partitions=True)
+    return sink.read()
+
+
 @query("s7_csv_sink_per_model", """
 SELECT l_returnflag AS model, l_partkey AS feature, CAST(count(*) AS BIGINT) AS n
 FROM lineitem GROUP BY l_returnflag, l_partkey""")

@@ -8,14 +8,13 @@ leaves the state as it was, and a reader sees the old or the new one, never a mi
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections.abc import Callable, Mapping, Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+
+from panel_engine.sources.versioned import Manifest, current, in_partitions, scan
 
 #: Which file a partial is of.
 FILE = "_file"
@@ -32,60 +31,29 @@ class PeriodState:
 
     def __init__(self, spark: SparkSession, root: str, period: Sequence[str], partial: Reduce, merge: Reduce):
         self.spark, self.root, self.period, self.partial, self.merge = spark, root.rstrip("/"), list(period), partial, merge
-
-    # ---- manifest: one small document, with an entry per file and per period ----
-
-    def _versions(self) -> list[int]:
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/manifest/v*/_SUCCESS")
-        system = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        return sorted(int(s.getPath().getParent().getName()[1:]) for s in system.globStatus(path) or [])
+        self.versions = Manifest(spark, root)
 
     def manifest(self) -> dict:
-        versions = self._versions()
-        if not versions:
-            return {"version": 0, "files": {}, "periods": [], "partial_schema": None, "merged_schema": None}
-        return json.loads(self.spark.read.schema("doc string").json(f"{self.root}/manifest/v{versions[-1]}").first().doc)
-
-    def _commit(self, doc: dict) -> None:
-        one = self.spark.createDataFrame([(json.dumps(doc),)], "doc string").coalesce(1)
-        one.write.json(f"{self.root}/manifest/v{doc['version']}")  # fails if another update has this number
-
-    # ---- reading ----
-
-    def _scan(self, paths: Sequence[str], schema: str) -> DataFrame:
-        """Folders ``set=<number>`` of one parent, as one scan."""
-        known = StructType.fromJson(json.loads(schema))
-        return self.spark.read.option("basePath", paths[0].rpartition("/")[0]).schema(known).parquet(*paths).select(*known.names)
-
-    def _in(self, periods: Sequence[Sequence]) -> Column:
-        def at(period: Sequence) -> Column:
-            return reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.lit(v)) for c, v in zip(self.period, period)])
-
-        return reduce(lambda a, b: a | b, map(at, periods), F.lit(False))
+        """An entry per file and per period."""
+        return self.versions.load() or {"version": 0, "files": {}, "periods": [], "partial_schema": None, "merged_schema": None}
 
     def partials(self) -> DataFrame:
         """The partial rows of all current files, with ``_file``."""
         doc = self.manifest()
         if not doc["files"]:
             raise ValueError(f"no file in {self.root}")
-        return self._scan(sorted(doc["files"].values()), doc["partial_schema"])
+        return scan(self.spark, sorted(doc["files"].values()), doc["partial_schema"])
 
     def merged(self) -> DataFrame:
         """The merged rows of all periods."""
         doc = self.manifest()
         if doc["merged_schema"] is None:
             raise ValueError(f"no file in {self.root}")
-        folders: dict[str, list] = {}
-        for period, folder in doc["periods"]:
-            folders.setdefault(folder, []).append(period)
-        parts = [self._scan([folder], doc["merged_schema"]).where(self._in(periods)) for folder, periods in sorted(folders.items())]
-        return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], StructType.fromJson(json.loads(doc["merged_schema"])))
-
-    # ---- writing ----
+        return current(self.spark, self.period, doc["periods"], doc["merged_schema"])
 
     def _periods_of(self, paths: Sequence[str], schema: str) -> set[tuple]:
         """Periods that partials lie in: as many as there are, which a file has few of."""
-        return {tuple(r) for r in self._scan(paths, schema).select(*self.period).distinct().collect()} if paths else set()
+        return {tuple(r) for r in scan(self.spark, paths, schema).select(*self.period).distinct().collect()} if paths else set()
 
     def update(self, files: Mapping[str, DataFrame] | None = None, withdrawn: Sequence[str] = ()) -> list[tuple]:
         """Add or replace ``files`` (name to rows), withdraw others; the periods that were merged anew.
@@ -98,24 +66,24 @@ class PeriodState:
             raise ValueError(f"not there to withdraw: {unknown}")
         before = [doc["files"][f] for f in [*files, *withdrawn] if f in doc["files"]]
         touched = self._periods_of(before, doc["partial_schema"])
-        current = {f: p for f, p in doc["files"].items() if f not in withdrawn}
+        files_now = {f: p for f, p in doc["files"].items() if f not in withdrawn}
         for name, rows in files.items():
             path = f"{self.root}/partials/set={uuid.uuid4().hex}"
             part = self.partial(rows).withColumn(FILE, F.lit(name))
             part = part.select(*[c for c in part.columns if c not in self.period], *self.period)
             part.write.partitionBy(*self.period).parquet(path)
             doc["partial_schema"] = part.schema.json()
-            current[name] = path
-        touched |= self._periods_of([current[f] for f in files], doc["partial_schema"])
+            files_now[name] = path
+        touched |= self._periods_of([files_now[f] for f in files], doc["partial_schema"])
         periods = [(p, folder) for p, folder in doc["periods"] if tuple(p) not in touched]
         order = sorted(touched, key=lambda p: tuple((v is not None, v) for v in p))
-        if order and current:
+        if order and files_now:
             folder = f"{self.root}/merged/set={uuid.uuid4().hex}"
-            merged = self.merge(self._scan(sorted(current.values()), doc["partial_schema"]).where(self._in(order)))
+            merged = self.merge(scan(self.spark, sorted(files_now.values()), doc["partial_schema"]).where(in_partitions(self.period, order)))
             merged = merged.select(*[c for c in merged.columns if c not in self.period], *self.period)
             merged.write.partitionBy(*self.period).parquet(folder)
             doc["merged_schema"] = merged.schema.json()
             periods += [(list(p), folder) for p in order]
-        doc |= {"version": doc["version"] + 1, "files": current, "periods": periods}
-        self._commit(doc)
+        doc |= {"version": doc["version"] + 1, "files": files_now, "periods": periods}
+        self.versions.commit(doc)
         return order

@@ -96,7 +96,7 @@ def test_a_failed_update_changes_nothing(spark, tmp_path):
     # a second writer with the same number fails as well
     doc = state.manifest()
     with pytest.raises(Exception, match="(?i)exists"):
-        state._commit(doc)
+        state.versions.commit(doc)
     with pytest.raises(ValueError):
         state.update(withdrawn=["z"])
     state.update({"y": df})

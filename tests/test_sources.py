@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from panel_engine.plans import selection
 from panel_engine.sources import readers, writers
 from panel_engine.sources.scratch import materialize, shared_dir
+from panel_engine.sources.versioned import VersionedTable
 
 
 def write(path, text):
@@ -177,3 +178,35 @@ def test_headers_are_read_without_a_job(spark, tmp_path):
     jobs = len(tracker.getJobIdsForGroup("headers"))
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert jobs <= 1  # one per layout, for the names of its columns
+
+
+def test_versioned_table(spark, tmp_path, rows):
+    table = VersionedTable(spark, f"{tmp_path}/t", ["m", "n"])
+    with pytest.raises(ValueError, match="nothing"):
+        table.read()
+    first = spark.createDataFrame([("a", 1, 1), ("a", None, 2), (None, 1, 3), ("b", 1, 4)], "m string, n int, v int")
+    assert table.write(first) == 1
+    assert rows(table.read(), "m", "n", "v") == rows(first)
+    change = spark.createDataFrame([(None, 1, 30), ("c", 2, 5)], "m string, n int, v int")
+    assert table.write(change, only_partitions=True) == 2
+    second = [("a", 1, 1), ("a", None, 2), ("b", 1, 4), (None, 1, 30), ("c", 2, 5)]
+    assert rows(table.read(), "m", "n", "v") == sorted(second, key=repr)
+
+    # a task that fails after others have written
+    def one_fails(v):
+        return F.when(F.col("v") == v, F.raise_error(F.lit("lost")).cast("int")).otherwise(F.col("v"))
+
+    bad = change.unionByName(first).repartition(4).withColumn("v", one_fails(4))
+    for only in (True, False):
+        with pytest.raises(Exception, match="lost"):
+            table.write(bad, only_partitions=only)
+    assert rows(table.read(), "m", "n", "v") == sorted(second, key=repr) and table.manifest.versions() == [1, 2]
+    assert table.write(change, only_partitions=True) == 3  # repeated: the same table
+    assert rows(table.read(), "m", "n", "v") == sorted(second, key=repr)
+    assert rows(table.read(1), "m", "n", "v") == rows(first)
+    with pytest.raises(Exception, match="(?i)exists"):
+        table.manifest.commit({"version": 3})  # another writer was first
+    with pytest.raises(ValueError, match="columns"):
+        table.write(change.withColumn("w", F.lit(1)), only_partitions=True)
+    table.write(first.where("false"))
+    assert table.read().collect() == []
