@@ -9,7 +9,7 @@ import corpus_pipeline as cp
 from panel_engine.llm import bpe
 from tests.llm.cases import LOREM, awkward, empty
 from tests.llm.test_secrets import brute_base
-from tests.llm.test_simhash import brute_components, brute_fingerprint
+from tests.llm.test_resemblance import brute
 
 SF = "/root/testdata/sf0.001"
 
@@ -41,9 +41,27 @@ def test_language_keeps_clean_documents(steps):
 
 
 def test_one_document_of_each_group_stays(steps):
+    """Groups over all pairs whose sets of five-word shingles have a Jaccard similarity of 0.8 or more."""
     before, after = ({r.doc_id: r.text for r in df.collect()} for df in steps[1:3])
-    groups = brute_components(list(before), [brute_fingerprint(t, 5) for t in before.values()], 5)
-    assert set(after) == set(groups.values()) and all(before[k] == v for k, v in after.items())
+    ids = sorted(before)
+    sets = {k: brute(before[k]) for k in ids}
+    first = {k: k for k in ids}
+
+    def find(k):
+        while first[k] != k:
+            k = first[k]
+        return k
+
+    for i, a in enumerate(ids):
+        for b in ids[i + 1:]:
+            both = len(sets[a] & sets[b])
+            if 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = sorted((find(a), find(b)))
+                first[y] = x
+    stay = {find(k) for k in ids}
+    assert stay <= set(after) and all(before[k] == v for k, v in after.items())
+    # recall on single pairs is 0.98 at 0.8 (see test_resemblance), so a copy may stay where one pair holds its group together
+    assert len(set(after) - stay) <= max(1, 0.05 * (len(ids) - len(stay)))
 
 
 def test_secrets_are_gone_and_nothing_else(steps):
