@@ -69,13 +69,16 @@ def corpus(rnd, n):
 def test_equals_brute_force(spark, monkeypatch, cells, held):
     monkeypatch.setattr(divergence, "CELLS", cells)
     monkeypatch.setattr(divergence, "HELD", held)
-    monkeypatch.setattr(divergence, "BUCKET", 1 << 18 if cells > 40 else 60)
+    if cells == 40:  # many blocks, buckets and merges
+        for name, size in (("BUCKET", 60), ("PART", 8), ("MERGED", 2), ("STEP", 3)):
+            monkeypatch.setattr(divergence, name, size)
     rows = corpus(random.Random(cells), 500)
     df = spark.createDataFrame(rows, DOC_SCHEMA).repartition(5)
     assert audited(df, k=9) == brute([(r[2], r[3], r[1]) for r in rows], k=9)
 
 
-def test_skyband_keeps_what_fewer_than_k_dominate():
+def test_skyband_keeps_what_fewer_than_k_dominate(monkeypatch):
+    monkeypatch.setattr(divergence, "STEP", 7)
     rnd = random.Random(2)
     for _ in range(60):
         n, k = rnd.randint(0, 60), rnd.choice([1, 2, 5])
