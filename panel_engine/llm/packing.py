@@ -22,7 +22,7 @@ from panel_engine.llm.text import cut
 from panel_engine.sources.scratch import materialize
 
 #: Pieces in a shard on average; distinct words a worker remembers before it starts anew.
-SHARD_PIECES, REMEMBERED = 1 << 14, 1 << 18
+SHARD_PIECES, REMEMBERED = 1 << 14, 1 << 20
 #: A sequence's number: round, shard and bin in so many bits. Round 0 is the pieces that fill a sequence alone.
 SHARD_BITS, BIN_BITS = 32, 24
 
@@ -31,23 +31,43 @@ class WordEncoder:
     """Ids of whole texts, word by word, each distinct word encoded once.
 
     Blanks separate words for this tokenizer and are dropped, so a text's ids are those of its words in
-    turn. The strings of special tokens are ordinary text.
+    turn. New words are encoded together, a mark between each two, and told apart by the mark's id, which words
+    without the mark cannot have. The strings of special tokens are ordinary text.
     """
 
+    MARK = "|"
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share the cores
         self.path, self.tokenizer = path, Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[bytes, bytes] = {}
+        self.mark = self._ids([self.MARK])[0]
+
+    def _ids(self, words: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _learn(self, words: list[bytes]) -> None:
+        mark = self.MARK.encode()
+        plain = [w for w in words if mark not in w]
+        marked = [w for w in words if mark in w]
+        for i in range(0, len(plain), 2048):
+            part = plain[i:i + 2048]
+            ids = self._ids([f" {self.MARK} ".join(w.decode() for w in part)])[0]
+            data = ids.tobytes()
+            cuts = [-1, *np.flatnonzero(ids == self.mark).tolist(), len(ids)] if len(self.mark) == 1 else []
+            if len(cuts) != len(part) + 1:  # this vocabulary has no such mark
+                marked += part
+                continue
+            self.known.update(zip(part, [data[4 * a + 4:4 * b] for a, b in zip(cuts, cuts[1:])]))
+        self.known.update(zip(marked, [ids.tobytes() for ids in self._ids([w.decode() for w in marked])]))
 
     def packed(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
         split = [t.split() for t in texts]  # bytes split at space and \\x09 to \\x0D only
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        new = list(set().union(*split).difference(self.known))
-        for word, coded in zip(new, self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)):
-            self.known[word] = np.array(coded.ids, "<u4").tobytes()
+        self._learn(list(set().union(*split).difference(self.known)))
         return [b"".join(map(self.known.__getitem__, words)) for words in split]
 
 

@@ -109,10 +109,13 @@ def test_awkward_rows(spark):
 
 
 def test_words_apart_are_the_text_whole(spark):
-    texts = ["It's the DOG's day\x0b\x1c\x85x", "á e ́  wide", "<|endoftext|> is text", "1234 ½ ǅ ΑΣ Σ ß İ", "x" * 700, "\u0000 ​'ll 'S"]
+    texts = ["It's the DOG's day\x0b\x1c\x85x", "á e ́  wide", "<|endoftext|> is text", "1234 ½ ǅ ΑΣ Σ ß İ", "x" * 700, "\u0000 ​'ll 'S", "| a|b || c|", ""]
     coded = packing.WordEncoder(PATH).packed([t.encode() for t in texts])
     for text, got in zip(texts, coded):
         assert np.frombuffer(got, "<u4").tolist() == brute_ids(text)[:-1]
+    alone = packing.WordEncoder(PATH)
+    alone.mark = np.array([1, 2], "<u4")  # as if the mark were no token of its own
+    assert alone.packed([t.encode() for t in texts]) == coded
 
 
 def test_query(spark):
