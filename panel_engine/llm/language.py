@@ -221,11 +221,12 @@ def fit(
     return model
 
 
-def label(docs: DataFrame, model: Model, key: Sequence[str] = ("doc_id",), text: str = "text") -> DataFrame:
+def label(docs: DataFrame, model: Model, key: Sequence[str] = ("doc_id",), text: str = "text", rows: int = 1024) -> DataFrame:
     """``key`` columns, ``lang_pred``, ``score`` (share of expected words in that language), ``n_letter_words``, ``switches``.
 
     ``und`` with score 0 where the text is null, has no letter, or nothing was learned. Ties go to the
     language first in code-point order. ``switches``: neighbours whose likeliest languages differ.
+    ``rows`` texts are taken at once: fewer need less memory and more steps.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -233,8 +234,8 @@ def label(docs: DataFrame, model: Model, key: Sequence[str] = ("doc_id",), text:
         own = shared.value
         vocabulary = Vocabulary(own.weights)
         for batch in batches:
-            for i in range(0, batch.num_rows, 1024):
-                part = batch.slice(i, 1024)
+            for i in range(0, batch.num_rows, rows):
+                part = batch.slice(i, rows)
                 pred, score, count, switches = judged(part.column(part.num_columns - 1).to_pylist(), own, vocabulary)
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns[:-1], pa.array(pred, pa.string()), pa.array(score), pa.array(count), pa.array(switches)],

@@ -32,7 +32,7 @@ PRINTS, FAR = 6, 17
 LEAST = (4, 5)
 BOUNDS = [0, 21, 42, 64]
 #: Documents that are indexed at once; members of a key that are compared with each other at once, candidates of one above which a leader is asked first.
-BUNDLE, PAIRWISE, PER_MEMBER = 1 << 12, 256, 8
+BUNDLE, PAIRWISE, PER_MEMBER = 1 << 10, 256, 8
 SALTS = mixed(np.arange(1, PRINTS + 1).astype(U) * U(0xD6E8FEB86659FD93))
 BIT_SALTS = mixed(np.arange(1, 64 * PRINTS + 1).astype(U) * U(0x9FB21C651E98DF25)).reshape(PRINTS, 64)
 
@@ -226,10 +226,12 @@ def groups(docs: DataFrame, key: str = "row", text: str = "text", shingle: int =
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t.encode(), shingle) for t in batch.column(1).to_pylist()]
-            sig = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], U)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sig.view(np.int64)), pa.array([prints(s).tobytes() for s in sets], pa.binary())], names=[key, "sig", "prints"])
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                sets = [shingles(t.encode(), shingle) for t in part.column(1).to_pylist()]
+                sig = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], U)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(sig.view(np.int64)), pa.array([prints(s).tobytes() for s in sets], pa.binary())], names=[key, "sig", "prints"])
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3)
