@@ -24,7 +24,7 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the model names for at least ``LEAST_SHARE`` of their words; a null
     lang is filled in. Texts without a letter are rejected."""
     model = language.fit(docs)
-    named = language.label(docs.withColumn("body", F.col("text")), model, ("doc_id", "body", "lang", "source", "n_chars"), "text")
+    named = language.label(docs.withColumn("body", F.col("text")), model, ("doc_id", "body", "lang", "source", "n_chars"), "text", rows=256)
     kept = named.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE))
     return kept.select("doc_id", F.col("body").alias("text"), F.coalesce("lang", "lang_pred").alias("lang"), "source", "n_chars")
 
