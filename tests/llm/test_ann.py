@@ -36,6 +36,47 @@ def test_recall_on_clusters_and_noise(spark):
     assert all(v == sorted(v) for v in by.values())
 
 
+def test_ties_between_different_vectors_go_to_the_smaller_key(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    points = rng.integers(-2, 3, size=(1200, 6)).astype(float)
+    points[(points == 0).all(axis=1), 0] = 1.0
+    keys = rng.permutation(1200).tolist()
+    rows = [(i, v.tolist()) for i, v in zip(keys, points)]
+    want = brute(rows, lambda k: k % 20 == 0)
+    df = spark.createDataFrame(rows, SCHEMA)
+    # one leaf reaches every vector, so the result is exact; also where a bucket is cut into many cells
+    assert sorted(tuple(r) for r in ann.nearest(df, lambda k: k % 20 == 0, leaf=5000).collect()) == want
+    monkeypatch.setattr(ann, "GROUP_ROWS", 100)
+    monkeypatch.setattr(ann, "CELL_QUERIES", 7)
+    monkeypatch.setattr(ann, "PRODUCTS", 500)
+    assert sorted(tuple(r) for r in ann.nearest(df, lambda k: k % 20 == 0, leaf=5000).collect()) == want
+    got = ann.nearest(df, lambda k: k % 20 == 0).collect()
+    scores = {(q, r): s for q, r, _, s in want}
+    assert len(got) == len(want) and np.mean([r.score == scores[r.query_id, r["rank"]] for r in got]) >= 0.9
+
+
+def test_tight_clusters_give_every_query_its_rows(spark):
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(60, 16))
+    points = np.repeat(centres, 25, axis=0) + 1e-3 * rng.normal(size=(1500, 16))
+    rows = [(i, v.tolist()) for i, v in enumerate(points)]
+    schema = "vec_id long, embedding array<double>"
+    got = ann.nearest(spark.createDataFrame(rows, schema), lambda k: k % 20 == 0).collect()
+    want = {(q, i) for q, _, i, _ in brute(rows, lambda k: k % 20 == 0)}
+    assert len(got) == 75 * 20
+    assert sum((r.query_id, r.vec_id) in want for r in got) >= 0.9 * len(want)
+
+
+def test_a_walk_reaches_enough_different_vectors():
+    rng = np.random.default_rng(2)
+    points = rng.normal(size=(400, 8))
+    forest = ann.grow(points, trees=4, leaf=5)
+    leaves = forest.leaves(points)
+    for v in points[:50]:
+        reached = forest.walk(v, 1, 21)
+        assert np.isin(leaves, reached).any(axis=1).sum() >= 21
+
+
 def test_awkward_rows(spark):
     rows = [(i, [1.0, 2.0]) for i in range(0, 120)] + [(200, [3.0, 4.0]), (220, None), (240, [0.0, 0.0]), (260, [float("nan"), 1.0]),
             (280, [None, 1.0]), (300, [float("inf"), 1.0]), (320, []), (None, [1.0, 1.0]), (340, [1.0, 2.0, 3.0]), (0, [1.0, 2.0])]
