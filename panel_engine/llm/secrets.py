@@ -33,7 +33,7 @@ ENCODINGS = {
     "base64": (r"[0-9A-Za-z+/]+=*", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
     "base64url": (r"[0-9A-Za-z_-]+=*", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
 }
-TOKEN = r"[0-9A-Za-z+/_-]{20,}={0,2}"
+TOKEN = r"[0-9A-Za-z+/_-]{12,}={0,2}"
 #: p-values are counted on a grid of this many cells, lengths in classes that double.
 CELLS = 200
 #: Above this p-value all tokens count as random when their share is estimated.

@@ -79,6 +79,20 @@ def test_random_tokens_are_reported_and_structured_ones_are_not(spark):
     assert hit >= 240 and wrong <= 30
 
 
+def test_short_tokens_are_tested_by_length_class(spark):
+    """Lengths from 12 on are tested; what is reported of each class follows from the other tokens of its class."""
+    rnd = random.Random(12)
+    lengths = (12, 16, 19, 24, 32, 40)
+    real = [(1000 * n + i, f"{LOREM} key {token(rnd, 'base62', n)} end") for n in lengths for i in range(200)]
+    plain = [(100000 + i, f"{LOREM} see page{1 + i}of{900 + i % 90}aaaa end") for i in range(200)]
+    got = secrets.scan(spark.createDataFrame(real + plain, "doc_id long, text string")).select("doc_id", F.size("spans").alias("n")).collect()
+    for n in lengths:
+        assert sum(r.n for r in got if r.doc_id // 1000 == n) >= (120 if n < 16 else 180), n
+    assert sum(r.n for r in got if r.doc_id >= 100000) <= 20
+    below = spark.createDataFrame([(i, f"key {token(rnd, 'base62', 11)} end") for i in range(50)], "doc_id long, text string")
+    assert sum(r[0] for r in secrets.scan(below).select(F.size("spans")).collect()) == 0
+
+
 def test_awkward_rows(spark, tmp_path):
     docs = awkward(spark).selectExpr("*", "1 as base", "2 as spans", "3 as `row`", "4 as code")
     rows = secrets.scan(docs).select("doc_id", secrets.written(F.col("base")).alias("b"), secrets.written(F.col("spans")).alias("s")).collect()
