@@ -4,7 +4,8 @@ A text longer than ``chunk`` is cut into chunks that reach ``overlap`` code poin
 All chunks are pre-tokenised in parallel. Where two neighbours name a common boundary inside the
 overlap they have resynchronised: a match depends on what follows its start only, so from there on both
 cut alike, and the text is stitched at the first such boundary. Neighbours that never agree
-there (one run of blanks or letters fills the overlap) are joined into one longer piece first.
+there (one run of blanks or letters fills the overlap) are joined into one longer chunk and pre-tokenised anew, alone,
+until every chunk of a text meets the one after it.
 Pieces are then encoded in parallel. Texts of one chunk are never shuffled.
 """
 
@@ -109,38 +110,44 @@ def pieces(
     """
     n = F.ceil((F.length(text)) / chunk).cast("int")
     chunks = docs.select(key, text, F.explode(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1)).alias("part")).select(
-        key, "part", F.col(text).substr(F.col("part") * chunk + 1, F.lit(chunk + overlap)).alias("piece"))
+        key, "part", F.lit(1).alias("span"), F.col(text).substr(F.col("part") * chunk + 1, F.lit(chunk + overlap)).alias("piece"))
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = regex.compile(pattern).finditer
         for batch in batches:
             heads, tails = [], []
-            for t in batch.column(2).to_pylist():
+            for span, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 starts = [m.start() for m in find(t)]
                 heads.append([s for s in starts if s < overlap])
                 # the chunk's end may have cut its last matches short
-                tails.append([s - chunk for s in starts[:-2] if s >= chunk])
+                tails.append([s - span * chunk for s in starts[:-2] if s >= span * chunk])
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(heads, pa.list_(pa.int32())), pa.array(tails, pa.list_(pa.int32()))],
                 names=[*batch.schema.names, "head", "tail"])
 
     kind = docs.select(key).schema[0].dataType.simpleString()
-    marked = chunks.mapInArrow(ends, f"`{key}` {kind}, part int, piece string, head array<int>, tail array<int>")
+    fields = f"`{key}` {kind}, part int, span int, piece string, head array<int>, tail array<int>"
     in_order = Window.partitionBy(key).orderBy("part")
-    common = F.array_min(F.array_intersect(F.lag("tail").over(in_order), "head"))
-    meets = F.when(F.col("part") == 0, F.lit(0)).otherwise(common)
-    # where a chunk takes over, counted from its start. Null: it stays with the one before, and so do
-    # those after it, as cuts are only known to be right along an unbroken chain
-    joined = (
-        cut(marked).withColumn("meets", meets)
-        .withColumn("take", F.when(F.min(F.col("meets").isNotNull()).over(in_order), F.col("meets")))
-        .withColumn("group", F.count("take").over(in_order))
-        .withColumn("until", F.lead("take").over(in_order)))
-    mine = F.col("piece").substr(
-        F.coalesce("take", F.lit(0)) + 1,
-        F.lit(chunk) + F.coalesce("until", F.lit(0)) - F.coalesce("take", F.lit(0)))
-    return joined.groupBy(key, "group").agg(F.sort_array(F.collect_list(F.struct("part", mine.alias("piece")))).alias("p")).select(
-        key, F.col("group").cast("int").alias("part"), F.array_join("p.piece", "").alias("piece"))
+    # where a chunk takes over from the one before, counted from its start. A text's first chunk is cut right; so is each that
+    # meets a chunk which is, from there on
+    meets = F.when(F.col("part") == 0, F.lit(0)).otherwise(F.array_min(F.array_intersect(F.lag("tail").over(in_order), "head")))
+    marked = cut(chunks.mapInArrow(ends, fields))
+    while True:
+        places = cut(marked.select(key, "part", meets.alias("meets"))).withColumn("group", F.count("meets").over(in_order))
+        lost = places.where(F.col("meets").isNull()).select(key, "group").distinct()
+        if lost.isEmpty():
+            break
+        together = marked.join(places.join(lost, [key, "group"]).select(key, "part", "group"), [key, "part"])
+        last = Window.partitionBy(key, "group")
+        own = F.when(F.col("part") == F.max("part").over(last), F.col("piece")).otherwise(F.col("piece").substr(F.lit(1), F.col("span") * chunk))
+        longer = together.withColumn("piece", own).groupBy(key, "group").agg(
+            F.min("part").alias("part"), F.sum("span").cast("int").alias("span"), F.sort_array(F.collect_list(F.struct("part", "piece"))).alias("p"),
+        ).select(key, "part", "span", F.array_join("p.piece", "").alias("piece"))
+        untouched = marked.join(together.select(key, "part"), [key, "part"], "left_anti")
+        marked = cut(untouched.select(*marked.columns).unionByName(longer.mapInArrow(ends, fields)))
+    stitched = marked.withColumn("take", meets).withColumn("until", F.lead("take").over(in_order))
+    return stitched.select(key, "part", F.col("piece").substr(
+        F.col("take") + 1, F.col("span") * chunk + F.coalesce("until", F.lit(0)) - F.col("take")).alias("piece"))
 
 
 def encode(

@@ -49,6 +49,20 @@ def test_chunked_texts(spark, ranks, library, chunk, overlap):
     assert parts > 5  # ordinary texts are cut
 
 
+def test_a_long_run_joins_only_the_chunks_it_covers(spark, ranks, library):
+    body = LOREM * 40
+    texts = [body[:990] + " " * 150 + body[:3000], body[:1950] + "z" * 2300 + body, "".join(body[:880] + " " * 160 for _ in range(6)), body]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = bpe.pieces(docs, PATTERN, chunk=1000, overlap=100).collect()
+    for i, t in enumerate(texts):
+        mine = sorted((r.part, r.piece) for r in rows if r.doc_id == i)
+        assert "".join(p for _, p in mine) == t
+        assert [x for _, p in mine for x in library.encode_ordinary(p)] == library.encode_ordinary(t)
+    sizes = [max(len(r.piece) for r in rows if r.doc_id == i) for i in range(len(texts))]
+    assert sizes[0] <= 2200 and sizes[1] <= 4200 and sizes[3] <= 1100
+    assert sum(r.doc_id == 0 for r in rows) == 4
+
+
 def test_awkward_rows(spark, ranks, library):
     docs = awkward(spark).selectExpr("*", "array(1) as ids", "'x' as data", "'y' as __k")
     coded = bpe.decode(bpe.encode(docs, ranks, PATTERN, chunk=1000, overlap=100), ranks)
