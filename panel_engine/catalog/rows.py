@@ -8,7 +8,7 @@ from panel_engine import config
 from panel_engine.catalog.base import query
 from panel_engine.catalog.frames import DAYS, FEATURES, PANEL, days, features, panel, table
 from panel_engine.functions import scalars as S
-from panel_engine.operators import clean, consensus, joins, quality, sampling, timeline
+from panel_engine.operators import clean, consensus, joins, quality, sampling, skew, timeline
 from panel_engine.operators.impute import HierarchicalImputer
 from panel_engine.operators.ordered import dense_rank_desc
 from panel_engine.operators.timeline import MONTH_IDX
@@ -343,6 +343,17 @@ def null_safe_join(spark, sf_dir):
     return joins.merge(rows, rows.groupBy("breed").agg(F.count(F.lit(1)).alias("n")), ["breed"], "left", null_safe=True)
 
 
+@query("j2_hot_key_join", """
+WITH l AS (SELECT CASE WHEN l_orderkey % 3 = 0 THEN NULL WHEN l_orderkey % 3 = 1 THEN 1 ELSE l_suppkey END AS k, l_orderkey, l_linenumber, l_quantity FROM lineitem)
+SELECT l.k, l.l_orderkey, l.l_linenumber, l.l_quantity, s.s_nationkey FROM l LEFT JOIN supplier s ON l.k = s.s_suppkey""")
+def hot_key_join(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select(
+        F.when(F.col("l_orderkey") % 3 == 0, F.lit(None)).when(F.col("l_orderkey") % 3 == 1, F.lit(1)).otherwise(F.col("l_suppkey")).alias("k"),
+        "l_orderkey", "l_linenumber", "l_quantity")
+    su = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), "s_nationkey")
+    return skew.salted_merge(li, su, ["k"], "left", store=False)
+
+
 # ---- sorts and set operations -------------------------------------------------------------
 
 

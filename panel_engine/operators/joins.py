@@ -69,7 +69,7 @@ def common_number(a: T.DataType, b: T.DataType) -> T.DataType:
     return _INTEGERS[max(i for t in sides for i, kind in enumerate(_INTEGERS) if isinstance(t, kind))]()
 
 
-def _split_clashes(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+def split_clashes(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     clash = [c for c in left.columns if c in right.columns and c not in keys]
     taken = {f"{c}{s}" for c in clash for s in ("_x", "_y")} & {*left.columns, *right.columns}
     if taken:
@@ -90,7 +90,7 @@ def merge(
         raise ValueError(f"join type must be one of {sorted(JOIN_TYPES)}, not {how!r}")
     keys = list(keys)
     left, right = harmonize_keys(left, right, keys)
-    left, right = _split_clashes(left, right, keys)
+    left, right = split_clashes(left, right, keys)
 
     def join(a: DataFrame, b: DataFrame, kind: str) -> DataFrame:
         return null_safe_join(a, b, keys, kind) if null_safe else a.join(b, keys, kind)
