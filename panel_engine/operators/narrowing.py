@@ -7,7 +7,8 @@ small group is its own first interval, so it is gathered at once; a narrow set o
 meet. Every round reads the rows once and shuffles counts only, as counts combine before the shuffle; each splits off
 at least one value of an interval, and evenly spread values shrink it a thousandfold.
 
-Key sets that contain each other are counted and gathered from the finest on: a coarser one from the finer's results.
+Key sets that contain each other are walked from the coarsest on: a group of few rows is gathered once, with all finer
+groups in it; only rows of larger groups are looked at by the next finer set.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from panel_engine.sources.scratch import materialize
 
 #: Values of one group or interval that one row may hold, and buckets an interval is split into at most.
 LIMIT, BUCKETS = 1 << 13, 1024
+#: Rows of a group that are gathered with all finer groups in it.
+PACK = 1 << 10
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -60,73 +63,110 @@ def level_quantiles(
     ``measures`` are doubles without NaN, nulls are left out; quantiles interpolate linearly. Null keys form groups, or
     their rows take no part. ``df`` is read several times: pass a stored table or a cheap scan.
     """
+    return long_form(level_groups(df, measures, probs, levels, limit, null_keys), levels)
+
+
+def long_form(tables: dict[int, DataFrame], levels: Sequence[Sequence[str]]) -> DataFrame:
+    """The rows of ``level_quantiles`` from the tables of ``level_groups``."""
+    every = list(dict.fromkeys(k for level in levels for k in level))
+    found = reduce(DataFrame.unionByName, [t.select(F.explode("found").alias("f")) for t in tables.values()])
+    return found.select("f.level", *[F.col("f")[k].alias(k) for k in every], F.posexplode("f.cells").alias("feature", "c")).where(
+        "c is not null").select("level", *every, "feature", "c.*")
+
+
+def level_groups(
+    df: DataFrame, measures: Sequence[str], probs: Sequence[float], levels: Sequence[Sequence[str]], limit: int | None = None,
+    null_keys: bool = True, least: int = 1,
+) -> dict[int, DataFrame]:
+    """Index of a key set -> stored table of its keys and ``found``, an array of (``level``, keys of all sets, ``cells``),
+    with (``n``, ``q_0`` ..) or null for each measure in ``cells``. Each group of every set is in ``found`` of one row.
+
+    A chain of key sets is walked from the coarsest on. Rows of a group with up to ``PACK`` rows are shuffled once, by
+    its keys; the quantiles of the finer groups in it are taken there and stored in its row. Larger groups are
+    narrowed down, and only their rows go on to the next finer set. Cells of fewer than ``least`` values are left out
+    unless the set has no keys.
+    """
     limit = LIMIT if limit is None else limit
+    pack = min(limit, PACK)
     every = list(dict.fromkeys(k for level in levels for k in level))
     kinds = {f.name: f.dataType for f in df.select(*every).schema}
 
-    def with_level(frame: DataFrame, i: int) -> list[Column]:
+    def with_level(i: int) -> list[Column]:
         return [F.lit(i).alias("level"), *[F.col(k) if k in levels[i] else F.lit(None).cast(kinds[k]).alias(k) for k in every]]
 
-    dealt, sizes = chains(levels), {}
-    for chain in dealt:
-        for up, i in zip([None, *chain], chain):
-            sizes[i] = _sizes(df, sizes.get(up), measures, levels[i])
-            if up is None and len(chain) > 1:
-                sizes[i] = materialize(sizes[i], "sizes")
-    numbers = [f"__{x}_{j}" for j in range(len(measures)) for x in ("n", "lo", "hi")]
-    large = reduce(lambda a, b: a | b, [F.col(f"__n_{j}") > limit for j in range(len(measures))])
-    groups = reduce(DataFrame.unionByName, [df_.select(*with_level(df_, i), *numbers, large.alias("large")) for i, df_ in sizes.items()])
-    groups = materialize(groups.withColumn("__g", F.monotonically_increasing_id()), "groups")
-    held = {r.level: r for r in groups.groupBy("level").agg(F.count_if("large").alias("large"), F.count_if(~F.col("large")).alias("small")).collect()}
-    whole = [F.lit(True) if null_keys else _known(keys) for keys in levels]
-
-    out = []
-    for chain in dealt:
-        arrays = None
-        for i in chain:
-            if i not in held or not held[i].small:
-                break  # then a coarser key set has no small group either
-            keys, source = list(levels[i]), df if arrays is None else arrays
-            if held[i].large:
-                source = null_safe_join(source, groups.where((F.col("level") == i) & F.col("large")).select(*keys), keys, "left_anti")
-            arrays = source.groupBy(*keys).agg(*[
-                F.sort_array(F.collect_list(m) if arrays is None else F.flatten(F.collect_list(m))).alias(m) for m in measures])
-            small = arrays.where(whole[i]).select(*with_level(arrays, i), F.posexplode(F.array(*measures)).alias("feature", "__a"))
-            small = small.withColumn("n", F.size("__a").cast("long")).where("n > 0")
-            out.append(small.select("level", *every, "feature", "n", *_at(probs, lambda rank: F.get("__a", rank.cast("int")))))
-    for i, h in held.items():
-        if h.large:
-            groups = groups.where((F.col("level") != i) | whole[i])
-    levels_met = [i for i, h in held.items() if h.large]
-    if levels_met:
-        hot = groups.where("large")
-        found = _narrow(df, measures, probs, {i: list(levels[i]) for i in levels_met}, hot, limit)
-        out.append(hot.select("__g", "level", *every).join(found, "__g").drop("__g").select("level", *every, "feature", "n", *[f"q_{j}" for j in range(len(probs))]))
-    if not out:
-        return groups.select("level", *every, F.lit(0).alias("feature"), F.lit(0).cast("long").alias("n"), *[F.lit(0.0).alias(f"q_{j}") for j in range(len(probs))]).limit(0)
-    return reduce(DataFrame.unionByName, out)
+    def entry(i: int, cells: Sequence[Column]) -> Column:
+        known = reduce(lambda a, b: a | b, [c.isNotNull() for c in cells]) & (F.lit(True) if null_keys else _known(levels[i]))
+        return F.array_compact(F.array(F.when(known, F.struct(*with_level(i), F.array(*cells).alias("cells")))))
+
+    def cell(i: int, n: Column, quantiles: Sequence[Column]) -> Column:
+        return F.when(n >= (least if levels[i] else 1), F.struct(n.alias("n"), *quantiles))
+
+    def packed(rows: DataFrame, chain: Sequence[int]) -> DataFrame:
+        base = list(levels[chain[-1]])
+        out = rows.repartition(*base) if base else rows
+        for step, i in enumerate(chain):
+            below = [F.flatten(F.collect_list("found")).alias("found")] if step else []
+            out = out.groupBy(*levels[i]).agg(*below, *[
+                F.sort_array(F.flatten(F.collect_list(m)) if step else F.collect_list(m)).alias(m) for m in measures])
+            cells = []
+            for m in measures:
+                n = F.size(m).cast("long")
+                cells.append(cell(i, n, _at(probs, lambda rank, m=m: F.get(m, rank.cast("int")), n)))
+            found = entry(i, cells)
+            out = out.select(*levels[i], *measures, (F.concat("found", found) if step else found).alias("found"))
+        return out.select(*base, "found").where(F.size("found") > 0)
+
+    tables: dict[int, list[DataFrame]] = {}
+    sizes = []
+    for chain in chains(levels):
+        source = df if null_keys else df.where(_known(levels[chain[-1]]))
+        rows = source
+        for at in reversed(range(len(chain))):
+            i, keys = chain[at], list(levels[chain[at]])
+            if not null_keys:
+                rows = rows.where(_known(keys))
+            counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+            crowded = materialize(counts.where(F.col("__n") > pack), "crowded")
+            if crowded.isEmpty():
+                tables[i] = [packed(rows, chain[:at + 1])]
+                break
+            if keys:
+                tables[i] = [packed(null_safe_join(rows, crowded.drop("__n"), keys, "left_anti"), chain[:at + 1])]
+                rows = null_safe_join(source, crowded.drop("__n"), keys, "left_semi")
+            sizes.append(_sizes(rows, measures, keys).select(*with_level(i), *_numbers(measures)))
+    if sizes:
+        hot = materialize(reduce(DataFrame.unionByName, sizes).withColumn("__g", F.monotonically_increasing_id()), "groups")
+        met = {r.level: list(levels[r.level]) for r in hot.select("level").distinct().collect()}
+        quantiles = [f"q_{j}" for j in range(len(probs))]
+        wide = _narrow(df, measures, probs, met, hot, limit).groupBy("__g").agg(*[
+            F.max(F.when(F.col("feature") == j, F.struct("n", *quantiles))).alias(f"__c_{j}") for j in range(len(measures))])
+        wide = materialize(hot.select("__g", "level", *every).join(wide, "__g"), "narrowed")
+        for i, keys in met.items():
+            cells = [cell(i, F.col(f"__c_{j}.n"), [F.col(f"__c_{j}")[q].alias(q) for q in quantiles]) for j in range(len(measures))]
+            own = wide.where(F.col("level") == i).select(*keys, entry(i, cells).alias("found")).where(F.size("found") > 0)
+            tables.setdefault(i, []).append(own)
+    return {i: materialize(reduce(DataFrame.unionByName, parts), "quantiles") for i, parts in tables.items()}
 
 
 def _known(keys: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys], F.lit(True))
 
 
-def _sizes(df: DataFrame, finer: DataFrame | None, measures: Sequence[str], keys: Sequence[str]) -> DataFrame:
+def _numbers(measures: Sequence[str]) -> list[str]:
+    return [f"__{x}_{j}" for j in range(len(measures)) for x in ("n", "lo", "hi")]
+
+
+def _sizes(df: DataFrame, measures: Sequence[str], keys: Sequence[str]) -> DataFrame:
     """Keys, and for measure j its count ``__n_j``, least ``__lo_j`` and greatest value ``__hi_j``."""
-    source = df if finer is None else finer
-    parts = []
-    for j, m in enumerate(measures):
-        parts += [
-            (F.count(m) if finer is None else F.sum(f"__n_{j}")).alias(f"__n_{j}"),
-            F.min(m if finer is None else f"__lo_{j}").alias(f"__lo_{j}"), F.max(m if finer is None else f"__hi_{j}").alias(f"__hi_{j}")]
-    return source.groupBy(*keys).agg(*parts)
+    found = [f(m) for m in measures for f in (F.count, F.min, F.max)]
+    return df.groupBy(*keys).agg(*[c.alias(name) for c, name in zip(found, _numbers(measures))])
 
 
-def _at(probs: Sequence[float], value) -> list[Column]:
+def _at(probs: Sequence[float], value, n: Column) -> list[Column]:
     """The quantiles of ``n`` ordered values, ``value(rank)`` giving the value of a rank from 0."""
     out = []
     for j, p in enumerate(probs):
-        at = (F.col("n") - 1).cast("double") * F.lit(float(p))
+        at = (n - 1).cast("double") * F.lit(float(p))
         out.append(interpolate(value(F.floor(at)), value(F.ceil(at)), at).alias(f"q_{j}"))
     return out
 
@@ -196,8 +236,9 @@ def _narrow(df: DataFrame, measures, probs, levels: dict[int, list[str]], hot: D
     def hits(spans: DataFrame) -> DataFrame:
         """The values that lie in an interval of their group: ``spans`` and ``v``."""
         parts = []
+        met = materialize(hot.drop(*_numbers(measures)).join(spans, "__g"), "intervals")  # stored, so that its size is known
         for i, keys in levels.items():
-            here = hot.where(F.col("level") == i).select("__g", *keys).join(spans, "__g")
+            here = met.where(F.col("level") == i).select(*spans.columns, *keys)
             # without keys there is one group and so a few intervals: two for each wanted quantile at most, and measure
             rows = null_safe_join(df, here, keys) if keys else df.crossJoin(F.broadcast(here))
             value = F.get(F.array(*measures), F.col("feature"))
@@ -234,4 +275,4 @@ def _narrow(df: DataFrame, measures, probs, levels: dict[int, list[str]], hot: D
     known = known.unionByName(open_.join(gathered, span).select(
         "__g", "feature", "n", "rank", F.get("a", (F.col("rank") - F.col("base")).cast("int")).alias("v")))
     by_rank = known.groupBy("__g", "feature", "n").agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("m"))
-    return by_rank.select("__g", "feature", "n", *_at(probs, lambda rank: F.col("m")[rank]))
+    return by_rank.select("__g", "feature", "n", *_at(probs, lambda rank: F.col("m")[rank], F.col("n")))

@@ -45,16 +45,14 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]
     return df.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
 
 
-def collapse_events(df: DataFrame, keys: Sequence[str], counters: Sequence[str], rows_as: str) -> DataFrame:
-    """Sum counters (null counts as 0) and rows per key; keys with nothing counted drop out."""
+def collapse_events(df: DataFrame, keys: Sequence[str], counters: Sequence[str], rows_as: str, total: str | None = None) -> DataFrame:
+    """Sum counters (null counts as 0) and rows per key; keys with nothing counted drop out, or all stay with their ``total``."""
     present = [c for c in counters if c in df.columns]
-    total = F.lit(0.0)
+    counted = F.lit(0.0)
     for c in present:
-        total = total + F.coalesce(F.sum(c).cast("double"), F.lit(0.0))
-    return (
-        df.groupBy(*keys).agg(F.count(F.lit(1)).alias(rows_as), total.alias("__total"))
-        .where("__total > 0").drop("__total")
-    )
+        counted = counted + F.coalesce(F.sum(c).cast("double"), F.lit(0.0))
+    out = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(rows_as), counted.alias(total or "__total"))
+    return out if total else out.where("__total > 0").drop("__total")
 
 
 def earliest_per_period(df: DataFrame, period: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
@@ -69,7 +67,11 @@ def with_event_date(df: DataFrame, name: str) -> DataFrame:
 
 def count_distribution(df: DataFrame, entity: str) -> DataFrame:
     """Events per entity: rows, n_ids, min, median, max (a median of counts: few values)."""
-    counts = df.where(F.col(entity).isNotNull()).groupBy(entity).agg(F.count(F.lit(1)).alias("n"))
+    return distribution_of(df.where(F.col(entity).isNotNull()).groupBy(entity).agg(F.count(F.lit(1)).alias("n")))
+
+
+def distribution_of(counts: DataFrame) -> DataFrame:
+    """``count_distribution`` from events per entity, ``n``."""
     zero = F.lit(0)
     return counts.agg(
         F.coalesce(F.sum("n"), zero).alias("rows"), F.count("n").alias("n_ids"),
@@ -91,8 +93,12 @@ def reconcile(
         F.count(F.lit(1)).alias("__b"),
         *[F.max(F.coalesce(c, F.lit(False)).cast("int")).alias(f"__c_{k}") for k, c in causes.items()])
     a = after.groupBy(entity).agg(F.count(F.lit(1)).alias("__a"))
-    both = b.join(a, entity, "full")
-    n_before, n_after = (F.coalesce(F.col(c), F.lit(0)) for c in ("__b", "__a"))
+    return reconcile_counts(b.join(a, entity, "full"), "__b", "__a", list(causes))
+
+
+def reconcile_counts(both: DataFrame, before: str, after: str, causes: Sequence[str] = ()) -> DataFrame:
+    """``reconcile`` from a row per entity with its two counts; null is none."""
+    n_before, n_after = (F.coalesce(F.col(c), F.lit(0)) for c in (before, after))
     changed = n_before != n_after
     return both.agg(
         F.count(F.lit(1)).alias("entities"),

@@ -7,9 +7,10 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from panel_engine.operators import impute, quality
+from panel_engine.operators import impute, narrowing, quality
 from panel_engine.operators.impute import HierarchicalImputer, HierarchicalImputerModel
 from panel_engine.plans import preparation
+from tests.conftest import plan_of
 
 LEVELS = dict(entity_levels=[["id", "p"]], population_levels=[["b", "p"]])
 
@@ -154,3 +155,24 @@ def test_report_against_pandas(spark):
     assert r.pct_missing_pre == pytest.approx(100 * a.milk.isna().mean(), abs=0.01) == r.pct_imputed
     iqr = np.subtract(*np.quantile(a.milk.dropna(), [0.75, 0.25]))
     assert r.normalized_wasserstein == pytest.approx(pandas_wasserstein(a.milk.dropna(), b.milk) / iqr, abs=1e-4)
+
+
+def test_lacking_rows_meet_each_chain_of_levels_once(spark):
+    df = frame(spark).withColumn("q", F.col("row") % 2)
+    levels = dict(entity_levels=[["id", "p", "q"], ["id", "p"], ["id"]], population_levels=[["b", "p"], ["b"]])
+    model = HierarchicalImputer(columns=["milk", "scs"], min_group_n=3, clip_imputed=False, **levels).fit(df)
+    plan = plan_of(model.transform(df))
+    assert "Generate" not in plan  # no row per level
+    assert sorted(model.tables) == [2, 5]  # finer groups lie in the rows of the coarsest
+    groups = model.stats.groupBy("feature", "level").count().count()
+    assert groups == 12 and {r.n >= 3 for r in model.stats.collect()} == {True}
+
+
+def test_groups_beyond_a_row_are_narrowed_and_filled_alike(spark, monkeypatch):
+    df = frame(spark).withColumn("q", F.col("row") % 2)
+    imputer = HierarchicalImputer(columns=["milk", "scs"], min_group_n=3, entity_levels=[["id", "p", "q"], ["id"]], population_levels=[["b", "p"]])
+    want = imputer.fit_transform(df).orderBy("row").toPandas()
+    monkeypatch.setattr(narrowing, "PACK", 10)
+    model = imputer.fit(df)
+    assert sorted(model.tables) == [0, 1, 2, 3]
+    pd.testing.assert_frame_equal(model.transform(df).orderBy("row").toPandas(), want)
