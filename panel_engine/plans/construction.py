@@ -64,7 +64,10 @@ def daily_measure(
     """One positive value per entity-day, filled from the fallback column, outliers out."""
     rows = joins.in_universe(clean.year_after(raw, "anno", year_after), ids, "idAnimale")
     rows = clean.keep_positive(clean.fill_from(rows, measure, config.FALLBACK_MEASURE), measure)
-    return finished_measure(reduce.first_non_null(rows, DAY_KEYS, [measure], source_order(raw, order)), measure, name, iqr_k)
+    order = source_order(raw, order)
+    # stored, so that no task holds the join's rows and the groups
+    rows = materialize(rows.select(*dict.fromkeys([*DAY_KEYS, measure, *order])), "positive")
+    return finished_measure(reduce.first_non_null(rows, DAY_KEYS, [measure], order), measure, name, iqr_k)
 
 
 def finished_measure(daily: DataFrame, measure: str, name: str, iqr_k: float) -> DataFrame:
@@ -80,9 +83,15 @@ def calving_rows(raw: DataFrame, ids: DataFrame, year_after: int | None = 2018)
 
 def calving_events(raw: DataFrame, ids: DataFrame, year_after: int | None = 2018) -> DataFrame:
     """At most one calving per entity-month: births summed per day, empty events dropped."""
-    days = reduce.collapse_events(
-        calving_rows(raw, ids, year_after), ["id", "day", "month", "year"], config.BIRTH_COUNTERS, "same_day_records")
-    return first_calvings(days)
+    days = calving_days(raw, ids, year_after)
+    return first_calvings(days.where("births > 0").drop("births"))
+
+
+def calving_days(raw: DataFrame, ids: DataFrame, year_after: int | None = 2018) -> DataFrame:
+    """Rows and births per entity-day, days without births included; stored, so that no task holds all steps' groups."""
+    rows = materialize(calving_rows(raw, ids, year_after), "calvings")
+    return materialize(reduce.collapse_events(
+        rows, ["id", "day", "month", "year"], config.BIRTH_COUNTERS, "same_day_records", total="births"), "days")
 
 
 def first_calvings(days: DataFrame) -> DataFrame:
@@ -92,13 +101,15 @@ def first_calvings(days: DataFrame) -> DataFrame:
 
 
 def calving_report(raw: DataFrame, ids: DataFrame, year_after: int | None = 2018) -> dict[str, DataFrame]:
-    before, after = calving_rows(raw, ids, year_after), calving_events(raw, ids, year_after)
-    days = before.groupBy("id", "year", "month", "day").agg(F.count(F.lit(1)).alias("n"))
+    days = calving_days(raw, ids, year_after)
+    periods = days.groupBy("id", "year", "month").agg(
+        F.sum("same_day_records").alias("rows"), F.max((F.col("births") > 0).cast("long")).alias("kept"))  # of each the first day is kept
+    counts = materialize(periods.groupBy("id").agg(F.sum("rows").alias("n_before"), F.sum("kept").alias("n_after")), "counts")
     return {
-        "same_day": days.agg(F.count_if(F.col("n") > 2).alias("days_with_more_than_two_rows")),
-        "raw": reduce.count_distribution(before, "id"),
-        "final": reduce.count_distribution(after, "id"),
-        "reconciliation": reduce.reconcile(before, after, "id"),
+        "same_day": days.agg(F.count_if(F.col("same_day_records") > 2).alias("days_with_more_than_two_rows")),
+        "raw": reduce.distribution_of(counts.where("id is not null").select(F.col("n_before").alias("n"))),
+        "final": reduce.distribution_of(counts.where("id is not null and n_after > 0").select(F.col("n_after").alias("n"))),
+        "reconciliation": reduce.reconcile_counts(counts, "n_before", "n_after"),
     }
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from panel_engine import config
 from panel_engine.operators import sampling
 from panel_engine.plans import construction, modelling, preparation
+from tests.conftest import plan_of
 
 D = dt.date
 CONTROL = "idAnimale long, anno int, mese int, giorno int, codiceRazzaAIA string, LinearScore double, LatteAlle24Ore double, ProteineAlle24Ore double, GrassoAlle24Ore double"
@@ -295,3 +296,18 @@ def test_first_follows_the_source_file(spark):
     assert (got.scs, got.milk, got.protein, got.fat) == (2.0, 30.0, 3.5, 4.5)
     got = construction.control_records(raw.drop("_source_file"), iqr_k=1e9).first()
     assert (got.scs, got.milk) == (2.0, 20.0)
+
+
+def test_joins_and_groups_of_raw_rows_lie_in_stages_of_their_own(spark):
+    ids = spark.createDataFrame([(1,), (2,)], "id long")
+    raw = spark.createDataFrame(
+        [(1, 3, 5, 2020, 1.0), (1, 3, 5, 2020, 2.0), (1, 3, 5, 2020, 2.0), (1, 9, 5, 2020, 1.0), (2, 1, 1, 2021, None), (3, 1, 1, 2021, 1.0)],
+        "idAnimale long, giorno int, mese int, anno int, NumeroFemmineNateVive double")
+    events = construction.calving_events(raw, ids)
+    assert "Join" not in plan_of(events) and "Aggregate" not in plan_of(events)  # the days are stored
+    assert [(r.id, r.day, r.same_day_records) for r in events.collect()] == [(1, 3, 2)]
+    report = construction.calving_report(raw, ids)
+    assert all("Join" not in plan_of(r) for r in report.values())
+    assert tuple(report["reconciliation"].first()) == (2, 2, 1, 3)
+    assert (tuple(report["raw"].first()), tuple(report["final"].first())) == ((4, 2, 1, 2.0, 3), (1, 1, 1, 1.0, 1))
+    assert report["same_day"].first()[0] == 0
