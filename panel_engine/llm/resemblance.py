@@ -6,9 +6,10 @@ segments, indexed once for each bit with that bit deleted: documents with a segm
 at most share a key. Of those, pairs whose first fingerprints differ in ``FAR`` bits or fewer are
 candidates, and a candidate links if the sets of shingles themselves are alike, which is computed from the texts.
 
-A key that many near copies share would give pairs by the square. There all are first compared with
-a leader, and a second round takes every candidate pair that the first left in different groups, so that
-no candidate is skipped.
+Near copies share many keys, and would give pairs by the square. So a first round compares each document with its
+least and its greatest candidate below it (of a key that very many share: with the key's first document), two pairs
+a document at most. A second round indexes the documents that have candidates again, with their groups, and takes
+every candidate pair that the first left in different groups, so that no candidate is skipped.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ PRINTS, FAR = 6, 17
 #: Least Jaccard similarity of a link, as a fraction.
 LEAST = (4, 5)
 BOUNDS = [0, 21, 42, 64]
-#: Documents that are indexed at once; members of a key that are compared with each other at once, candidates of one above which a leader is asked first.
+#: Documents that are indexed at once; members of a key that are compared with each other at once, pairs per member above which a leader is asked first.
 BUNDLE, PAIRWISE, PER_MEMBER = 1 << 10, 256, 8
 SALTS = mixed(np.arange(1, PRINTS + 1).astype(U) * U(0xD6E8FEB86659FD93))
 BIT_SALTS = mixed(np.arange(1, 64 * PRINTS + 1).astype(U) * U(0x9FB21C651E98DF25)).reshape(PRINTS, 64)
@@ -68,12 +69,13 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _indexed(batches: Iterator[pa.RecordBatch], slices: int) -> Iterator[pa.RecordBatch]:
-    """Rows (node, prints) to rows (slice, packed entries): key, first fingerprint and node of each variant."""
+    """Rows (node, prints, group) to rows (slice, packed entries): key, first fingerprint, node and group of each variant."""
     for batch in batches:
         for at in range(0, batch.num_rows, BUNDLE):
             part = batch.slice(at, BUNDLE)
             node = part.column(0).to_numpy()
             fps = np.frombuffer(b"".join(part.column(1).to_pylist()), U).reshape(-1, PRINTS)
+            member = part.column(2).to_numpy()
             keys = np.empty((len(node), PRINTS * 64), U)
             for p in range(PRINTS):
                 for lo, hi in zip(BOUNDS, BOUNDS[1:]):
@@ -91,69 +93,92 @@ def _indexed(batches: Iterator[pa.RecordBatch], slices: int) -> Iterator[pa.Reco
             for s in number:
                 i, j = cuts[s], cuts[s + 1]
                 r = row[i:j]
-                rows.append(zstandard.compress(short[i:j].tobytes() + fps[r, 0].tobytes() + np.diff(node[r], prepend=0).astype("<i8").tobytes(), 1))
+                rows.append(zstandard.compress(short[i:j].tobytes() + fps[r, 0].tobytes() + b"".join(
+                    np.diff(x[r], prepend=0).astype("<i8").tobytes() for x in (node, member)), 1))
             yield pa.RecordBatch.from_arrays([pa.array(number.astype(np.int32)), pa.array(rows, pa.binary())], names=["slice", "packed"])
 
 
-FOUND = "a long, b long, k long, fp long"
+ASKED, PAIRS = "node long, low long, high long", "a long, b long"
+NONE = np.iinfo(np.int64).max
 
 
-def _found(a=(), b=(), k=None, fp=None) -> pa.RecordBatch:
-    """Candidate pairs (a, b), or members a of key k with their fingerprint."""
-    n = len(a)
-    none = pa.nulls(n, pa.int64())
-    return pa.RecordBatch.from_arrays(
-        [pa.array(a, pa.int64()), none if k is not None else pa.array(b, pa.int64()), none if k is None else pa.array(k, pa.int64()),
-         none if fp is None else pa.array(fp, pa.int64())], names=["a", "b", "k", "fp"])
-
-
-def candidates(key: np.ndarray, fp: np.ndarray, node: np.ndarray, number: int) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of one slice; of keys with too many, a leader's pairs and the members."""
-    order = np.lexsort((node, key))
-    key, fp, node = key[order], fp[order], node[order]
-    start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-    size = np.diff(np.append(start, len(key)))
+def near(key: np.ndarray, fp: np.ndarray, start: np.ndarray, size: np.ndarray, other: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of entries with one key and near fingerprints, for keys of up to ``PAIRWISE`` entries; ``other`` must differ."""
     group = np.repeat(np.arange(len(start)), size)
     alive = np.flatnonzero(size[group] <= PAIRWISE)
-    left, right = [], []
+    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for d in range(1, int(size[size <= PAIRWISE].max(initial=1))):
         alive = alive[alive + d < len(key)]
         alive = alive[group[alive] == group[alive + d]]
-        hit = alive[np.bitwise_count(fp[alive] ^ fp[alive + d]) <= FAR]
+        hit = alive if other is None else alive[other[alive] != other[alive + d]]
+        hit = hit[np.bitwise_count(fp[hit] ^ fp[hit + d]) <= FAR]
         left.append(hit)
         right.append(hit + d)
-    left, right = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (left, right))
+    return np.concatenate(left), np.concatenate(right)
+
+
+def grouped(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """All arrays in the order of key, then the last of ``values``; starts and sizes of the keys."""
+    order = np.lexsort((values[-1], key))
+    key = key[order]
+    start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    return key, *[v[order] for v in values], start, np.diff(np.append(start, len(key)))
+
+
+def asked(key: np.ndarray, fp: np.ndarray, member: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+    """Of one slice, nodes that may have candidates, each with the least and the greatest one below it."""
+    key, fp, member, node, start, size = grouped(key, fp, member, node)
+    left, right = near(key, fp, start, size)
+    group = np.repeat(np.arange(len(start)), size)
     crowded = (size > PAIRWISE) | (np.bincount(group[left], minlength=len(size)) > PER_MEMBER * size)
     few = ~crowded[group[left]]
-    pairs = np.unique(np.stack([node[left[few]], node[right[few]]]), axis=1)
-    yield _found(pairs[0], pairs[1])
-    for g in np.flatnonzero(crowded):
-        f, n = fp[start[g]:start[g] + size[g]], node[start[g]:start[g] + size[g]]
-        near = np.bitwise_count(f[1:] ^ f[0]) <= FAR
-        yield _found(np.full(int(near.sum()), n[0]), n[1:][near])
-        yield _found(n, k=np.full(len(n), int(key[start[g]]) << 24 | number), fp=f.view(np.int64))
-
-
-def _first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Packed entries sorted by slice to the rows of ``candidates``."""
-    def close() -> Iterator[pa.RecordBatch]:
+    left, right = left[few], right[few]
+    inside = np.flatnonzero(crowded[group])
+    first = start[group[inside]]
+    close = (np.bitwise_count(fp[inside] ^ fp[first]) <= FAR) & (inside != first)
+    names, at = np.unique(np.concatenate([node[left], node[right], node[inside]]), return_inverse=True)
+    low, high = np.full(len(names), NONE), np.full(len(names), -1)
+    for where, below in ((at[len(left):2 * len(left)], node[left]), (at[2 * len(left):][close], node[first[close]])):
+        np.minimum.at(low, where, below)
+        np.maximum.at(high, where, below)
+    none = high < 0
+    return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(low, pa.int64(), mask=none), pa.array(high, pa.int64(), mask=none)], names=["node", "low", "high"])
+
+
+def crossing(key: np.ndarray, fp: np.ndarray, member: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+    """Of one slice, candidate pairs between different groups."""
+    key, fp, member, node, start, size = grouped(key, fp, member, node)
+    left, right = near(key, fp, start, size, member)
+    a, b = [node[left]], [node[right]]
+    for g in np.flatnonzero(size > PAIRWISE):
+        part = slice(start[g], start[g] + size[g])
+        for ends, more in zip((a, b), apart(node[part], fp[part], member[part])):
+            ends.append(more)
+    pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[0], pa.int64()), pa.array(pairs[1], pa.int64())], names=["a", "b"])
+
+
+def _by_slice(batches: Iterator[pa.RecordBatch], of) -> Iterator[pa.RecordBatch]:
+    """Packed entries sorted by slice to what ``of`` makes of each slice."""
+    def close() -> pa.RecordBatch:
         parts = []
         for z in held:
             data = zstandard.decompress(z)
-            n = len(data) // 20
-            parts.append((np.frombuffer(data, "<u4", n), np.frombuffer(data, U, n, 4 * n), np.cumsum(np.frombuffer(data, "<i8", n, 12 * n))))
-        return candidates(*[np.concatenate(x) for x in zip(*parts)], number)
+            n = len(data) // 28
+            node, member = (np.cumsum(np.frombuffer(data, "<i8", n, at * n)) for at in (12, 20))
+            parts.append((np.frombuffer(data, "<u4", n), np.frombuffer(data, U, n, 4 * n), member, node))
+        return of(*[np.concatenate(x) for x in zip(*parts)])
 
     number, held = None, []
     for batch in batches:
         for s, z in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if s != number and held:
-                yield from close()
+                yield close()
                 held = []
             number = s
             held.append(z)
     if held:
-        yield from close()
+        yield close()
 
 
 def apart(node: np.ndarray, fp: np.ndarray, comp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -170,29 +195,6 @@ def apart(node: np.ndarray, fp: np.ndarray, comp: np.ndarray) -> tuple[np.ndarra
     return np.concatenate(a), np.concatenate(b)
 
 
-def _second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (k, node, fp, component) sorted by k to candidate pairs that cross groups."""
-    def close(parts: list) -> pa.RecordBatch:
-        node, fp, comp = (np.concatenate(x) for x in zip(*parts))
-        a, b = apart(node, fp.view(U), comp)
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    held, held_key = [], None
-    for batch in batches:
-        k, *rest = (c.to_numpy() for c in batch.columns)
-        if not len(k):
-            continue
-        cuts = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1).tolist(), len(k)]
-        for i, j in zip(cuts, cuts[1:]):
-            if held and k[i] != held_key:
-                yield close(held)
-                held = []
-            held_key = k[i]
-            held.append([x[i:j] for x in rest])
-    if held:
-        yield close(held)
-
-
 def verified(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     """Pairs (a, b) of nodes whose texts (node, z) are alike."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,22 +243,30 @@ def groups(docs: DataFrame, key: str = "row", text: str = "text", shingle: int =
     signed = materialize(docs.select(key, whole(text).alias("text")).mapInArrow(sign, f"`{key}` {kind}, sig long, prints binary"), "prints")
     nodes = materialize(
         signed.groupBy("sig").agg(F.first("prints").alias("prints"), F.min(key).alias("sample")).withColumn("node", F.monotonically_increasing_id()), "nodes")
-    index = nodes.select("node", "prints").mapInArrow(lambda it: _indexed(it, slices), "slice int, packed binary")
-    found = materialize(index.repartition("slice").sortWithinPartitions("slice").mapInArrow(_first, FOUND), "candidates")
+
+    def slices_of(rows: DataFrame, of, schema: str) -> DataFrame:
+        """What ``of`` makes of the index of ``rows`` (node, prints, group), slice by slice."""
+        index = rows.mapInArrow(lambda it: _indexed(it, slices), "slice int, packed binary")
+        return index.repartition("slice").sortWithinPartitions("slice").mapInArrow(lambda it: _by_slice(it, of), schema)
+
+    first = slices_of(nodes.select("node", "prints", F.lit(0).cast("long").alias("group")), asked, ASKED)
+    first = materialize(first.groupBy("node").agg(F.min("low").alias("low"), F.max("high").alias("high")), "candidates")
 
     def texts(pairs: DataFrame) -> DataFrame:
         asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "sample"), "node")
         rows = docs.select(F.col(key).alias("sample"), whole(text).alias("text")).join(asked, "sample").select("node", "text")
         return materialize(rows.mapInArrow(squeeze, "node long, z binary").dropDuplicates(["node"]), "texts")
 
-    pairs = materialize(found.where("k is null").select("a", "b").distinct(), "pairs")
+    lows = first.where("low is not null").select(F.col("low").alias("a"), F.col("node").alias("b"))
+    highs = first.where("low < high").select(F.col("high").alias("a"), F.col("node").alias("b"))
+    pairs = materialize(lows.unionByName(highs), "pairs")
     links = materialize(verified(pairs, texts(pairs), shingle), "links")
-    members = found.where("k is not null").select("k", F.col("a").alias("node"), "fp")
     linked = components(links)
-    if members.head(1):
-        placed = members.join(linked, "node", "left").select("k", "node", "fp", F.coalesce("component", "node").alias("component"))
-        more = placed.repartition("k").sortWithinPartitions("k").mapInArrow(_second, "a long, b long").distinct()
-        more = materialize(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
+    placed = nodes.join(first.select("node"), "node").join(linked, "node", "left").select(
+        "node", "prints", F.coalesce("component", "node").alias("group"))
+    more = slices_of(placed, crossing, PAIRS).distinct().join(pairs, ["a", "b"], "left_anti")
+    more = materialize(more, "pairs")
+    if not more.isEmpty():
         linked = components(links.unionByName(verified(more, texts(more), shingle)))
     by_sig = nodes.join(linked, "node", "left").select("sig", F.coalesce("component", "node").alias("component"))
     return signed.select(key, "sig").join(by_sig, "sig").select(key, "component")

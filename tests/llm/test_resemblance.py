@@ -78,3 +78,14 @@ def test_rows_that_share_an_id(spark):
         assert [r.doc_id for r in got] == [1, 1] and {r.text == b for r in got} == {True, False}
         seen.add(frozenset(r.text for r in got))
     assert len(seen) == 1
+
+
+def test_copies_of_one_text_ask_two_candidates_each(spark, monkeypatch):
+    """Of many near copies, the pairs whose texts are compared stay in proportion to the documents."""
+    counted, verified = [], rs.verified
+    monkeypatch.setattr(rs, "verified", lambda pairs, *rest: counted.append(pairs.count()) or verified(pairs, *rest))
+    rnd = random.Random(4)
+    base = [f"w{rnd.randrange(10**6)}" for _ in range(300)]
+    texts = [" ".join(base[:j] + [f"x{j}"] + base[j + 1:]) for j in range(120)]
+    assert kept(spark, texts) == {0}
+    assert sum(counted) <= 2 * len(texts)
