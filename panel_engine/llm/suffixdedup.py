@@ -65,8 +65,69 @@ def find(docs: np.ndarray, texts: list[str], width: int = WIDTH, gram: int = GRA
     return records(anchor, anchor, anchor + gram, starts, docs[some], doc_at[some], hashes, width)
 
 
-def repeated(rows: list[tuple[int, int, bytes]], width: int = WIDTH, limit: int = LIMIT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows (doc, start, n) lost among stretches (doc, start, bytes) of one shard."""
+Stretch = tuple[int, int, bytes]
+Lost = tuple[int, int, int]
+
+
+def in_several(rows: list[Stretch], width: int = WIDTH) -> tuple[list[Stretch], list[Lost]]:
+    """The stretches cut to windows whose hash several documents have, as the others are in no two documents.
+
+    Those whose bytes also lie, whole, where a smaller document first has their first window are lost as they are.
+    """
+    sizes = np.array([len(b) for _, _, b in rows])
+    at = np.cumsum(sizes) - sizes
+    text = b"".join(b for _, _, b in rows)
+    windows = np.maximum(sizes - width + 1, 0)
+    row = np.repeat(np.arange(len(rows)), windows)
+    place = np.repeat(at - (np.cumsum(windows) - windows), windows) + np.arange(windows.sum())
+    if not len(place):
+        return [], []
+    hashes, docs = Ranges(VALUES[np.frombuffer(text, np.uint8)]).of(place, place + width), np.array([d for d, _, _ in rows])
+    order = np.lexsort((docs[row], hashes))
+    first = np.flatnonzero(np.append(True, hashes[order[1:]] != hashes[order[:-1]]))
+    size = np.diff(np.append(first, len(order)))
+    least, last = order[first], order[first + size - 1]
+    several = docs[row[least]] < docs[row[last]]
+    kept, origin = np.empty(len(place), bool), np.empty(len(place), np.int64)
+    kept[order], origin[order] = np.repeat(several, size), np.repeat(least, size)
+    run = np.flatnonzero(kept)
+    if not len(run):
+        return [], []
+    new = np.flatnonzero(np.append(True, (row[run[1:]] != row[run[:-1]]) | (run[1:] != run[:-1] + 1)))
+    out, lost = [], []
+    for w, o, n in zip(run[new].tolist(), origin[run[new]].tolist(), np.diff(np.append(new, len(run))).tolist()):
+        r, p, f, q, length = row[w], place[w], row[o], place[o], n + width - 1
+        doc, start, data = rows[r][0], int(rows[r][1] + p - at[r]), text[p:p + length]
+        if rows[f][0] < doc and q + length <= at[f] + sizes[f] and text[q:q + length] == data:
+            lost.append((doc, start, n))
+        else:
+            out.append((doc, start, data))
+    return out, lost
+
+
+def once(rows: list[Stretch], width: int = WIDTH) -> tuple[list[Stretch], list[Lost]]:
+    """Stretches of equal bytes once, for their smallest document, and the runs of windows that the others lose by that."""
+    least: dict[bytes, int] = {}
+    for d, _, b in rows:
+        least[b] = min(d, least.get(b, d))
+    return [r for r in rows if r[0] == least[r[2]]], [(d, s, len(b) - width + 1) for d, s, b in rows if d > least[b]]
+
+
+def repeated(rows: list[Stretch], width: int = WIDTH, limit: int = LIMIT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows (doc, start, n) lost among stretches (doc, start, bytes) of one shard.
+
+    What no other document has and copies of whole stretches are left out of the text that is sorted.
+    """
+    rows, inside = in_several(rows, width)
+    rows, copies = once(rows, width)
+    whole_ = np.array([*inside, *copies], np.int64).reshape(-1, 3).T
+    return merged(*map(np.concatenate, zip(sorted_out(rows, width, limit), whole_)))
+
+
+def sorted_out(rows: list[tuple[int, int, bytes]], width: int, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows (doc, start, n) that the suffix array of the stretches shows in a smaller document."""
+    if not rows:
+        return (np.empty(0, np.int64),) * 3
     sizes = np.array([len(b) for _, _, b in rows])
     ends = np.cumsum(sizes + 1) - 1
     text = np.frombuffer(bytes([APART]).join(b for _, _, b in rows), np.uint8).astype(np.int64)

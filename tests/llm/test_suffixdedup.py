@@ -60,3 +60,21 @@ def test_awkward_rows(spark):
     got = sorted(((r[0], r[1], r[2], r[3], bytes(r[4])) for r in sd.remove_repeats(docs).collect()), key=repr)
     assert got == brute([(r.doc_id, r.text) for r in docs.collect()])
     assert sd.remove_repeats(empty(spark)).count() == 0
+
+
+def test_sorts_only_what_several_documents_have(monkeypatch):
+    rnd = random.Random(5)
+    base = bytes(rnd.choice(b"abcdefgh ") for _ in range(90))
+    rows = [(i, 7, base[:20 + i % 60] + b"%04d" % i + base[20 + i % 60:]) for i in range(200)] + [(200, 0, base), (201, 3, base), (201, 99, base)]
+    least, want, sizes = {}, set(), []
+    for d, _, b in rows:
+        for i in range(len(b) - 49):
+            least[b[i:i + 50]] = min(d, least.get(b[i:i + 50], d))
+    for d, s, b in rows:
+        want |= {(d, s + i) for i in range(len(b) - 49) if least[b[i:i + 50]] < d}
+    sort = sd.suffix_array
+    monkeypatch.setattr(sd, "suffix_array", lambda text, *a: sizes.append(len(text)) or sort(text, *a))
+    got = {(d, s + i) for d, s, n in zip(*[x.tolist() for x in sd.repeated(rows)]) for i in range(n)}
+    assert got == want
+    assert sum(sizes) < sum(len(b) for _, _, b in rows) / 3
+    assert [x.tolist() for x in sd.repeated([(1, 0, b"a" * 20), (2, 0, base), (3, 5, b"b" * 50)])] == [[], [], []]
