@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline as cp
@@ -89,3 +90,41 @@ def test_copies_of_one_text_ask_two_candidates_each(spark, monkeypatch):
     texts = [" ".join(base[:j] + [f"x{j}"] + base[j + 1:]) for j in range(120)]
     assert kept(spark, texts) == {0}
     assert sum(counted) <= 2 * len(texts)
+
+
+def test_families_whose_members_are_not_alike_are_compared_without_a_row_per_pair(spark, monkeypatch):
+    """Copies that are like their base but hardly like each other, by which the first round links few of them."""
+    made, verified = [], rs.verified
+    monkeypatch.setattr(rs, "verified", lambda pairs, *rest: made.append(pairs.count()) or verified(pairs, *rest))
+    monkeypatch.setattr(rs, "BLOCK", 40, raising=False)
+    rnd = random.Random(6)
+    base = [f"w{rnd.randrange(10**6)}" for _ in range(150)]
+    texts = [" ".join(base)]
+    for i in range(149):
+        copy = list(base)
+        for j in rnd.sample(range(150), rnd.randint(1, 6)):
+            copy[j] = f"x{i}_{j}"
+        texts.append(" ".join(copy))
+    sets = [rs.shingles(t.encode(), 5) for t in texts]
+    linked, left = {0}, set(range(1, 150))
+    while more := {i for i in left if any(rs.alike(sets[i], sets[j]) for j in linked)}:
+        linked, left = linked | more, left - more
+    assert 20 < len(linked) < 150
+    rest = [i for i in sorted(left)]
+    apart = all(not rs.alike(sets[i], sets[j]) for i in rest for j in rest if i < j)
+    got = kept(spark, texts)
+    assert apart and got == {0, *rest}
+    assert sum(made) <= 10 * len(texts)
+
+
+def test_matches_counts_in_parts(monkeypatch):
+    monkeypatch.setattr(rs, "SHINGLES", 7)
+    rnd = np.random.default_rng(3)
+    sets = [np.unique(rnd.integers(0, 60, rnd.integers(30, 200))).astype(np.uint64) for _ in range(30)] + [np.array([1000], np.uint64)]
+    want = [(i, j) for i in range(31) for j in range(i) if rs.alike(sets[i], sets[j])]
+    assert want and want == list(zip(*[x.tolist() for x in np.nonzero(np.tril(rs.matches(sets), -1))]))
+
+
+def test_leads_connect_what_is_near():
+    fp = np.array([0, (1 << 17) - 1, (1 << 34) - 1, (1 << 64) - 1], np.uint64)
+    assert rs.leads(fp).tolist() == [0, 0, 0, 3]
