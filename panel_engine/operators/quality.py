@@ -237,14 +237,27 @@ def stratified_missing(pre: DataFrame, post: DataFrame, columns: Sequence[str],
                  ((F.col("__pre") - F.col("__post")) * share).alias("pct_imputed"))
 
 
+def report(pre: DataFrame, post: DataFrame, columns: Sequence[str], strata: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """The feature report and the level report, from one count of pairs and one order of values."""
+    pre, post = as_doubles(pre, columns, strata), as_doubles(post, columns, strata)
+    shift, nwd = stratified_shift(pre, post, columns, strata), stratified_wasserstein(pre, post, columns, strata)
+    return _by_feature(pre, post, columns, strata, shift, nwd), _by_level(post, strata, shift, nwd)
+
+
 def feature_report(pre: DataFrame, post: DataFrame, columns: Sequence[str], strata: Sequence[str]) -> DataFrame:
     """Per (stratum, level, feature); the whole table is stratum and level ``__all__``."""
+    return report(pre, post, columns, strata)[0]
+
+
+def level_report(pre: DataFrame, post: DataFrame, columns: Sequence[str], strata: Sequence[str]) -> DataFrame:
+    """Per (stratum, level): mean correlation change over all pairs, mean normalised distance."""
+    return report(pre, post, columns, strata)[1]
+
+
+def _by_feature(pre: DataFrame, post: DataFrame, columns: Sequence[str], strata: Sequence[str], shift: DataFrame, nwd: DataFrame) -> DataFrame:
     keys = [*GROUP, "feature"]
-    pre, post = as_doubles(pre, columns, strata), as_doubles(post, columns, strata)
-    shift = shift_by_feature(stratified_shift(pre, post, columns, strata), GROUP)
-    nwd = stratified_wasserstein(pre, post, columns, strata)
     return (
-        stratified_missing(pre, post, columns, strata).join(shift, keys, "left").join(nwd, keys, "left")
+        stratified_missing(pre, post, columns, strata).join(shift_by_feature(shift, GROUP), keys, "left").join(nwd, keys, "left")
         .select(*keys, "n_rows", F.round("pct_missing_pre", 2).alias("pct_missing_pre"),
                 F.round("pct_imputed", 2).alias("pct_imputed"),
                 F.round("mean_abs_delta_corr", 4).alias("mean_abs_delta_corr"),
@@ -252,11 +265,9 @@ def feature_report(pre: DataFrame, post: DataFrame, columns: Sequence[str], stra
     )
 
 
-def level_report(pre: DataFrame, post: DataFrame, columns: Sequence[str], strata: Sequence[str]) -> DataFrame:
-    """Per (stratum, level): mean correlation change over all pairs, mean normalised distance."""
-    pre, post = as_doubles(pre, columns, strata), as_doubles(post, columns, strata)
-    shift = stratified_shift(pre, post, columns, strata).groupBy(*GROUP).agg(F.avg("delta").alias("__dc"))
-    nwd = stratified_wasserstein(pre, post, columns, strata).groupBy(*GROUP).agg(F.avg("normalized_wasserstein").alias("__nwd"))
+def _by_level(post: DataFrame, strata: Sequence[str], shift: DataFrame, nwd: DataFrame) -> DataFrame:
+    shift = shift.groupBy(*GROUP).agg(F.avg("delta").alias("__dc"))
+    nwd = nwd.groupBy(*GROUP).agg(F.avg("normalized_wasserstein").alias("__nwd"))
     counts = post.groupBy(*strata).agg(F.count(F.lit(1)).alias("n_rows"))
     rows = named(rolled_up(counts, strata, "n_rows").groupBy("mark", "level").agg(F.sum("n_rows").alias("n_rows")), strata, "n_rows")
     return rows.join(shift, GROUP, "left").join(nwd, GROUP, "left").select(

@@ -126,7 +126,5 @@ def imputation_report(
     pre, post = pre.select(*keep), post.select(*keep)
     if store:
         pre, post = materialize(pre, "before"), materialize(post, "after")
-    return {
-        "features": quality.feature_report(pre, post, columns, strata),
-        "levels": quality.level_report(pre, post, columns, strata),
-    }
+    features, levels = quality.report(pre, post, columns, strata)
+    return {"features": features, "levels": levels}

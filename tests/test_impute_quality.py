@@ -176,3 +176,11 @@ def test_groups_beyond_a_row_are_narrowed_and_filled_alike(spark, monkeypatch):
     model = imputer.fit(df)
     assert sorted(model.tables) == [0, 1, 2, 3]
     pd.testing.assert_frame_equal(model.transform(df).orderBy("row").toPandas(), want)
+
+
+def test_both_reports_share_their_counts_and_their_order(spark, monkeypatch):
+    labels, store = [], quality.materialize
+    monkeypatch.setattr(quality, "materialize", lambda df, label="table": labels.append(label) or store(df, label))
+    pre = frame(spark).select("milk", "scs", F.col("p").alias("season"))
+    preparation.imputation_report(pre, pre.fillna(3.0, ["milk"]), ["milk", "scs"], ["season"])
+    assert labels.count("moments") == 2 and labels.count("ranges") == labels.count("offsets") == 1
