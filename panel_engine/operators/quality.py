@@ -17,6 +17,8 @@ from panel_engine.operators.narrowing import interpolate
 from panel_engine.operators.ordered import cumulative
 from panel_engine.sources.scratch import materialize
 
+#: Counted values that one range holds, about.
+RANGE = 1 << 18
 ALL = "__all__"
 GROUP = ["stratum", "level"]
 
@@ -172,7 +174,9 @@ def stratified_wasserstein(pre: DataFrame, post: DataFrame, columns: Sequence[st
             {"x": F.lit(x), "y": F.lit(1 - x)})
 
     cube = cells(pre, 1).unionByName(cells(post, 0)).groupBy(*strata, "feature", "value").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
-    dealt = materialize(cube.repartitionByRange("feature", "value").withColumn("__p", F.spark_partition_id()), "ranges")
+    cube = materialize(cube, "values")
+    parts = 1 + cube.count() // RANGE  # a range, and so a task's sort, does not grow with the table
+    dealt = materialize(cube.repartitionByRange(parts, "feature", "value").withColumn("__p", F.spark_partition_id()), "ranges")
     keys = ["mark", "level", "feature"]
     ranges = dealt.groupBy(*strata, "feature", "__p").agg(F.sum("x").alias("x"), F.sum("y").alias("y"), F.min("value").alias("least"))
     ranges = rolled_up(ranges, strata, "feature", "__p", "x", "y", "least").groupBy(*keys, "__p").agg(
@@ -185,7 +189,7 @@ def stratified_wasserstein(pre: DataFrame, post: DataFrame, columns: Sequence[st
         *[F.coalesce(F.sum(f"t{s}").over(before), F.lit(0)).alias(f"off_{s}") for s in "xy"],
         *[F.sum(f"t{s}").over(every).alias(f"all_{s}") for s in "xy"]), "offsets")
     # by range, then by level within it: the second needs no shuffle
-    rows = rolled_up(dealt.repartition("__p"), strata, "feature", "value", "x", "y", "__p")
+    rows = rolled_up(dealt.repartitionByRange(parts, "__p"), strata, "feature", "value", "x", "y", "__p")
     by_value = Window.partitionBy("__p", *keys).orderBy("value")
     upto = by_value.rowsBetween(Window.unboundedPreceding, 0)
     run = rows.select(*keys, "__p", "value", F.lead("value").over(by_value).alias("next"), *[F.sum(s).over(upto).alias(f"in_{s}") for s in "xy"])

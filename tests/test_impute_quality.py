@@ -184,3 +184,18 @@ def test_both_reports_share_their_counts_and_their_order(spark, monkeypatch):
     pre = frame(spark).select("milk", "scs", F.col("p").alias("season"))
     preparation.imputation_report(pre, pre.fillna(3.0, ["milk"]), ["milk", "scs"], ["season"])
     assert labels.count("moments") == 2 and labels.count("ranges") == labels.count("offsets") == 1
+
+
+def test_ranges_stay_small_and_give_the_same_distances(spark, monkeypatch):
+    stored, store = {}, quality.materialize
+    monkeypatch.setattr(quality, "materialize", lambda df, label="table": stored.setdefault(label, store(df, label)))
+    pre = frame(spark, 600).select("milk", "scs", F.col("p").alias("season"))
+    post = pre.fillna(20.0, ["milk"])
+    run = lambda: sorted(map(tuple, quality.stratified_wasserstein(pre, post, ["milk", "scs"], ["season"]).collect()))
+    want = run()
+    stored.clear()
+    monkeypatch.setattr(quality, "RANGE", 20, raising=False)
+    for a, b in zip(run(), want, strict=True):
+        assert a[:3] == b[:3] and a[3] == pytest.approx(b[3], rel=1e-9)
+    sizes = [r["count"] for r in stored["ranges"].groupBy("__p").count().collect()]
+    assert len(sizes) > 10 and max(sizes) <= 60
